@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from loomcube.llm import bpe, quality_rules, sharding
+from loomcube.llm import bpe, decontam, importance, quality_rules, sharding, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_importance_resampling": importance.op2_importance_resampling,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_url_filters": url_filters.op4_url_filters,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op8_decontamination": decontam.op8_decontamination,
+    "op9_warc": warc.op9_warc,
 }
 
 ORACLE_SQL = {
     "op3_quality_rules": quality_rules.ORACLE_SQL,
+    "op4_url_filters": url_filters.ORACLE_SQL,
 }

@@ -62,17 +62,7 @@ def bytes_hash(word: bytes) -> int:
 
 def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and for each text the index of its first word (one more than texts)."""
-    if not len(buf):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~SPACE[buf]
-    edge = np.zeros(len(buf) + 1, bool)
-    edge[offsets] = True
-    first = inside.copy()
-    first[1:] &= ~inside[:-1] | edge[1:-1]
-    last = inside.copy()
-    last[:-1] &= ~inside[1:] | edge[1:-1]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return starts, ends, np.searchsorted(starts, offsets)
+    return runs(~SPACE[buf], offsets)
 
 
 def windows(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,3 +79,38 @@ def windows(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray,
         whole[cut[(cut >= 0) & (cut < n)]] = False
     at = np.flatnonzero(whole)
     return mix(out[at]), np.searchsorted(at, bounds)
+
+
+LETTER = np.zeros(256, bool)
+LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def lower(buf: np.ndarray) -> np.ndarray:
+    """Lower case of ASCII and of the Latin letters that UTF-8 writes with the lead byte 0xC3."""
+    out = _LOWER[buf]
+    after = np.flatnonzero(buf[:-1] == 0xC3) + 1
+    tail = buf[after]
+    out[after[(tail >= 0x80) & (tail <= 0x9E) & (tail != 0x97)]] += 32
+    return out
+
+
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of ``inside`` that stay within a text, and the first run of each text."""
+    if not len(inside):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+    edge = np.zeros(len(inside) + 1, bool)
+    edge[offsets] = True
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1] | edge[1:-1]
+    last[:-1] &= ~inside[1:] | edge[1:-1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def per_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sum of ``values`` over each text, whose first value is at ``bounds``."""
+    sums = np.zeros(len(values) + 1, np.float64 if values.dtype.kind == "f" else np.int64)
+    np.cumsum(values, out=sums[1:])
+    return sums[bounds[1:]] - sums[bounds[:-1]]
