@@ -106,3 +106,57 @@ def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[in
         end = min(max(end, row + 1), n)
         yield row, end, raw[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """From batches sorted by the long ``key``: tables of whole groups, with the bounds of these groups."""
+    tail: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        if tail is not None:
+            if tail.column(key)[-1].as_py() == batch.column(batch.schema.get_field_index(key))[-1].as_py():
+                tail = pa.concat_tables([tail, table])
+                continue
+            table = pa.concat_tables([tail, table])
+        bounds = _bounds(table, key)
+        if len(bounds) > 2:
+            yield table.slice(0, bounds[-2]), bounds[:-1]
+        tail = table.slice(bounds[-2])
+    if tail is not None:
+        yield tail, _bounds(tail, key)
+
+
+def _bounds(table: pa.Table, key: str) -> np.ndarray:
+    keys = table.column(key).to_numpy()
+    return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+
+
+def deal(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """Rows with equal ``key`` in one partition and next to each other."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, key).sortWithinPartitions(key, *order)
+
+
+def components(edges: DataFrame, tag: str) -> DataFrame:
+    """``node, root`` of every node of the undirected ``edges`` (u, v); the root is the least node of a component.
+
+    Alternating large-star and small-star rounds: edges shrink to stars in a number of rounds that grows with the
+    logarithm of the path lengths. Every round is written to the shared folder; only a count and a checksum reach
+    the driver. Minima are pre-aggregated and the joins have one row per node on one side, so hubs can be split.
+    """
+    edges = materialise(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), tag)
+    seen = None
+    while True:
+        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+        if (state["n"], state["s"]) == seen or not state["n"]:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+        seen = state["n"], state["s"]
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        hooked = large.join(least, "u")
+        small = hooked.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
+        edges = materialise(small.distinct(), tag)

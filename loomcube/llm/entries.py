@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomcube.llm import bpe, decontam, importance, quality_rules, sharding, toxicity, url_filters, warc
+from loomcube.llm import bpe, decontam, importance, jaccard, quality_rules, sharding, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_decontamination": decontam.op8_decontamination,
     "op9_warc": warc.op9_warc,
+    "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
 
 ORACLE_SQL = {
