@@ -12,6 +12,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -189,15 +190,25 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id and ``ids`` (array of int) of every whole text; a null or empty text has no ids."""
+    """``doc_id, n_tokens, ids, decoded_sha256`` of every whole text; a null or empty text has no ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            ids = [own.encode(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
-
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, ids array<int>")
+            for row in range(0, batch.num_rows, 256):
+                part = batch.slice(row, 256)
+                coded, decoded = [], []
+                for value in part.column(1):
+                    ids = own.ids(value.as_py() or "")
+                    coded.append(np.fromstring(ids, np.int32, sep=" ") if ids else np.zeros(0, np.int32))
+                    decoded.append(hashlib.sha256(own.decode(ids)).hexdigest())
+                ends = np.cumsum([0, *map(len, coded)])
+                ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(coded)))
+                columns = [part.column(0), pa.array(np.diff(ends), pa.int64()), ids, pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "decoded_sha256"])
+
+    schema = "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string"
+    return map_arrow(docs.select("doc_id", "text"), run, schema)
 
 
 def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

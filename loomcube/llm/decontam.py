@@ -176,20 +176,43 @@ def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     stated size, one scan each. Null and empty texts match nothing; items under twelve folded bytes are not
     searched; repeated rows give repeated results; equal items each give a row. Other columns are ignored.
     """
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
-    size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-size // BLOCK_OF_ITEMS))
-    parts = []
     rows = docs.select("doc_id", "text")
-    for b in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else items
-        parts.append(_scan(rows, sorted((r["item_id"], r["text"]) for r in block.collect())))
+    parts = [_scan(rows, items) for items in item_blocks(benchmark)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark in blocks of about :data:`BLOCK_OF_ITEMS` bytes; the driver holds one at a time."""
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
+    size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-size // BLOCK_OF_ITEMS))
+    for b in range(blocks):
+        block = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else items
+        yield sorted((r["item_id"], r["text"]) for r in block.collect())
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that share no passage with the benchmark, with their own columns; nothing is exchanged."""
+    for items in item_blocks(benchmark):
+        docs = map_arrow(docs, _clean_rows(items, docs.columns.index("text")), docs.schema)
+    return docs
+
+
+def _clean_rows(items: list[tuple[int, str]], at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        probes = Probes(items)
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            for first, _, raw, raw_offsets in text_blocks(batch.column(at)):
+                clean[first + search(probes, *fold(raw, raw_offsets))[0]] = False
+            yield batch.filter(pa.array(clean))
+
+    return run
+
+
 def _scan(rows: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probes = Probes(items)

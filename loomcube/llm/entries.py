@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from loomcube.llm import bpe, decontam, importance, jaccard, quality_rules, sharding, toxicity, url_filters, warc
+from loomcube.llm import bpe, decontam, importance, jaccard, quality_rules, sharding, suffix_dedup, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_importance_resampling": importance.op2_importance_resampling,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_url_filters": url_filters.op4_url_filters,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_decontamination": decontam.op8_decontamination,

@@ -15,7 +15,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomcube.llm import textvec as tv
@@ -241,18 +241,9 @@ def spread(linked: np.ndarray, cross: bool) -> np.ndarray:
     return root
 
 
-def jaccard_join(docs: DataFrame) -> DataFrame:
-    """``doc_id, class_id, copy_of, n_links`` of every document row.
-
-    ``n_links`` counts the other texts whose shingle sets have a Jaccard similarity of at least 0.8; ``class_id``
-    is the least doc_id among the documents that such links and equal texts connect; ``copy_of`` is the least
-    doc_id of the equal texts. Null texts count as empty; a text without words is linked to none but equal ones.
-    Repeated rows are copies. A null doc_id sorts before all others in neither: it never becomes an id unless all
-    of a class are null. Other columns are ignored.
-    """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"))
-    rows = rows.withColumn("tid", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
+def classified(docs: DataFrame) -> DataFrame:
+    """``doc_id, tid, copy_of, cls, class_id, n_links`` of every document row; ``cls`` names the class by a text."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tid", text_id("text"))
     signed = signatures(rows).groupBy("tid").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     texts = materialise(signed, "jaccard-texts")
     linked = components(candidate_edges(texts), "jaccard-candidates")
@@ -265,21 +256,41 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     classes = components(links.filter("tid <> root").select(F.col("tid").alias("u"), F.col("root").alias("v")), "jaccard-classes")
     named = classes.join(texts.select(F.col("tid").alias("node"), "rep"), "node")
     least = named.groupBy("root").agg(F.min("rep").alias("class_id"))
-    named = named.join(least, "root").select(F.col("node").alias("tid"), "class_id")
-    known = named.join(counts, "tid", "left")
+    known = named.join(least, "root").select(F.col("node").alias("tid"), F.col("root").alias("cls"), "class_id").join(counts, "tid", "left")
     ids = rows.select("doc_id", "tid")
     copies = ids.groupBy("tid").agg(F.min("doc_id").alias("copy_of"))
-    facts = copies.join(known, "tid", "left")
+    facts = materialise(copies.join(known, "tid", "left"), "jaccard-facts")
     return ids.join(facts, "tid").select(
-        "doc_id", F.coalesce("class_id", "copy_of").alias("class_id"), "copy_of", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
-    )
+        "doc_id", "tid", "copy_of", F.coalesce("cls", "tid").alias("cls"), F.coalesce("class_id", "copy_of").alias("class_id"),
+        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+    )
+
+
+def text_id(column: str) -> Column:
+    """Half of the SHA-256 of a text: equal for equal texts only."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(F.col(column), F.lit("")), 256), 1, 32))
+
+
+def jaccard_join(docs: DataFrame) -> DataFrame:
+    """``doc_id, class_id, copy_of, n_links`` of every document row.
+
+    ``n_links`` counts the other texts whose shingle sets have a Jaccard similarity of at least 0.8; ``class_id``
+    is the least doc_id among the documents that such links and equal texts connect; ``copy_of`` is the least
+    doc_id of the equal texts. Null texts count as empty; a text without words is linked to none but equal ones.
+    Repeated rows are copies. A null doc_id is never the least of a class unless it has no other. Other columns
+    are ignored.
+    """
+    return classified(docs).select("doc_id", "class_id", "copy_of", "n_links")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents with one of each class: that of the least doc_id. Of repeated rows with it one stays."""
+    """The documents with one row of each class: that of the least doc_id."""
     own = docs.columns
-    first = jaccard_join(docs).groupBy("class_id").agg(F.count("*").alias("n")).select(F.col("class_id").alias("doc_id"))
-    return docs.join(first, "doc_id", "left_semi").select(*own).dropDuplicates(["doc_id"])
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")
+    best = classified(docs).groupBy("cls").agg(F.min(order).alias("best")).select(F.col("best.tid").alias("__tid"), F.col("best.doc_id").alias("__rep"))
+    packed = docs.select(F.struct(*own).alias("__doc"), text_id("text").alias("__tid"))
+    kept = packed.join(best, "__tid").filter("__doc.doc_id <=> __rep").dropDuplicates(["__tid"])
+    return kept.select("__doc.*")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
