@@ -108,6 +108,15 @@ def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[in
         row = end
 
 
+#: Rows of narrow keys that are sent to every executor at most; more are joined by exchange.
+BROADCAST_ROWS = 500_000
+
+
+def checked_broadcast(keys: DataFrame) -> DataFrame:
+    """A table of narrow keys, marked for broadcast if a count shows that it is within :data:`BROADCAST_ROWS`."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """From batches sorted by the long ``key``: tables of whole groups, with the bounds of these groups."""
     tail: pa.Table | None = None

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomcube.llm import textvec as tv
-from loomcube.llm.common import components, deal, map_arrow, materialise, text_blocks, whole_groups
+from loomcube.llm.common import checked_broadcast, components, deal, map_arrow, materialise, text_blocks, whole_groups
 
 U = np.uint64
 SHINGLE, THRESHOLD = 5, 0.8
@@ -250,7 +250,7 @@ def classified(docs: DataFrame) -> DataFrame:
     sizes = linked.groupBy("root").agg(F.count("*").alias("n"))
     wanted = linked.join(sizes, "root").select(F.col("node").alias("tid"), F.col("root").alias("comp"), "n")
     wanted = materialise(wanted.join(texts.select("tid", "rep"), "tid"), "jaccard-wanted")
-    own = rows.join(wanted, "tid").filter("doc_id <=> rep").dropDuplicates(["tid"])
+    own = rows.join(checked_broadcast(wanted), "tid").filter("doc_id <=> rep").dropDuplicates(["tid"])
     links = verified_links(own.select("tid", "comp", "n", "text"), "jaccard-links")
     counts = links.groupBy("tid").agg(F.sum("links").alias("n_links"))
     classes = components(links.filter("tid <> root").select(F.col("tid").alias("u"), F.col("root").alias("v")), "jaccard-classes")
