@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -231,10 +232,14 @@ def shard_spans(segments: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for table, bounds in whole_groups(batches, "gid"):
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                part = table.slice(a, b - a)
-                held.append(part)
-                size += sum(len(x) for c in part.column("bytes").chunks for x in c.to_pylist()) if b - a < 8 else part.column("bytes").nbytes
+            total = np.concatenate([[0], np.cumsum(pc.binary_length(table.column("bytes")).to_numpy())])
+            reach = total[bounds]
+            at = 0
+            while at < len(bounds) - 1:
+                end = min(max(int(np.searchsorted(reach, reach[at] + SHARD_BYTES - size)), at + 1), len(bounds) - 1)
+                held.append(table.slice(bounds[at], bounds[end] - bounds[at]))
+                size += int(reach[end] - reach[at])
+                at = end
                 if size >= SHARD_BYTES:
                     yield from shard(pa.concat_tables(held))
                     held, size = [], 0
@@ -243,6 +248,16 @@ def shard_spans(segments: DataFrame) -> DataFrame:
 
     def shard(table: pa.Table) -> Iterator[pa.RecordBatch]:
         table = table.sort_by([("ord", "ascending"), ("tid", "ascending"), ("first", "ascending")]).combine_chunks()
+        # of equal segments the first goes on; every window of the others starts earlier in it
+        alike = table.column("bytes").combine_chunks().dictionary_encode().indices.to_numpy()
+        _, lead = np.unique(alike, return_index=True)
+        same = np.ones(len(alike), bool)
+        same[lead] = False
+        if same.any():
+            part = table.filter(pa.array(same))
+            begin = part.column("first").to_numpy()
+            yield found(False, part.column("tid").combine_chunks(), begin, begin + pc.binary_length(part.column("bytes")).to_numpy())
+        table = table.take(pa.array(np.sort(lead))).combine_chunks()
         pieces = table.column("bytes").to_pylist()
         tids, first = table.column("tid").combine_chunks(), table.column("first").to_numpy()
         spread = table.column("spread").to_numpy()
