@@ -31,13 +31,15 @@ def fold(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     letter = tv.LETTER[buf]
     keep = letter.copy()
     keep[1:] |= letter[:-1]
-    keep[offsets[:-1][offsets[:-1] < len(buf)]] = letter[offsets[:-1][offsets[:-1] < len(buf)]]
-    lasts = offsets[1:][np.diff(offsets) > 0] - 1
-    out = np.where(letter, tv.lower(buf), np.uint8(32))
+    begins = offsets[:-1][np.diff(offsets) > 0]
+    keep[begins] = letter[begins]
+    out = np.where(letter, tv.lower(buf), np.uint8(32))[keep]
     places = np.zeros(len(buf) + 1, np.int64)
-    keep[lasts] &= letter[lasts]
     np.cumsum(keep, out=places[1:])
-    return out[keep], places[offsets]
+    bounds = places[offsets]
+    lasts = bounds[1:][np.diff(bounds) > 0] - 1
+    blank = lasts[out[lasts] == 32]
+    return np.delete(out, blank), bounds - np.searchsorted(blank, bounds)
 
 
 def qgrams(buf: np.ndarray) -> np.ndarray:

@@ -266,7 +266,7 @@ def shard_spans(segments: DataFrame) -> DataFrame:
         new = np.ones(len(later), bool)
         new[1:] = (later[1:] != later[:-1] + 1) | (owner[1:] != owner[:-1])
         begin = np.flatnonzero(new)
-        end = np.append(begin[1:], len(later)) - 1
+        end = np.append(begin, len(later))[1:] - 1
         who = owner[begin]
         a = first[who] + later[begin] - starts[who]
         b = first[who] + later[end] - starts[who] + LENGTH
