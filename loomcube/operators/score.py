@@ -15,7 +15,7 @@ def measures(grid: DataFrame) -> DataFrame:
     """``grid(category, entity, tf, df)`` with pop, ntf, ndf, ratio, dist and score.
 
     Totals of a category are aggregated before they are joined back, so a category is never gathered in one task;
-    there are as many of them as categories. The sum over categories is taken per entity. A category whose total is
+    the join is left to adaptive execution, which sends a small side whole and splits a hot category otherwise. The sum over categories is taken per entity. A category whose total is
     1 or 0 has no popularity (null).
     """
     totals = grid.groupBy("category").agg(
@@ -25,7 +25,7 @@ def measures(grid: DataFrame) -> DataFrame:
     pop = F.try_divide(F.ln(d("tf") + 1), F.nullif(F.ln(F.nullif(d("total"), F.lit(0))), F.lit(0.0)))
     ntf = F.try_divide(d("tf") * (K1 + 1), d("tf") + K1 * (1 - B + B * d("n_entities")))
     ndf = F.when(d("df") == 0, F.lit(0.0)).otherwise(F.try_divide(F.ln(d("df") + 1), F.ln(d("max_df") + 1)))
-    base = grid.join(F.broadcast(totals), "category").select("category", "entity", "tf", "df", pop.alias("pop"), ntf.alias("ntf"), ndf.alias("ndf"))
+    base = grid.join(totals, "category").select("category", "entity", "tf", "df", pop.alias("pop"), ntf.alias("ntf"), ndf.alias("ndf"))
     ratio = base.withColumn("ratio", d("ntf") * d("ndf"))
     everywhere = F.sum(F.exp("ratio")).over(Window.partitionBy("entity"))
     dist = (F.exp("ratio") - 1) / (1 + everywhere)
