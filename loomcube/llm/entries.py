@@ -20,4 +20,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op3_quality_rules": quality_rules.ORACLE_SQL,
     "op4_url_filters": url_filters.ORACLE_SQL,
+    "op9_warc": warc.ORACLE_SQL,
+    "op10_jaccard_join": jaccard.ORACLE_SQL,
 }

@@ -295,3 +295,18 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE t AS (SELECT text, min(doc_id) AS id FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) GROUP BY text),
+w AS (SELECT id, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda v: v <> '') AS ws FROM t),
+g AS (SELECT DISTINCT id, array_to_string(list_slice(ws, i, i + 4), ' ') AS gram FROM (SELECT id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+c AS (SELECT a.id AS a, b.id AS b, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.id < b.id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE common * 10 >= 8 * (x.n + y.n - common)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT id, id AS seen FROM t UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.seen),
+k AS (SELECT id, min(seen) AS class_id FROM r GROUP BY id),
+d AS (SELECT a AS id, count(*) AS n_links FROM e GROUP BY a)
+SELECT doc_id, k.class_id, t.id AS copy_of, coalesce(d.n_links, 0) AS n_links FROM documents JOIN t ON t.text = coalesce(documents.text, '')
+ JOIN k ON k.id = t.id LEFT JOIN d ON d.id = t.id"""

@@ -218,3 +218,15 @@ def archive_pages(pages: DataFrame, root: str | None = None, roll: int = ROLL_BY
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("url")
+
+
+#: The base32 alphabet and the bits of hexadecimal digits.
+_BITS = ", ".join(f"'{i:04b}'" for i in range(16))
+ORACLE_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+b AS (SELECT page_id, h, array_to_string(list_transform(range(1, 41), lambda i: ([{_BITS}])[1 + strpos('0123456789abcdef', substr(sha1(h), CAST(i AS INTEGER), 1)) - 1]), '') AS bits FROM p),
+d AS (SELECT page_id, h, array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  1 + CAST(list_sum(list_transform(range(0, 5), lambda j: CAST(substr(bits, CAST(k * 5 + j + 1 AS INTEGER), 1) AS INTEGER) * CAST(power(2, 4 - j) AS INTEGER))) AS INTEGER), 1)), '') AS payload_digest FROM b),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM d)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> top THEN top END AS refers_to, true AS intact FROM m"""
