@@ -142,15 +142,16 @@ def search(probes: Probes, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.nda
     pair = text * len(probes.owner) + window
     pairs, inverse, total = np.unique(pair, return_inverse=True, return_counts=True)
     likely = (total >= probes.needed[pairs % len(probes.owner)])[inverse]
-    at, window, place, text = at[likely], window[likely], place[likely], text[likely]
+    at, window, place, dense = at[likely], window[likely], place[likely], inverse[likely]
     if not len(at):
         return none
     step = probes.budget[window] + 1
     band = (at - place + (1 << 20)) // step
-    key = (text * len(probes.owner) + window) * (1 << 33) + band
+    key = dense * (1 << 33) + band  # pairs by their dense numbers: their own would leave no bits for the band
     keys = np.concatenate([key, key - 1])
     keys, counts = np.unique(keys, return_counts=True)
-    window, band, text = (keys >> 33) % len(probes.owner), keys & ((1 << 33) - 1), (keys >> 33) // len(probes.owner)
+    text, window = np.divmod(pairs[keys >> 33], len(probes.owner))
+    band = keys & ((1 << 33) - 1)
     enough = counts >= probes.needed[window]
     window, band, text = window[enough], band[enough], text[enough]
     if not len(window):
@@ -176,7 +177,8 @@ def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ``n_windows`` windows of the item occur within their edit budget, the best with ``edits`` edits; ``end_byte``
     is the earliest end of one in the folded text. No exchange: the benchmark is sent to the workers in blocks of
     stated size, one scan each. Null and empty texts match nothing; items under twelve folded bytes are not
-    searched; repeated rows give repeated results; equal items each give a row. Other columns are ignored.
+    searched, nor are those whose item_id is null, as no row could name them; repeated rows give repeated results;
+    equal items each give a row. Other columns are ignored.
     """
     rows = docs.select("doc_id", "text")
     parts = [_scan(rows, items) for items in item_blocks(benchmark)]
@@ -187,7 +189,10 @@ def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in blocks of about :data:`BLOCK_OF_ITEMS` bytes; the driver holds one at a time."""
+    """The benchmark in blocks of about :data:`BLOCK_OF_ITEMS` bytes; the driver holds one at a time.
+
+    Items whose item_id or text is null are left out, also where documents are dropped.
+    """
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-size // BLOCK_OF_ITEMS))
@@ -197,7 +202,10 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that share no passage with the benchmark, with their own columns; nothing is exchanged."""
+    """The documents that share no passage with the benchmark, with their own columns; nothing is exchanged.
+
+    As in :func:`find_passages`, items without an item_id are not searched.
+    """
     for items in item_blocks(benchmark):
         docs = map_arrow(docs, _clean_rows(items, docs.columns.index("text")), docs.schema)
     return docs

@@ -81,3 +81,15 @@ def test_edge_cases(frame, edge_docs, edge_rows, no_docs):
     assert decontam.find_passages(edge_docs, none).count() == 0 and decontam.find_passages(no_docs, items).count() == 0
     assert decontam.drop_contaminated(edge_docs, none).count() == len(edge_rows)
     assert decontam.drop_contaminated(edge_docs, items).columns == edge_docs.columns
+
+
+def test_many_texts_by_many_windows():
+    r = random.Random(12)
+    items = [(i, "".join(r.choice("abcdefghijklmnop") for _ in range(20))) for i in range(60_000)]
+    probes = decontam.Probes(items)
+    texts = [b"nothing to find here"] * 20_000
+    texts[3], texts[19_990] = items[41][1].encode(), items[59_321][1].encode()
+    offsets = np.cumsum([0] + [len(t) for t in texts])
+    text, window, edits, _ = decontam.search(probes, np.frombuffer(b"".join(texts), np.uint8), offsets)
+    assert len(texts) * len(items) > 1 << 30
+    assert set(zip(text.tolist(), probes.owner[window].tolist(), edits.tolist(), strict=True)) == {(3, 41, 0), (19_990, 59_321, 0)}
