@@ -1,7 +1,9 @@
 """Benchmark decontamination by the q-gram lemma: count shared q-grams in diagonal bands, then align in the band.
 
 Texts and benchmark items are folded (lower case, runs of other characters become one blank). An item is probed
-by overlapping windows. A window of length m that occurs with at most k edits shares at least m + 1 - q - k q of
+by windows of 60 and of 96 bytes that start at every fourth byte (a last one ends with the item), so every verbatim
+quotation of 63 folded bytes or more holds a whole window and is found, wherever in the item it starts. Shorter ones
+are found only where they hold a window; an item of up to 60 bytes is one window. A window of length m that occurs with at most k edits shares at least m + 1 - q - k q of
 its q-grams with the text on diagonals that span at most k; bands of twice that width, each overlapping the next
 by half, therefore hold all of them. Regions that reach the bound are verified by alignment.
 """
@@ -18,8 +20,12 @@ from pyspark.sql import functions as F
 from loomcube.llm import textvec as tv
 from loomcube.llm.common import map_arrow, text_blocks
 
-#: Length of a q-gram, length and step of a window in bytes of folded text, and the edits it may have.
-Q, WINDOW, STEP, EDIT_PERCENT = 12, 96, 48, 6
+#: Length of a q-gram, and the edits that a window may have.
+Q, EDIT_PERCENT = 12, 6
+#: Lengths of the windows and their step, in bytes of folded text. The long ones allow more edits close together.
+WINDOWS, STEP = (60, 96), 4
+#: A verbatim quotation of this many folded bytes of an item holds a whole window, wherever in the item it starts.
+LEAST_QUOTATION = min(WINDOWS) + STEP - 1
 #: Bytes of benchmark text that are sent to the workers at a time; more are taken in further scans.
 BLOCK_OF_ITEMS = 8 << 20
 SCHEMA = "doc_id long, item_id long, n_windows long, edits long, end_byte long"
@@ -62,41 +68,84 @@ def edit_budget(length: int) -> int:
     return max(0, min(length * EDIT_PERCENT // 100, (length - Q) // Q))
 
 
+class WindowsOfSize:
+    """Windows of one size: by item their length, edits and the q-grams that they must share, and where each starts.
+
+    An item that a smaller size holds whole has no windows of that size, since it is a window of the largest.
+    """
+
+    def __init__(self, begin: np.ndarray, lengths: np.ndarray, size: int) -> None:
+        self.begin, self.length = begin, np.minimum(lengths, size)
+        self.budget = np.array([edit_budget(n) for n in range(size + 1)], np.int64)[self.length]
+        self.needed = self.length + 1 - Q - self.budget * Q
+        spare = lengths - self.length
+        number = spare // STEP + 1 + (spare % STEP > 0)  # the last window ends with the item
+        if size < max(WINDOWS):
+            number[spare == 0] = 0
+        self.item = np.repeat(np.arange(len(lengths)), number)
+        nth = np.arange(len(self.item)) - np.repeat(np.cumsum(number) - number, number)
+        self.start = begin[self.item] + np.minimum(nth * STEP, spare[self.item])
+        #: Number of the first of them among the windows of all sizes
+        self.first = 0
+
+    def candidates(self, group: np.ndarray, item: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(group, window)`` of every window that holds enough of the places of a group; a group is of one item."""
+        order = np.lexsort((place, group))
+        group, item, place = group[order], item[order], place[order]
+        last = np.arange(len(group)) + self.needed[item] - 1
+        inside = last < len(group)
+        last[~inside] = 0
+        reach = self.length[item] - Q
+        inside &= (group[last] == group) & (place[last] - place <= reach)
+        least = np.maximum(place[last[inside]] - reach[inside], self.begin[item[inside]])
+        low, high = np.searchsorted(self.start, least), np.searchsorted(self.start, place[inside], "right")
+        spans = np.unique(np.stack([group[inside], low, high], 1)[high > low], axis=0)
+        times = spans[:, 2] - spans[:, 1]
+        window = np.repeat(spans[:, 1] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        both = np.unique(np.stack([np.repeat(spans[:, 0], times), window], 1), axis=0)
+        return both[:, 0], both[:, 1] + self.first
+
+
 class Probes:
-    """Windows of the items of a benchmark block and an index of their q-grams."""
+    """Windows of the items of a benchmark block and an index of the q-grams of the items.
+
+    The index holds every q-gram of an item once, whatever the number of windows it lies in.
+    """
 
     TABLE_BITS = 22
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
-        owners, pieces = [], []
-        for item, text in items:
-            raw = np.frombuffer((text or "").encode(), np.uint8)
-            buf, _ = fold(raw, np.array([0, len(raw)])) if len(raw) else (raw, None)
-            starts = list(range(0, max(len(buf) - WINDOW, 0) + 1, STEP))
-            if starts[-1] + WINDOW < len(buf):
-                starts.append(len(buf) - WINDOW)
-            for s in starts:
-                if len(piece := buf[s : s + WINDOW]) >= Q:
-                    owners.append(item)
-                    pieces.append(piece)
-        self.owner = np.array(owners, np.int64)
-        self.length = np.array([len(p) for p in pieces], np.int64)
-        self.budget = np.array([edit_budget(len(p)) for p in pieces], np.int64)
-        self.needed = self.length + 1 - Q - self.budget * Q
-        self.text = np.zeros((len(pieces), WINDOW), np.uint8)
-        for k, p in enumerate(pieces):
-            self.text[k, : len(p)] = p
-        grams = [qgrams(p) for p in pieces]
-        values = np.concatenate(grams) if grams else np.zeros(0, U)
-        order = np.argsort(values, kind="stable")
-        self.window = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order] if grams else np.zeros(0, np.int64)
-        self.place = np.concatenate([np.arange(len(g)) for g in grams])[order] if grams else np.zeros(0, np.int64)
-        self.values, self.first, self.count = np.unique(values[order], return_index=True, return_counts=True)
+        raws = [(text or "").encode() for _, text in items]
+        ends = np.cumsum([0] + [len(raw) for raw in raws])
+        buf, bounds = fold(np.frombuffer(b"".join(raws), np.uint8), ends) if ends[-1] else (np.zeros(0, np.uint8), ends)
+        lengths = np.diff(bounds)
+        used = np.flatnonzero(lengths >= Q)
+        self.bytes, self.begin, self.end = buf, bounds[:-1][used], bounds[1:][used]
+        owners = np.array([item for item, _ in items], np.int64)[used]
+        self.sizes = [WindowsOfSize(self.begin, lengths[used], size) for size in WINDOWS]
+        first = 0
+        for sized in self.sizes:
+            sized.first = first
+            first += len(sized.start)
+        item = np.concatenate([sized.item for sized in self.sizes])
+        self.owner, self.start = owners[item], np.concatenate([sized.start for sized in self.sizes])
+        self.length, self.budget = (np.concatenate([getattr(sized, k)[sized.item] for sized in self.sizes]) for k in ("length", "budget"))
+        self.padded = np.concatenate([buf, np.zeros(max(WINDOWS), np.uint8)])
+        grams = qgrams(buf)
+        whole = np.zeros(len(buf) + 1, np.int8)
+        np.add.at(whole, self.begin, 1)
+        np.add.at(whole, self.end + 1 - Q, -1)
+        places = np.flatnonzero(np.cumsum(whole)[: len(grams)])
+        order = np.argsort(grams[places], kind="stable")
+        self.place = places[order]
+        values = grams[self.place]
+        heads = np.flatnonzero(np.concatenate([np.ones(min(len(values), 1), bool), values[1:] != values[:-1]]))
+        self.values, self.head, self.count = values[heads], heads, np.diff(np.append(heads, len(values)))
         self.table = np.zeros(1 << self.TABLE_BITS, bool)
         self.table[self.values >> U(64 - self.TABLE_BITS)] = True
 
-    def hits(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text position, window and position in the window of every shared q-gram."""
+    def hits(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Text position and position in the bytes of the items of every shared q-gram."""
         grams = qgrams(buf)
         at = np.flatnonzero(self.table[grams >> U(64 - self.TABLE_BITS)])
         found = np.searchsorted(self.values, grams[at])
@@ -104,8 +153,18 @@ class Probes:
         same = self.values[found] == grams[at] if len(self.values) else np.zeros(len(at), bool)
         at, found = at[same], found[same]
         times = self.count[found]
-        entry = np.repeat(self.first[found] - np.cumsum(times) + times, times) + np.arange(times.sum())
-        return np.repeat(at, times), self.window[entry], self.place[entry]
+        entry = np.repeat(self.head[found] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        return np.repeat(at, times), self.place[entry]
+
+    def pieces(self, window: np.ndarray) -> np.ndarray:
+        """A matrix with the bytes of a window in each row, with zeros after its end."""
+        out = np.lib.stride_tricks.sliding_window_view(self.padded, max(WINDOWS))[self.start[window]]
+        return np.where(np.arange(max(WINDOWS)) < self.length[window][:, None], out, np.uint8(0))
+
+    @property
+    def text(self) -> np.ndarray:
+        """The bytes of all windows."""
+        return self.pieces(np.arange(len(self.owner)))
 
 
 def align(window: np.ndarray, length: np.ndarray, region: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,50 +191,55 @@ def align(window: np.ndarray, length: np.ndarray, region: np.ndarray) -> tuple[n
 def search(probes: Probes, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """Verified ``(text, window, edits, end in the folded text)`` of a block of folded texts."""
     none = (np.zeros(0, np.int64),) * 4
-    at, window, place = probes.hits(buf) if len(probes.owner) else (np.zeros(0, np.int64),) * 3
+    at, place = probes.hits(buf) if len(probes.owner) else (np.zeros(0, np.int64),) * 2
     if not len(at):
         return none
     text = np.searchsorted(offsets, at, "right") - 1
     whole = at + Q <= offsets[text + 1]
-    at, window, place, text = at[whole], window[whole], place[whole], text[whole]
-    # windows that lack hits altogether go before any band is counted
-    pair = text * len(probes.owner) + window
-    pairs, inverse, total = np.unique(pair, return_inverse=True, return_counts=True)
-    likely = (total >= probes.needed[pairs % len(probes.owner)])[inverse]
-    at, window, place, dense = at[likely], window[likely], place[likely], inverse[likely]
-    if not len(at):
-        return none
-    step = probes.budget[window] + 1
-    band = (at - place + (1 << 20)) // step
-    key = dense * (1 << 33) + band  # pairs by their dense numbers: their own would leave no bits for the band
-    keys = np.concatenate([key, key - 1])
-    keys, counts = np.unique(keys, return_counts=True)
-    text, window = np.divmod(pairs[keys >> 33], len(probes.owner))
-    band = keys & ((1 << 33) - 1)
-    enough = counts >= probes.needed[window]
-    window, band, text = window[enough], band[enough], text[enough]
+    at, place, text = at[whole], place[whole], text[whole]
+    item = np.searchsorted(probes.begin, place, "right") - 1
+    parts = [_in_bands(probes, sized, at, place, text, item) for sized in probes.sizes]
+    text, window, low = (np.concatenate(x) for x in zip(*parts, strict=True))
     if not len(window):
         return none
-    step = probes.budget[window] + 1
-    low = band * step - (1 << 20) - probes.budget[window]
     out = []
-    span = WINDOW + 4 * int(probes.budget.max()) + 4
+    span = max(WINDOWS) + 4 * int(probes.budget.max()) + 4
     for a in range(0, len(window), 512):
         w, t, l = window[a : a + 512], text[a : a + 512], low[a : a + 512]
         spots = l[:, None] + np.arange(span)
         inside = (spots >= offsets[t][:, None]) & (spots < offsets[t + 1][:, None])
         region = np.where(inside, buf[np.clip(spots, 0, len(buf) - 1)], 0)
-        edits, end = align(probes.text[w], probes.length[w], region)
+        edits, end = align(probes.pieces(w), probes.length[w], region)
         good = edits <= probes.budget[w]
         out.append((t[good], w[good], edits[good], (l + end)[good]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _in_bands(probes: Probes, sized: WindowsOfSize, at: np.ndarray, place: np.ndarray, text: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``(text, window, where its region begins)`` of the windows of a size with enough shared q-grams in a band."""
+    # items that lack hits altogether go before any band is counted
+    pairs, inverse, total = np.unique(text * len(probes.begin) + item, return_inverse=True, return_counts=True)
+    likely = (total >= sized.needed[pairs % len(probes.begin)])[inverse]
+    at, place, item, dense = at[likely], place[likely], item[likely], inverse[likely]
+    # bands of the diagonals of an item are those of all of its windows
+    shift = len(probes.bytes) + max(WINDOWS)
+    band = (at - place + shift) // (sized.budget[item] + 1)
+    key = dense * (1 << 33) + band  # pairs by their dense numbers: their own would leave no bits for the band
+    keys, group, counts = np.unique(np.concatenate([key, key - 1]), return_inverse=True, return_counts=True)
+    item, place = np.concatenate([item, item]), np.concatenate([place, place])
+    enough = counts[group] >= sized.needed[item]
+    group, window = sized.candidates(group[enough], item[enough], place[enough])
+    band = keys[group] & ((1 << 33) - 1)
+    low = band * (probes.budget[window] + 1) - shift + probes.start[window] - probes.budget[window]
+    return pairs[keys[group] >> 33] // len(probes.begin), window, low
+
+
 def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document row and benchmark item that shares a passage with it.
 
-    ``n_windows`` windows of the item occur within their edit budget, the best with ``edits`` edits; ``end_byte``
-    is the earliest end of one in the folded text. No exchange: the benchmark is sent to the workers in blocks of
+    Every quotation of :data:`LEAST_QUOTATION` folded bytes of an item is found, and every window with at most 6 %
+    edits. ``n_windows`` windows of the item occur within their edit budget, the best with ``edits`` edits;
+    ``end_byte`` is the earliest end of one in the folded text. No exchange: the benchmark is sent to the workers in blocks of
     stated size, one scan each. Null and empty texts match nothing; items under twelve folded bytes are not
     searched, nor are those whose item_id is null, as no row could name them; repeated rows give repeated results;
     equal items each give a row. Other columns are ignored.

@@ -93,3 +93,38 @@ def test_many_texts_by_many_windows():
     text, window, edits, _ = decontam.search(probes, np.frombuffer(b"".join(texts), np.uint8), offsets)
     assert len(texts) * len(items) > 1 << 30
     assert set(zip(text.tolist(), probes.owner[window].tolist(), edits.tolist(), strict=True)) == {(3, 41, 0), (19_990, 59_321, 0)}
+
+
+def test_partial_quotations_at_all_offsets():
+    r = random.Random(13)
+    items = [(1, sentence(r, 45)), (2, sentence(r, 12)[:63]), (3, sentence(r, 30))]
+    probes = decontam.Probes(items)
+    least = 63
+    for item, text in items:
+        quoted = folded(text)
+        texts, want = [], set()
+        for start in range(len(quoted) - least + 1):
+            want.add(len(texts))
+            texts.append(sentence(r, 9).encode() + b" " + quoted[start : start + least] + b" " + sentence(r, 9).encode())
+        offsets = np.cumsum([0] + [len(t) for t in texts])
+        found, window, edits, _ = decontam.search(probes, np.frombuffer(b"".join(texts), np.uint8), offsets)
+        assert set(found.tolist()) == want and set(probes.owner[window].tolist()) == {item}
+        for k, b in enumerate(texts[:: max(1, len(texts) // 6)]):
+            best = min(distance(probes.text[w, : probes.length[w]].tobytes(), b) for w in np.flatnonzero(probes.owner == item))
+            assert best == edits[found == k * max(1, len(texts) // 6)].min()
+
+
+def test_long_quotations_through_the_query(frame):
+    r = random.Random(14)
+    item = folded(sentence(r, 60)).decode()
+    docs = [(s, f"{sentence(r, 20)} {item[s : s + 65]} {sentence(r, 20)}") for s in range(0, len(item) - 65, 7)]
+    found = decontam.find_passages(frame(docs, "doc_id long, text string"), frame([(5, item)], "item_id long, text string")).collect()
+    assert sorted(x["doc_id"] for x in found) == [d for d, _ in docs]
+
+
+def test_edits_close_together():
+    r = random.Random(15)
+    item = folded(sentence(r, 40))[:96]
+    text = item[:40] + b"z" + item[41:45] + b"z" + item[46:50] + b"z" + item[51:55] + b"z" + item[56:]
+    found, window, edits, _ = decontam.search(decontam.Probes([(1, item.decode())]), np.frombuffer(text, np.uint8), np.array([0, 96]))
+    assert len(found) and edits.min() == 4
