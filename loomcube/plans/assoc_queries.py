@@ -120,7 +120,8 @@ def _holdout(spark, d):
 
 def _pca(spark, d):
     e = t.table(spark, d, "embeddings")
-    return assoc.components(e.select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(8))), "vec_id", [f"x{i}" for i in range(8)])
+    names = [f"x{i}" for i in range(e.agg(F.max(F.size("embedding")).alias("n")).first()["n"])]
+    return assoc.components(e.select("vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(x) for i, x in enumerate(names))), "vec_id", names)
 
 
 def _link_model(spark, d):

@@ -105,3 +105,17 @@ def test_enrichment_is_the_hypergeometric_tail(frame):
 def test_empty_tables(frame):
     assert score.score(frame([], OBS)).count() == 0
     assert assoc.z_scores(frame([], "category string, entity string, score double")).count() == 0
+
+
+def test_pca_of_whole_vectors(spark, frame, tmp_path):
+    import numpy as np
+
+    from loomcube.plans import assoc_queries
+
+    r = np.random.default_rng(3)
+    x = r.normal(size=(40, 12)) + np.outer(r.normal(size=40), np.arange(12)) + np.outer(r.normal(size=40), np.arange(12)[::-1] / 3)
+    frame([(i, v.tolist(), "a") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label string").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = np.array([(o["pc1"], o["pc2"]) for o in assoc_queries.QUERIES["pca_scores"](spark, str(tmp_path)).orderBy("vec_id").collect()])
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    want = z @ np.linalg.svd(z)[2][:2].T
+    assert np.allclose(np.abs(got), np.abs(want))
