@@ -144,15 +144,29 @@ def holdout(edges: DataFrame, share: float = 0.3, seed: int = 1) -> DataFrame:
 
 
 def negative_edges(edges: DataFrame, nodes: DataFrame, per_node: int = 1, seed: int = 1) -> DataFrame:
-    """``head, tail`` pairs that are no edges: nodes numbered by hash are paired with the next ones in that order."""
+    """``head, tail`` pairs that are no edges: nodes numbered by hash are paired with the next ones in that order.
+
+    The numbers have no gaps and the last nodes are paired with the first, so every node has ``per_node`` pairs
+    before edges are taken out. Only a count per partition reaches the driver.
+    """
     from loomcube.operators.hierarchy import stored
 
     ranged = nodes.select("node", F.xxhash64("node", F.lit(seed)).alias("h")).repartitionByRange("h").sortWithinPartitions("h")
     numbered = stored(ranged.withColumn("id", F.monotonically_increasing_id()))
+    part = F.shiftright("id", 33)
+    counts = sorted((r["p"], r["n"]) for r in numbered.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+    total, starts = 0, []
+    for p, n in counts:
+        starts += [F.lit(p), F.lit(total).cast("long")]
+        total += n
+    if not total:
+        return nodes.select(F.col("node").alias("head"), F.col("node").alias("tail"))
+    numbered = numbered.withColumn("id", F.element_at(F.create_map(*starts), part) + F.col("id").bitwiseAND(F.lit((1 << 33) - 1)))
     steps = F.explode(F.sequence(F.lit(1), F.lit(per_node)))
-    shifted = numbered.select(F.col("node").alias("head"), "id", steps.alias("k")).withColumn("next", F.col("id") + F.col("k"))
+    shifted = numbered.select(F.col("node").alias("head"), "id", steps.alias("k")).withColumn("next", F.pmod(F.col("id") + F.col("k"), F.lit(total)))
     pairs = shifted.join(numbered.select(F.col("node").alias("tail"), F.col("id").alias("next")), "next").select("head", "tail")
-    return undirected(pairs).join(undirected(edges).select("lo", "hi").distinct(), ["lo", "hi"], "left_anti").select("head", "tail")
+    pairs = undirected(pairs.filter("head <> tail")).dropDuplicates(["lo", "hi"])
+    return pairs.join(undirected(edges).select("lo", "hi").distinct(), ["lo", "hi"], "left_anti").select("head", "tail")
 
 
 def fit_edge_model(pairs: DataFrame, features: DataFrame, seed: int = 1):

@@ -124,11 +124,19 @@ def _pca(spark, d):
     return assoc.components(e.select("vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(x) for i, x in enumerate(names))), "vec_id", names)
 
 
+def _link_pairs(spark, d):
+    """Known edges, held out so that every node keeps one, and hashed pairs that are none, split in the same share."""
+    edges = _truth(spark, d)
+    nodes = t.table(spark, d, "embeddings").select(F.col("vec_id").alias("node"))
+    known = kg.holdout(edges).select("head", "tail", F.lit(True).alias("is_true"), "part")
+    test = F.pmod(F.xxhash64("head", "tail"), F.lit(10)) < 3
+    others = kg.negative_edges(edges, nodes).select("head", "tail", F.lit(False).alias("is_true"), F.when(test, "test").otherwise("train").alias("part"))
+    return known.unionByName(others)
+
+
 def _link_model(spark, d):
     e = t.table(spark, d, "embeddings").select(F.col("vec_id").alias("node"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
-    pairs = _pairs(spark, d).select(F.col("sources").alias("head"), F.col("destinations").alias("tail"), F.col("same").alias("is_true"))
-    pairs = pairs.withColumn("part", F.when(F.pmod(F.xxhash64("head", "tail"), F.lit(10)) < 3, "test").otherwise("train"))
-    return kg.auroc(kg.fit_edge_model(pairs, e).filter("part = 'test'"))
+    return kg.auroc(kg.fit_edge_model(_link_pairs(spark, d), e).filter("part = 'test'"))
 
 
 def _scaled(spark, d):

@@ -118,3 +118,22 @@ def test_holdout_leaves_every_node_an_edge(frame):
     negatives = set(rows(kg.negative_edges(edges, nodes, 3), "head", "tail"))
     own = {frozenset(r) for r in rows(edges, "head", "tail")}
     assert negatives and not any(frozenset(p) in own for p in negatives)
+
+
+def test_negatives_of_every_node(frame):
+    nodes = frame([(i,) for i in range(500)], "node long").repartition(4)
+    pairs = rows(kg.negative_edges(frame([], "head long, tail long"), nodes, 2), "head", "tail")
+    heads = [h for h, _ in pairs]
+    assert len(pairs) == 1000 and all(heads.count(i) == 2 for i in range(500))
+
+
+def test_link_pairs(spark, frame, tmp_path):
+    from loomcube.plans import assoc_queries
+
+    frame([(i, [1.0, float(i % 5), 2.0], i // 7 % 2) for i in range(90)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    pairs = assoc_queries._link_pairs(spark, str(tmp_path)).collect()
+    known = [p for p in pairs if p["is_true"]]
+    ends = {x for p in known for x in (p["head"], p["tail"])}
+    assert ends == {x for p in known if p["part"] == "train" for x in (p["head"], p["tail"])}
+    others = {frozenset((p["head"], p["tail"])) for p in pairs if not p["is_true"]}
+    assert len(others) > 60 and not others & {frozenset((p["head"], p["tail"])) for p in known}
