@@ -67,7 +67,7 @@ def _pathways(spark, d):
 
 
 def _mixed_core(spark, d):
-    """Parts with a round retail price make the core for pathways."""
+    """Every seventh part by its key makes the core for pathways; the SQL of these queries fixes it so."""
     return t.table(spark, d, "part").filter("p_partkey % 7 = 0").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("entity"))
 
 
