@@ -18,13 +18,19 @@ from pyspark.sql.types import StructType
 BLOCK_BYTES = 1 << 20
 
 
+def on_one_machine(spark: SparkSession) -> bool:
+    """Whether driver and workers see the same local folders."""
+    master = spark.sparkContext.master
+    return master.startswith("local") and not master.startswith("local-cluster")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers once per application, so that executors need no copy of it."""
     sc = spark.sparkContext
     if getattr(sc, "_loomcube_shipped", False):
         return
     package = Path(__file__).resolve().parent.parent
-    if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):  # workers see this machine's folders
+    if on_one_machine(spark):
         known = sc.environment.get("PYTHONPATH", "")
         sc.environment["PYTHONPATH"] = f"{package.parent}:{known}" if known else str(package.parent)
         sc._loomcube_shipped = True
@@ -44,12 +50,36 @@ def map_arrow(df: DataFrame, function: Callable, schema: StructType | str) -> Da
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a private one only where the session names none (tests)."""
+    """This application's folder below ``spark.checkpoint.dir``; Hadoop removes it when the driver's JVM ends.
+
+    Without the setting a private folder serves where all workers are on this machine (tests); elsewhere it is an
+    error, since executors would write where no other reads.
+    """
+    sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not on_one_machine(spark):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         where = f"file://{tempfile.mkdtemp(prefix='loomcube-')}"
         spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    folder = f"{where.rstrip('/')}/loomcube-{sc.applicationId}"
+    if getattr(sc, "_loomcube_folder", None) != folder:
+        files, path = _hadoop(spark, folder)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        sc._loomcube_folder = folder
+    return folder
+
+
+def _hadoop(spark: SparkSession, path: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate results, whatever store it is in."""
+    files, where = _hadoop(spark, path)
+    files.delete(where, True)
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
@@ -57,7 +87,15 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loomcube_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialised tables whose last reader has been written."""
+    for table in tables:
+        remove(table.sparkSession, table._loomcube_path)
 
 
 def global_row_number(df: DataFrame, order: list[Column], name: str, tag: str) -> tuple[DataFrame, int]:
@@ -74,17 +112,15 @@ def global_row_number(df: DataFrame, order: list[Column], name: str, tag: str) -
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = ranged.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop(tie)
     stored = materialise(ranged.withColumn("__mid", F.monotonically_increasing_id()), tag)
-    part = F.shiftright("__mid", 33)
-    counts = sorted((r["p"], r["n"]) for r in stored.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+    stored = stored.withColumn("__part", F.shiftright("__mid", 33))
+    counts = sorted((r["p"], r["n"]) for r in stored.groupBy(F.col("__part").alias("p")).agg(F.count("*").alias("n")).collect())
     total, starts = 0, []
     for p, c in counts:
-        starts += [F.lit(p), F.lit(total)]
+        starts.append((p, total))
         total += c
-    if not starts:
-        return stored.withColumn(name, F.lit(None).cast("long")).drop("__mid"), 0
-    base = F.element_at(F.create_map(*starts), part.cast("int")).cast("long")
-    index = F.col("__mid").bitwiseAND(F.lit((1 << 33) - 1))
-    return stored.withColumn(name, base + index).drop("__mid"), total
+    base = df.sparkSession.createDataFrame(starts, "__part long, __start long")  # a row for each partition
+    index = F.col("__start") + F.col("__mid").bitwiseAND(F.lit((1 << 33) - 1))
+    return stored.join(F.broadcast(base), "__part").withColumn(name, index).drop("__mid", "__part", "__start"), total
 
 
 def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -153,7 +189,8 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
 
     Alternating large-star and small-star rounds: edges shrink to stars in a number of rounds that grows with the
     logarithm of the path lengths. Every round is written to the shared folder; only a count and a checksum reach
-    the driver. Minima are pre-aggregated and the joins have one row per node on one side, so hubs can be split.
+    the driver. Minima are pre-aggregated and written, so that they join as a plain table with one row a node:
+    nothing is aggregated on top of the exchange of a hub's edges, and adaptive execution may split that hub.
     """
     edges = materialise(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), tag)
     seen = None
@@ -163,9 +200,10 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
         seen = state["n"], state["s"]
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        hooked = large.join(least, "u")
-        small = hooked.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
-        edges = materialise(small.distinct(), tag)
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), tag)
+        large = materialise(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), tag)
+        discard(edges, least)
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), tag)
+        hooked = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        edges = materialise(hooked.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), tag)
+        discard(large, least)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomcube.llm import textvec as tv
-from loomcube.llm.common import checked_broadcast, components, deal, map_arrow, materialise, text_blocks, whole_groups
+from loomcube.llm.common import components, deal, discard, map_arrow, materialise, text_blocks, whole_groups
 
 U = np.uint64
 SHINGLE, THRESHOLD = 5, 0.8
@@ -28,7 +28,7 @@ BANDS, ROWS = 24, 4
 #: MinHash values compared at a time, and the posterior probability below which a pair is dropped.
 STEP, TOLERANCE = 16, 1e-6
 #: Texts of one side of a tile.
-BUCKET_TILE, VERIFY_TILE = 4096, 1024
+BUCKET_TILE, VERIFY_TILE = 4096, 2048
 _FACTORS = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, dtype=np.int64).astype(U) * U(2) + U(1)
 
 
@@ -130,7 +130,7 @@ def forest(sig: np.ndarray) -> np.ndarray:
 def candidate_edges(texts: DataFrame) -> DataFrame:
     """A spanning forest ``u, v`` of the texts that share a band and outlast the comparison."""
     keys = texts.select("tid", F.explode("bands").alias("key"))
-    full = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    full = materialise(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "jaccard-buckets")
     tiles = F.ceil(F.col("n") / BUCKET_TILE).cast("int")
     members = keys.join(full, "key").select("tid", "key", tiles.alias("tiles"))
     members = members.withColumn("own", F.expr("cast(pmod(xxhash64(tid), tiles) AS int)"))
@@ -242,30 +242,45 @@ def spread(linked: np.ndarray, cross: bool) -> np.ndarray:
 
 
 def classified(docs: DataFrame) -> DataFrame:
-    """``doc_id, tid, copy_of, cls, class_id, n_links`` of every document row; ``cls`` names the class by a text."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tid", text_id("text"))
+    """``doc_id, tid, copy_of, cls, class_id, n_links`` of every document row; ``cls`` names the class by a text.
+
+    The texts to verify are fetched by text and doc_id of one row each, whatever their number: copies of a text are
+    dealt to as many tasks as they have doc_ids, repeated rows are reduced before they move. Tables with one row a
+    class or text are written before they are joined with the rows of a class, so that large classes can be split.
+    """
+    rows = _rows(docs)
     signed = signatures(rows).groupBy("tid").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     texts = materialise(signed, "jaccard-texts")
-    linked = components(candidate_edges(texts), "jaccard-candidates")
-    sizes = linked.groupBy("root").agg(F.count("*").alias("n"))
+    linked = materialise(components(candidate_edges(texts), "jaccard-candidates"), "jaccard-linked")
+    sizes = materialise(linked.groupBy("root").agg(F.count("*").alias("n")), "jaccard-sizes")
     wanted = linked.join(sizes, "root").select(F.col("node").alias("tid"), F.col("root").alias("comp"), "n")
-    wanted = materialise(wanted.join(texts.select("tid", "rep"), "tid"), "jaccard-wanted")
-    own = rows.join(checked_broadcast(wanted), "tid").filter("doc_id <=> rep").dropDuplicates(["tid"])
+    wanted = materialise(wanted.join(texts.select("tid", _order("rep")), "tid"), "jaccard-wanted")
+    own = rows.select("tid", "ord", "text").dropDuplicates(["tid", "ord"]).join(wanted.hint("merge"), ["tid", "ord"])
     links = verified_links(own.select("tid", "comp", "n", "text"), "jaccard-links")
     counts = links.groupBy("tid").agg(F.sum("links").alias("n_links"))
     classes = components(links.filter("tid <> root").select(F.col("tid").alias("u"), F.col("root").alias("v")), "jaccard-classes")
-    named = classes.join(texts.select(F.col("tid").alias("node"), "rep"), "node")
-    least = named.groupBy("root").agg(F.min("rep").alias("class_id"))
+    named = materialise(classes.join(texts.select(F.col("tid").alias("node"), "rep"), "node"), "jaccard-named")
+    least = materialise(named.groupBy("root").agg(F.min("rep").alias("class_id")), "jaccard-least")
     known = named.join(least, "root").select(F.col("node").alias("tid"), F.col("root").alias("cls"), "class_id").join(counts, "tid", "left")
     ids = rows.select("doc_id", "tid")
     copies = ids.groupBy("tid").agg(F.min("doc_id").alias("copy_of"))
     facts = materialise(copies.join(known, "tid", "left"), "jaccard-facts")
+    discard(texts, linked, sizes, wanted, links, named, least)
     return ids.join(facts, "tid").select(
         "doc_id", "tid", "copy_of", F.coalesce("cls", "tid").alias("cls"), F.coalesce("class_id", "copy_of").alias("class_id"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
     )
 
 
+def _order(doc_id: str) -> Column:
+    """The doc_id, with null as the largest."""
+    return F.coalesce(F.col(doc_id), F.lit((1 << 63) - 1)).cast("long").alias("ord")
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", _order("doc_id"), F.coalesce("text", F.lit("")).alias("text"), text_id("text").alias("tid"))
+
+
 def text_id(column: str) -> Column:
     """Half of the SHA-256 of a text: equal for equal texts only."""
     return F.unhex(F.substring(F.sha2(F.coalesce(F.col(column), F.lit("")), 256), 1, 32))
@@ -284,13 +299,16 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents with one row of each class: that of the least doc_id."""
+    """The documents with one row of each class: that of the least doc_id, a null one only if there is no other.
+
+    Texts without words, null ones too, are a class with their equals only. Of repeated rows one stays; of rows
+    with equal doc_id and text but other columns any one does. All columns are kept, whatever their names.
+    """
     own = docs.columns
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")
-    best = classified(docs).groupBy("cls").agg(F.min(order).alias("best")).select(F.col("best.tid").alias("__tid"), F.col("best.doc_id").alias("__rep"))
-    packed = docs.select(F.struct(*own).alias("__doc"), text_id("text").alias("__tid"))
-    kept = packed.join(best, "__tid").filter("__doc.doc_id <=> __rep").dropDuplicates(["__tid"])
-    return kept.select("__doc.*")
+    order = F.struct(_order("doc_id"), "tid")
+    best = materialise(classified(docs).groupBy("cls").agg(F.min(order).alias("best")).select("best.tid", "best.ord"), "jaccard-kept")
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("doc"), text_id("text").alias("tid"), _order("doc_id"))
+    return packed.dropDuplicates(["tid", "ord"]).join(best.hint("merge"), ["tid", "ord"]).select("doc.*")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

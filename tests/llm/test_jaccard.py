@@ -59,7 +59,6 @@ def test_like_all_pairs(frame):
 def test_tiles(frame, monkeypatch):
     monkeypatch.setattr(jaccard, "BUCKET_TILE", 4)
     monkeypatch.setattr(jaccard, "VERIFY_TILE", 3)
-    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     docs = groups(8)
     assert Counter(map(tuple, jaccard.jaccard_join(frame(docs, "doc_id long, text string")).collect())) == plain(docs)
 
