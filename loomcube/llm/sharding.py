@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,9 +70,20 @@ def assign(numbered: DataFrame, n: int, shards: int, number: str = "row_number",
             shard, slot = pa.array((at % shards).astype(np.int32)), pa.array(at // shards)
             yield pa.RecordBatch.from_arrays([*batch.columns, shard, slot], [*batch.schema.names, "shard", "slot"])
 
-    rows = numbered.drop("shard", "slot")
-    schema = T.StructType([*rows.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
-    return map_arrow(rows, place, schema)
+    schema = T.StructType([*numbered.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
+    return map_arrow(numbered, place, schema)
+
+
+def _numbered(docs: DataFrame, *more: Column) -> tuple[DataFrame, int]:
+    """``doc_id, size, text_crc32`` and ``more`` of every row, numbered in the order that :func:`shard_documents` states."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(
+        F.col("doc_id"), (F.octet_length(text).cast("long") + 8).alias("size"),
+        F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("text_hash"), *more,
+    )
+    order = [F.col(c) for c in ("doc_id", "size", "text_crc32", "text_hash")]
+    numbered, n = global_row_number(rows, order, "row_number", "shard-rows")
+    return numbered.drop("text_hash"), n
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
@@ -81,29 +92,36 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) ->
     Law ``rows``: shard sizes differ by at most one row. The order of numbering is doc_id (null first), then size,
     CRC-32 and a 64-bit hash of the text, so the result does not depend on files or partitions; rows equal in all
     of these are interchangeable. A null text counts as no bytes (size 8, CRC-32 of nothing: 0). Equal texts are
-    not kept together: every row is placed on its own. An empty table gives no rows. Other columns are ignored.
+    not kept together: counts at most one apart leave no room for groups, which may be larger than a shard. An
+    empty table gives no rows. Other columns are ignored.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(
-        F.col("doc_id"), (F.octet_length(text).cast("long") + 8).alias("size"),
-        F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("text_hash"),
-    )
-    order = [F.col(c) for c in ("doc_id", "size", "text_crc32", "text_hash")]
-    numbered, n = global_row_number(rows, order, "row_number", "shard-rows")
-    return assign(numbered.drop("text_hash"), n, shards, seed=seed).select(
+    numbered, n = _numbered(docs)
+    return assign(numbered, n, shards, seed=seed).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "row_number",
     )
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED) -> None:
-    """Write the documents themselves as one folder of Parquet files a shard, in slot order within a file.
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED) -> tuple[str, str]:
+    """Write every row as Parquet, one folder a shard; returns the names of the columns of shard and slot.
 
-    Documents are matched to their places by doc_id, which has to be unique here.
+    The rows are numbered as a whole, so null and repeated doc_ids and repeated rows each keep their own place. Rows
+    are dealt by ranges of (shard, slot): a shard is written by several tasks, and each file holds a range of slots
+    in order. All columns of the documents are kept; where they have a ``shard`` or ``slot`` of their own, the
+    columns of the places get underscores after their names.
     """
-    placed = shard_documents(docs, shards, seed).select("doc_id", "shard", "slot")
-    rows = docs.drop("shard", "slot").join(placed, "doc_id")
-    rows.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    shard, slot = _free("shard", docs.columns), _free("slot", docs.columns)
+    numbered, n = _numbered(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    placed = assign(numbered, n, shards, seed=seed).select("doc.*", F.col("shard").alias(shard), F.col("slot").alias(slot))
+    files = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed.repartitionByRange(files, shard, slot).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
+    return shard, slot
+
+
+def _free(name: str, taken: list[str]) -> str:
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,8 +35,16 @@ def test_empty(no_docs):
     assert sharding.shard_documents(no_docs).count() == 0
 
 
-def test_written_shards(spark, edge_docs, tmp_path):
-    unique = edge_docs.filter("doc_id < 100 AND doc_id <> 5 AND doc_id <> 3")
+def test_written_shards(spark, edge_docs, edge_rows, tmp_path):
+    """Null and repeated doc_ids, repeated rows and own columns of the same names."""
     path = f"file://{tmp_path}/shards"
-    sharding.write_shards(unique, path, 3)
-    assert spark.read.parquet(path).count() == unique.count() and len(list(tmp_path.glob("shards/shard=*"))) == 3
+    assert sharding.write_shards(edge_docs, path, 3) == ("shard_", "slot")
+    rows = spark.read.parquet(path).collect()
+    assert Counter((r["doc_id"], r["text"], r["shard"], r["size"]) for r in rows) == Counter((d, t, s, z) for d, t, _, _, _, _, s, _, _, z, _ in edge_rows)
+    sizes = Counter(r["shard_"] for r in rows)
+    assert len(sizes) == 3 and max(sizes.values()) - min(sizes.values()) <= 1
+    assert all(sorted(r["slot"] for r in rows if r["shard_"] == k) == list(range(n)) for k, n in sizes.items())
+    places = sharding.shard_documents(edge_docs, 3).collect()
+    assert Counter((r["doc_id"], r["shard"], r["slot"]) for r in places) == Counter((r["doc_id"], r["shard_"], r["slot"]) for r in rows)
+    several = sharding.write_shards(edge_docs.select("doc_id", "text"), f"{path}2", 1)
+    assert several == ("shard", "slot") and len(list(tmp_path.glob("shards2/shard=0/*.parquet"))) > 1
