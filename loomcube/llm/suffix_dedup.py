@@ -10,8 +10,8 @@ document and earlier start). Five steps, each of linear output:
 3. The runs of other names, with the bytes they cover, go to shards by name. A shard sorts all suffixes of its
    bytes by Larsson-Sadakane refinement and gets their common prefixes by Kasai's scan; neighbours that share
    ``LENGTH`` bytes form a group, whose earliest member stays.
-4. A name with very many runs is spread over several shards. What stays in each of these is merged across the
-   shards by binary search in sorted window keys.
+4. A name with very many runs is spread over several shards. The windows that stay in each of these are merged
+   across the shards by binary search in their sorted bytes.
 5. Removed spans go back to their texts.
 """
 
@@ -24,11 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomcube.llm import textvec as tv
-from loomcube.llm.common import deal, map_arrow, materialise, shared_dir, text_blocks, whole_groups
+from loomcube.llm.common import checked_broadcast, deal, discard, map_arrow, materialise, shared_dir, text_blocks, whole_groups
 
 U = np.uint64
 LENGTH, GRAM = 100, 24
@@ -37,7 +37,7 @@ SHARD_RUNS, SHARD_BYTES = 20_000, 2 << 20
 #: Bytes of text whose names are compared before they leave a task.
 LOCAL_BYTES = 8 << 20
 _RUN = "key long, name long, tid binary, first int, last int, plain boolean, seen long"
-_FOUND = "merge boolean, tid binary, start int, stop int, h1 long, h2 long, ord long"
+_FOUND = "merge boolean, tid binary, start int, stop int, key long, ord long, window binary"
 
 
 def sliding(values: np.ndarray, span: int, best: np.ufunc) -> np.ndarray:
@@ -277,51 +277,54 @@ def shard_spans(segments: DataFrame) -> DataFrame:
             taken[later] = True
             ords = table.column("ord").to_numpy()
             for lo in range(0, len(rows), 4096):
-                ids, at, h1, h2 = [], [], [], []
+                ids, at, key, windows = [], [], [], []
                 for r in rows[lo : lo + 4096].tolist():
                     buf = np.frombuffer(pieces[r], np.uint8)
                     p = np.arange(len(buf) - LENGTH + 1)
                     p = p[~taken[starts[r] + p]]
-                    h1.append(tv.range_hash(tv.prefix(buf), p, p + LENGTH))
-                    h2.append(tv.range_hash(tv.prefix(buf[::-1]), len(buf) - p - LENGTH, len(buf) - p))
+                    key.append(tv.range_hash(tv.prefix(buf), p, p + LENGTH))
+                    windows.append(np.lib.stride_tricks.sliding_window_view(buf, LENGTH)[p])
                     ids.append(np.full(len(p), r))
                     at.append(first[r] + p)
-                ids, at, h1, h2 = (np.concatenate(x) for x in (ids, at, h1, h2))
-                yield found(True, tids.take(pa.array(ids)), at, at + LENGTH, h1.view(np.int64), h2.view(np.int64), ords[ids])
+                ids, at, key = (np.concatenate(x) for x in (ids, at, key))
+                windows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(LENGTH), len(at), [None, pa.py_buffer(np.concatenate(windows).tobytes())]).cast(pa.binary())
+                yield found(True, tids.take(pa.array(ids)), at, at + LENGTH, pa.array(key.view(np.int64)), pa.array(ords[ids]), windows)
 
     return map_arrow(deal(segments, "gid"), run, _FOUND)
 
 
-def found(merge: bool, tids: pa.Array, start: np.ndarray, stop: np.ndarray, *rest: np.ndarray) -> pa.RecordBatch:
+def found(merge: bool, tids: pa.Array, start: np.ndarray, stop: np.ndarray, *rest: pa.Array) -> pa.RecordBatch:
     n = len(tids)
-    more = [pa.array(x, pa.int64()) for x in rest] or [pa.nulls(n, pa.int64())] * 3
-    return pa.RecordBatch.from_arrays([pa.array([merge] * n, pa.bool_()), tids, pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), *more], ["merge", "tid", "start", "stop", "h1", "h2", "ord"])
+    more = rest or [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())]
+    return pa.RecordBatch.from_arrays([pa.array([merge] * n, pa.bool_()), tids, pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), *more], ["merge", "tid", "start", "stop", "key", "ord", "window"])
 
 
 def merged_spans(kept: DataFrame) -> DataFrame:
     """Spans of the windows that stayed in their shard but start later than an equal one of another shard.
 
-    Windows of all shards lie sorted by key; a binary search finds the first of each key. One shard sends a key
-    once, so a key has no more rows than a name has shards.
+    Windows of all shards are dealt by a hash and lie sorted by their bytes; a binary search finds the first of
+    each. One shard sends a window once, so a window has no more rows than its name has shards. Bytes are raised
+    by one, which UTF-8 allows, since the search takes final zeros for padding.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, _ in whole_groups(batches, "h1"):
-            table = table.sort_by([(c, "ascending") for c in ("h1", "h2", "ord", "tid", "start")]).combine_chunks()
-            keys = np.empty(table.num_rows, np.dtype([("h1", np.int64), ("h2", np.int64)]))
-            keys["h1"], keys["h2"] = table.column("h1").to_numpy(), table.column("h2").to_numpy()
-            late = np.searchsorted(keys, keys, "left") < np.arange(len(keys))
+        for table, _ in whole_groups(batches, "key"):
+            table = table.sort_by([(c, "ascending") for c in ("window", "ord", "tid", "start")]).combine_chunks()
+            raw = np.frombuffer(b"".join(table.column("window").to_pylist()), np.uint8) + np.uint8(1)
+            windows = raw.view(f"S{LENGTH}")
+            late = np.searchsorted(windows, windows, "left") < np.arange(len(windows))
             yield from table.select(["tid", "start", "stop"]).filter(pa.array(late)).to_batches()
 
-    return map_arrow(deal(kept, "h1"), run, "tid binary, start int, stop int")
+    return map_arrow(deal(kept, "key"), run, "tid binary, start int, stop int")
 
 
 def removed_spans(texts: DataFrame) -> DataFrame:
     """``tid, start, stop`` of repeated windows, joined to spans, from ``tid, ord, text``."""
     runs = materialise(repeated_runs(named_runs(texts)), "suffix-runs")
-    many = runs.filter(F.col("total") > SHARD_RUNS).groupBy("name").agg(F.max("total").alias("total"))
+    # one row a name of over SHARD_RUNS runs; sent whole, so that no name gathers its runs to learn that it has many
+    many = materialise(runs.filter(F.col("total") > SHARD_RUNS).groupBy("name").agg(F.max("total").alias("total")), "suffix-many")
     shards = F.ceil(F.coalesce(F.col("m.total"), F.lit(1)) / SHARD_RUNS).cast("int")
-    placed = runs.alias("r").join(many.alias("m"), "name", "left").select("name", "r.tid", "first", "last", shards.alias("shards"))
+    placed = runs.alias("r").join(checked_broadcast(many).alias("m"), "name", "left").select("name", "r.tid", "first", "last", shards.alias("shards"))
     lists = placed.groupBy("tid").agg(F.collect_list(F.struct("name", "first", "last", "shards")).alias("runs"))
     holding = texts.join(lists, "tid").select("tid", "ord", F.encode("text", "UTF-8").alias("raw"), F.explode("runs").alias("r"))
     segments = holding.select(
@@ -329,18 +332,25 @@ def removed_spans(texts: DataFrame) -> DataFrame:
         F.col("r.first").alias("first"), F.expr(f"substring(raw, r.first + 1, r.last - r.first + {LENGTH})").alias("bytes"),
     )
     spans = materialise(shard_spans(segments), "suffix-spans")
+    discard(runs, many)
     return spans.filter("NOT merge").select("tid", "start", "stop").unionByName(merged_spans(spans.filter("merge").drop("merge")))
 
 
 def bucketed_texts(rows: DataFrame) -> DataFrame:
-    """One row per different text of at least ``LENGTH`` bytes, stored by ``tid`` so that joins need not move it."""
+    """One row per different text of at least ``LENGTH`` bytes, stored by ``tid`` so that joins need not move it.
+
+    The catalogue knows the table only while it is written and planned; its files are those of the shared folder.
+    """
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"suffix_texts_{uuid.uuid4().hex}"
     texts = rows.filter(F.octet_length("text") >= LENGTH).groupBy("tid").agg(F.min("ord").alias("ord"), F.first("text").alias("text"))
     writer = texts.write.format("parquet").bucketBy(n, "tid").sortBy("tid").option("compression", "zstd")
     writer.option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    table.schema  # resolved before the catalogue forgets it
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 def kept_parts(texts: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
@@ -369,11 +379,16 @@ def kept_parts(texts: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame
     return map_arrow(texts.join(lists, "tid").select("tid", "text", "spans"), run, "tid binary, n_removed long, n_spans long, kept string")
 
 
+def _order() -> Column:
+    """The doc_id, with null as the smallest."""
+    return F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long")
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     digest = F.sha2(text, 256)
     return docs.select(
-        "doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long").alias("ord"), text.alias("text"),
+        "doc_id", _order().alias("ord"), text.alias("text"),
         digest.alias("digest"), F.unhex(F.substring(digest, 1, 32)).alias("tid"),
     )
 
@@ -406,22 +421,25 @@ def substring_digests(docs: DataFrame) -> DataFrame:
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """The documents with their repeated passages cut out; those of which nothing is left go.
 
-    Bytes of a character that is cut in part are dropped with it. ``n_chars`` follows the text where it exists.
+    Documents are ordered as in :func:`substring_digests`. Of texts of at least ``LENGTH`` bytes that are equal the
+    first row stays, also where doc_ids are equal or null; of rows with equal doc_id and text but other columns any
+    one does. Shorter, empty and null texts stay as they are, repeated rows too. Bytes of a character that is cut in
+    part are dropped with it. ``n_chars`` follows the text where it exists; all other columns are kept.
     """
     own = docs.columns
     rows = _rows(docs)
     texts = bucketed_texts(rows)
-    changed = kept_parts(texts, removed_spans(texts), with_text=True)
-    firsts = rows.groupBy("tid").agg(F.min("ord").alias("least"))
-    marked = docs.withColumns({"__tid": F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32))})
-    packed = marked.select(F.struct(*own).alias("d"), F.col("__tid").alias("tid"))
-    joined = packed.join(firsts, "tid").filter(F.expr(f"octet_length(coalesce(d.text, '')) < {LENGTH} OR coalesce(d.doc_id, -9223372036854775807L - 1) = least"))
-    joined = joined.join(changed, "tid", "left").withColumn("rest", F.coalesce("kept", "d.text"))
+    changed = kept_parts(texts, removed_spans(texts), with_text=True).select("tid", "kept")
+    firsts = texts.select("tid", "ord").join(changed, "tid", "left")
+    long = F.octet_length(F.coalesce("text", F.lit(""))) >= LENGTH
+    tid = F.unhex(F.substring(F.sha2(F.col("text"), 256), 1, 32))
+    packed = docs.filter(long).select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("d"), tid.alias("tid"), _order().alias("ord"))
+    joined = packed.dropDuplicates(["tid", "ord"]).join(firsts, ["tid", "ord"]).withColumn("rest", F.coalesce("kept", "d.text"))
     joined = joined.filter("kept IS NULL OR trim(kept) <> ''")
     columns = {c: F.col(f"d.`{c}`") for c in own} | {"text": F.col("rest")}
     if "n_chars" in own:
-        columns["n_chars"] = F.coalesce(F.length("rest").cast("long"), F.col("d.n_chars"))
-    return joined.select(*(columns[c].alias(c) for c in own))
+        columns["n_chars"] = F.when(F.col("kept").isNull(), F.col("d.n_chars")).otherwise(F.length("rest").cast(docs.schema["n_chars"].dataType))
+    return joined.select(*(columns[c].alias(c) for c in own)).unionByName(docs.filter(~long))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

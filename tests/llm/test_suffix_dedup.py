@@ -81,3 +81,14 @@ def test_repeats_are_cut(frame):
     got = {r["doc_id"]: r["text"] for r in suffix_dedup.drop_repeats(docs).collect()}
     assert got[1] == "first " + passage and got[2] == "second tail"
     assert 3 not in got and got[4] is None and got[5] == "é" * 49
+
+
+def test_equal_rows_stay_once(spark, frame):
+    """Of equal long texts the first row stays, whatever the doc_ids; short rows are left alone."""
+    long = "".join(f"{i:03d}-" for i in range(60))
+    rows = [(1, long), (1, long), (None, "x" + long[::-1]), (None, "x" + long[::-1]), (7, "x" + long[::-1]), (2, "short"), (2, "short"), (None, None), (None, None)]
+    docs = frame([(d, t, "own", 0) for d, t in rows], "doc_id long, text string, tid string, n_chars int")
+    got = suffix_dedup.drop_repeats(docs.repartition(3))
+    assert got.columns == docs.columns
+    assert Counter(map(tuple, got.collect())) == Counter((d, t, "own", 0) for d, t in [rows[0], rows[2], *rows[5:]])
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("suffix")]
