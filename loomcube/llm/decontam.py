@@ -3,13 +3,15 @@
 Texts and benchmark items are folded (lower case, runs of other characters become one blank). An item is probed
 by windows of 60 and of 96 bytes that start at every fourth byte (a last one ends with the item), so every verbatim
 quotation of 63 folded bytes or more holds a whole window and is found, wherever in the item it starts. Shorter ones
-are found only where they hold a window; an item of up to 60 bytes is one window. A window of length m that occurs with at most k edits shares at least m + 1 - q - k q of
+are found only where they hold a window; an item of up to 60 bytes is one window. Items under a q-gram's length are
+looked up as whole words instead, without edits. A window of length m that occurs with at most k edits shares at least m + 1 - q - k q of
 its q-grams with the text on diagonals that span at most k; bands of twice that width, each overlapping the next
 by half, therefore hold all of them. Regions that reach the bound are verified by alignment.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomcube.llm import textvec as tv
-from loomcube.llm.common import map_arrow, text_blocks
+from loomcube.llm.common import discard, map_arrow, materialise, text_blocks
 
 #: Length of a q-gram, and the edits that a window may have.
 Q, EDIT_PERCENT = 12, 6
@@ -28,6 +30,8 @@ WINDOWS, STEP = (60, 96), 4
 LEAST_QUOTATION = min(WINDOWS) + STEP - 1
 #: Bytes of benchmark text that are sent to the workers at a time; more are taken in further scans.
 BLOCK_OF_ITEMS = 8 << 20
+#: Shared q-grams, each with one place in an item, that are held at a time; texts and items are halved beyond.
+HITS = 1 << 20
 SCHEMA = "doc_id long, item_id long, n_windows long, edits long, end_byte long"
 U = np.uint64
 
@@ -120,6 +124,7 @@ class Probes:
         buf, bounds = fold(np.frombuffer(b"".join(raws), np.uint8), ends) if ends[-1] else (np.zeros(0, np.uint8), ends)
         lengths = np.diff(bounds)
         used = np.flatnonzero(lengths >= Q)
+        short = np.flatnonzero((lengths > 0) & (lengths < Q))
         self.bytes, self.begin, self.end = buf, bounds[:-1][used], bounds[1:][used]
         owners = np.array([item for item, _ in items], np.int64)[used]
         self.sizes = [WindowsOfSize(self.begin, lengths[used], size) for size in WINDOWS]
@@ -130,6 +135,10 @@ class Probes:
         item = np.concatenate([sized.item for sized in self.sizes])
         self.owner, self.start = owners[item], np.concatenate([sized.start for sized in self.sizes])
         self.length, self.budget = (np.concatenate([getattr(sized, k)[sized.item] for sized in self.sizes]) for k in ("length", "budget"))
+        self.short = self._strings(buf, bounds[:-1][short], lengths[short], len(self.owner))
+        none = np.zeros(len(short), np.int64)
+        self.owner, self.start = np.concatenate([self.owner, np.array([i for i, _ in items], np.int64)[short]]), np.concatenate([self.start, bounds[:-1][short]])
+        self.length, self.budget = np.concatenate([self.length, lengths[short]]), np.concatenate([self.budget, none])
         self.padded = np.concatenate([buf, np.zeros(max(WINDOWS), np.uint8)])
         grams = qgrams(buf)
         whole = np.zeros(len(buf) + 1, np.int8)
@@ -140,21 +149,64 @@ class Probes:
         self.place = places[order]
         values = grams[self.place]
         heads = np.flatnonzero(np.concatenate([np.ones(min(len(values), 1), bool), values[1:] != values[:-1]]))
-        self.values, self.head, self.count = values[heads], heads, np.diff(np.append(heads, len(values)))
+        self.values = values[heads]
+        #: for each entry of the index the number of its q-gram and its place, in one rising number
+        self.entry = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(values)))) * self.stride + self.place
         self.table = np.zeros(1 << self.TABLE_BITS, bool)
         self.table[self.values >> U(64 - self.TABLE_BITS)] = True
 
-    def hits(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Text position and position in the bytes of the items of every shared q-gram."""
+    @property
+    def stride(self) -> int:
+        return len(self.bytes) + 1
+
+    @staticmethod
+    def _strings(buf: np.ndarray, start: np.ndarray, length: np.ndarray, first: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """By length: the sorted items of that length and their window numbers."""
+        out = []
+        for size in np.unique(length).tolist():
+            which = np.flatnonzero(length == size)
+            strings = np.ascontiguousarray(buf[start[which][:, None] + np.arange(size)]).view(f"S{size}").ravel()
+            order = np.argsort(strings, kind="stable")
+            out.append((size, strings[order], first + which[order]))
+        return out
+
+    def grams(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Text position of every shared q-gram, and its number."""
         grams = qgrams(buf)
         at = np.flatnonzero(self.table[grams >> U(64 - self.TABLE_BITS)])
         found = np.searchsorted(self.values, grams[at])
         found[found == len(self.values)] = 0
         same = self.values[found] == grams[at] if len(self.values) else np.zeros(len(at), bool)
-        at, found = at[same], found[same]
-        times = self.count[found]
-        entry = np.repeat(self.head[found] - np.cumsum(times) + times, times) + np.arange(times.sum())
-        return np.repeat(at, times), self.place[entry]
+        return at[same], found[same]
+
+    def entries(self, number: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each q-gram the first entry with a place in ``[low, high)``, and how many there are."""
+        first = np.searchsorted(self.entry, number * self.stride + low)
+        return first, np.searchsorted(self.entry, number * self.stride + high) - first
+
+    def words(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(text, window, end)`` of every short item that stands as whole words in a folded text."""
+        out = [(np.zeros(0, np.int64),) * 3]
+        if self.short:
+            blank = np.append(buf == 32, True)
+            blank[offsets[1:]] = True  # what follows the last byte of a text
+            begins = np.zeros(len(buf) + 1, bool)
+            begins[offsets[:-1]] = True
+            begins[1:] |= np.append(buf == 32, True)[:-1]
+            starts = np.flatnonzero(begins[:-1])
+            text = np.searchsorted(offsets, starts, "right") - 1
+        for size, strings, window in self.short:
+            whole = starts + size <= offsets[text + 1]
+            whole[whole] &= blank[starts[whole] + size]
+            here, owner = starts[whole], text[whole]
+            if not len(here):
+                continue
+            found = np.ascontiguousarray(buf[here[:, None] + np.arange(size)]).view(f"S{size}").ravel()
+            first, last = np.searchsorted(strings, found, "left"), np.searchsorted(strings, found, "right")
+            times = last - first
+            which = np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())
+            out.append((np.repeat(owner, times), window[which], np.repeat(here + size, times)))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def pieces(self, window: np.ndarray) -> np.ndarray:
         """A matrix with the bytes of a window in each row, with zeros after its end."""
@@ -189,20 +241,49 @@ def align(window: np.ndarray, length: np.ndarray, region: np.ndarray) -> tuple[n
 
 
 def search(probes: Probes, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Verified ``(text, window, edits, end in the folded text)`` of a block of folded texts."""
-    none = (np.zeros(0, np.int64),) * 4
-    at, place = probes.hits(buf) if len(probes.owner) else (np.zeros(0, np.int64),) * 2
+    """Verified ``(text, window, edits, end in the folded text)`` of a block of folded texts; a window of a long text may be repeated."""
+    text, window, end = probes.words(buf, offsets)
+    out = [(text, window, np.zeros(len(text), np.int64), end)]
+    if len(probes.values):
+        at, number = probes.grams(buf)
+        text = np.searchsorted(offsets, at, "right") - 1
+        whole = at + Q <= offsets[text + 1]
+        out += _in_parts(probes, buf, offsets, at[whole], number[whole], text[whole], 0, len(probes.begin))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _in_parts(probes: Probes, buf: np.ndarray, offsets: np.ndarray, at: np.ndarray, number: np.ndarray, text: np.ndarray, one: int, end: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Results for the items ``one`` to ``end``, from bounded numbers of hits: of some texts, of overlapping stretches
+    of a text, or of some items. What a window needs lies within a stretch, since these overlap by more than its length."""
     if not len(at):
-        return none
-    text = np.searchsorted(offsets, at, "right") - 1
-    whole = at + Q <= offsets[text + 1]
-    at, place, text = at[whole], place[whole], text[whole]
+        return
+    low = probes.begin[one]
+    high = probes.begin[end] if end < len(probes.begin) else len(probes.bytes)
+    first, times = probes.entries(number, low, high)
+    if times.sum() > HITS:
+        reach = 2 * (max(WINDOWS) + int(probes.budget.max()))
+        middle = text[min(int(np.searchsorted(np.cumsum(times), times.sum() // 2)), len(text) - 1)]
+        middle += middle == text[0]
+        place = (at[0] + at[-1]) // 2
+        if text[0] != text[-1]:
+            sides = [(text < middle, one, end), (text >= middle, one, end)]
+        elif at[-1] - at[0] > 4 * reach:
+            sides = [(at < place + reach, one, end), (at >= place - reach, one, end)]
+        elif end - one > 1:
+            sides = [(times >= 0, one, (one + end) // 2), (times >= 0, (one + end) // 2, end)]
+        else:
+            sides = []
+        for side, a, b in sides:
+            yield from _in_parts(probes, buf, offsets, at[side], number[side], text[side], a, b)
+        if sides:
+            return
+    entry = np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())
+    at, text, place = np.repeat(at, times), np.repeat(text, times), probes.place[entry]
+    if not len(at):
+        return
     item = np.searchsorted(probes.begin, place, "right") - 1
     parts = [_in_bands(probes, sized, at, place, text, item) for sized in probes.sizes]
     text, window, low = (np.concatenate(x) for x in zip(*parts, strict=True))
-    if not len(window):
-        return none
-    out = []
     span = max(WINDOWS) + 4 * int(probes.budget.max()) + 4
     for a in range(0, len(window), 512):
         w, t, l = window[a : a + 512], text[a : a + 512], low[a : a + 512]
@@ -211,8 +292,7 @@ def search(probes: Probes, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.nda
         region = np.where(inside, buf[np.clip(spots, 0, len(buf) - 1)], 0)
         edits, end = align(probes.pieces(w), probes.length[w], region)
         good = edits <= probes.budget[w]
-        out.append((t[good], w[good], edits[good], (l + end)[good]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        yield t[good], w[good], edits[good], (l + end)[good]
 
 
 def _in_bands(probes: Probes, sized: WindowsOfSize, at: np.ndarray, place: np.ndarray, text: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -234,26 +314,41 @@ def _in_bands(probes: Probes, sized: WindowsOfSize, at: np.ndarray, place: np.nd
     return pairs[keys[group] >> 33] // len(probes.begin), window, low
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+_built: dict[str, Probes] = {}
+
+
+def probes_of(name: str, items: list[tuple[int, str]]) -> Probes:
+    """The probes of a block of items, built once per Python worker; only those of the last block are held."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = Probes(items)
+    return _built[name]
+
+
+def find_passages(docs: DataFrame, benchmark: DataFrame, least: int = 0) -> DataFrame:
     """One row per document row and benchmark item that shares a passage with it.
 
     Every quotation of :data:`LEAST_QUOTATION` folded bytes of an item is found, and every window with at most 6 %
     edits. ``n_windows`` windows of the item occur within their edit budget, the best with ``edits`` edits;
-    ``end_byte`` is the earliest end of one in the folded text. No exchange: the benchmark is sent to the workers in blocks of
-    stated size, one scan each. Null and empty texts match nothing; items under twelve folded bytes are not
-    searched, nor are those whose item_id is null, as no row could name them; repeated rows give repeated results;
-    equal items each give a row. Other columns are ignored.
+    ``end_byte`` is the earliest end of one in the folded text. Items under twelve folded bytes are found where they
+    stand as whole words, without edits; ``least`` leaves out items of fewer folded bytes. No exchange: the benchmark
+    is sent to the workers in blocks of stated size, one scan each; if there are several, the results of a block are
+    written before the next is read. Null and empty texts match nothing; nor do items without a letter or digit, or
+    whose item_id is null, as no row could name them; repeated rows give repeated results; equal items each give a
+    row. Other columns are ignored.
     """
     rows = docs.select("doc_id", "text")
-    parts = [_scan(rows, items) for items in item_blocks(benchmark)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = None
+    for items, last in item_blocks(benchmark, least):
+        found = _scan(rows, items)
+        if not last or out is not None:
+            found = materialise(found, "decontam-found")
+        out = found if out is None else out.unionByName(found)
     return out
 
 
-def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in blocks of about :data:`BLOCK_OF_ITEMS` bytes; the driver holds one at a time.
+def item_blocks(benchmark: DataFrame, least: int = 0) -> Iterator[tuple[list[tuple[int, str]], bool]]:
+    """The benchmark in blocks of about :data:`BLOCK_OF_ITEMS` bytes, and whether it is the last; the driver holds one at a time.
 
     Items whose item_id or text is null are left out, also where documents are dropped.
     """
@@ -261,23 +356,45 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-size // BLOCK_OF_ITEMS))
     for b in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else items
-        yield sorted((r["item_id"], r["text"]) for r in block.collect())
+        block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
+        yield [x for x in sorted((r["item_id"], r["text"]) for r in block.collect()) if not least or _folded_size(x[1]) >= least], b == blocks - 1
+
+
+def _folded_size(text: str) -> int:
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return len(fold(raw, np.array([0, len(raw)]))[0]) if len(raw) else 0
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 0) -> DataFrame:
     """The documents that share no passage with the benchmark, with their own columns; nothing is exchanged.
 
-    As in :func:`find_passages`, items without an item_id are not searched.
+    Passages are those of :func:`find_passages`, so items without an item_id are not searched. Null and empty texts
+    stay, repeated rows too. If the benchmark has several blocks, what a block leaves is written before the next.
     """
-    for items in item_blocks(benchmark):
+    was = None
+    for items, last in item_blocks(benchmark, least):
         docs = map_arrow(docs, _clean_rows(items, docs.columns.index("text")), docs.schema)
+        if not last:
+            docs = materialise(docs, "decontam-clean")
+            if was is not None:
+                discard(was)
+            was = docs
     return docs
 
 
+def _name(items: list[tuple[int, str]]) -> str:
+    digest = hashlib.sha256()
+    for item, text in items:
+        raw = text.encode()
+        digest.update(b"%d %d " % (item, len(raw)) + raw)
+    return digest.hexdigest()
+
+
 def _clean_rows(items: list[tuple[int, str]], at: int):
+    name = _name(items)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probes = Probes(items)
+        probes = probes_of(name, items)
         for batch in batches:
             clean = np.ones(batch.num_rows, bool)
             for first, _, raw, raw_offsets in text_blocks(batch.column(at)):
@@ -288,8 +405,10 @@ def _clean_rows(items: list[tuple[int, str]], at: int):
 
 
 def _scan(rows: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
+    name = _name(items)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probes = Probes(items)
+        probes = probes_of(name, items)
         for batch in batches:
             ids = batch.column(0)
             for first, _, raw, raw_offsets in text_blocks(batch.column(1)):

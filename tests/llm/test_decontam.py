@@ -42,7 +42,7 @@ def test_folding():
 
 def test_like_all_alignments(frame):
     r = random.Random(6)
-    items = [(i, sentence(r, n)) for i, n in enumerate([3, 10, 18, 30, 60])] + [(7, ""), (8, None), (None, "x" * 200), (9, "tiny")]
+    items = [(i, sentence(r, n)) for i, n in enumerate([3, 10, 18, 30, 60])] + [(7, ""), (8, None), (None, "x" * 200), (9, "tiny"), (10, "Tiny one"), (11, "tiny"), (12, "?!")]
     docs = []
     for d in range(60):
         body = sentence(r, 40)
@@ -50,20 +50,53 @@ def test_like_all_alignments(frame):
             _, item = items[r.randrange(5)]
             body = body[:50] + " " + edit(r, item, r.choice([0, 1, 3, 6, 12])).upper() + "! " + body[50:]
         docs.append((d, body))
-    docs += [(90, None), (91, ""), (92, items[3][1]), (92, items[3][1])]
+    docs += [(80, "A Tiny, one"), (81, "tinyone untiny"), (82, "tiny"), (90, None), (91, ""), (92, items[3][1]), (92, items[3][1])]
     got = sorted((x["doc_id"], x["item_id"], x["n_windows"], x["edits"]) for x in decontam.find_passages(frame(docs, "doc_id long, text string"), frame(items, "item_id long, text string")).collect())
     probes = decontam.Probes([(i, t) for i, t in items if i is not None and t is not None])
-    want = []
+    pieces, want = probes.text, []
     for d, t in docs:
         text, by = folded(t), {}
         for w, item in enumerate(probes.owner.tolist()):
-            e = distance(probes.text[w, : probes.length[w]].tobytes(), text)
+            item_window = pieces[w, : probes.length[w]].tobytes()
+            if len(item_window) < decontam.Q:
+                if b" " + item_window + b" " in b" " + text + b" ":
+                    by.setdefault(item, []).append(0)
+                continue
+            e = distance(item_window, text)
             if e <= probes.budget[w]:
                 by.setdefault(item, []).append(e)
         want += [(d, item, len(es), min(es)) for item, es in by.items()]
     assert len(want) > 20 and got == sorted(want)
 
 
+def test_few_hits_at_a_time(monkeypatch):
+    """Texts, stretches of a text and items in halves give the same results."""
+    r = random.Random(16)
+    items = [(i, sentence(r, 30)) for i in range(6)] + [(6, "ab " * 60), (7, "ba " * 60), (8, "a" * 150)]
+    texts = [sentence(r, 300) + " " + edit(r, t, 2) + " " + sentence(r, 300) for _, t in items] + ["a" * 400 + " " + "ab " * 150, sentence(r, 50)]
+    raws = [folded(t) for t in texts]
+    buf, offsets = np.frombuffer(b"".join(raws), np.uint8), np.cumsum([0] + [len(x) for x in raws])
+    probes = decontam.Probes(items)
+
+    def best():
+        out = {}
+        for t, w, e, _ in zip(*(x.tolist() for x in decontam.search(probes, buf, offsets)), strict=True):
+            out[t, w] = min(e, out.get((t, w), 99))
+        return out
+
+    want = best()
+    assert {t for t, _ in want} == set(range(10))
+    for hits in (20_000, 2_000):
+        monkeypatch.setattr(decontam, "HITS", hits)
+        assert best() == want
+
+
+def test_short_items_can_be_left_out(frame):
+    docs, items = frame([(1, "say yes"), (2, "nothing")], "doc_id long, text string"), frame([(1, "Yes!")], "item_id long, text string")
+    assert [x["doc_id"] for x in decontam.drop_contaminated(docs, items).collect()] == [2]
+    assert decontam.drop_contaminated(docs, items, least=4).count() == 2
+
+
 def test_blocks_of_items(frame, monkeypatch):
     r = random.Random(9)
     items = [(i, sentence(r, 20)) for i in range(12)]
