@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomcube.llm import textvec as tv
-from loomcube.llm.common import global_row_number, map_arrow, text_blocks
+from loomcube.llm.common import discard, global_row_number, map_arrow, materialise, text_blocks
 
 #: Buckets of both models: bounds what the driver gathers and sends out, whatever the size of the corpus.
 BUCKETS = 10_000
@@ -69,12 +69,15 @@ def log_ratios(counts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
 
 
 def log_weights(docs: DataFrame, ratios: np.ndarray, seed: int = SEED) -> DataFrame:
-    """``doc_id, n_ngrams, log_weight, gumbel_key`` of every document; the last two are null without a word."""
+    """``doc_id, n_ngrams, log_weight, gumbel_key`` of every document; the last two are null without a word.
+
+    The noise follows from doc_id and text, so rows of one doc_id or of none differ unless their texts are equal.
+    """
     buckets = len(ratios)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).fill_null(-1).to_numpy().astype(np.uint64)
+            ids = batch.column(0).fill_null(-1).to_numpy().astype(np.uint64) ^ tv.mix(batch.column(2).to_numpy().astype(np.uint64))
             counts, sums = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
             for first, end, buf, offsets in text_blocks(batch.column(1)):
                 for grams, bounds in ngram_buckets(buf, offsets, buckets):
@@ -89,7 +92,7 @@ def log_weights(docs: DataFrame, ratios: np.ndarray, seed: int = SEED) -> DataFr
                 ["doc_id", "n_ngrams", "log_weight", "gumbel_key"],
             )
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_ngrams long, log_weight double, gumbel_key double")
+    return map_arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), run, "doc_id long, n_ngrams long, log_weight double, gumbel_key double")
 
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, buckets: int = BUCKETS) -> DataFrame:
@@ -106,9 +109,11 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, buckets:
     target = known.filter("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_ROWS)
     target = target.select("doc_id", F.lit(True).alias("is_target"))
     marked = docs.join(F.broadcast(target), "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
-    keys = log_weights(docs, log_ratios(bucket_counts(marked, buckets), buckets))
+    # written first, since a range exchange reads its input twice
+    keys = materialise(log_weights(docs, log_ratios(bucket_counts(marked, buckets), buckets)), "importance-keys")
     order = [F.desc_nulls_last("gumbel_key"), F.col("doc_id")]
     ranked, n = global_row_number(keys, order, "rank", "importance")
+    discard(keys)
     k = k if k is not None else round(n * (1.0 if share is None else share))
     return ranked.withColumn("kept", F.col("rank") < k)
 

@@ -60,3 +60,25 @@ def test_edge_cases(frame, edge_docs, edge_rows, no_docs):
     none = frame([], "doc_id long, quality int")
     assert all(r["kept"] for r in importance.resample(edge_docs, none).collect())
     assert importance.resample(no_docs, labels).count() == 0
+
+
+def test_draw_like_a_plain_version(frame, edge_docs, edge_rows):
+    """Noise from doc_id and text, keys in falling order, the first k kept."""
+    from pyspark.sql import functions as F
+    import numpy as np
+
+    labels = frame([(5, 1), (12, 1), (7, 0)], "doc_id long, quality int")
+    rows = importance.resample(edge_docs, labels, k=6).collect()
+    hashes = {r["text"]: r["h"] for r in edge_docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    noise, mask = {}, 2**64 - 1
+    seed = int(tv.mix(np.array([importance.SEED], np.uint64))[0])
+    for d, t, *_ in edge_rows:
+        own = (-1 if d is None else d) & mask ^ int(tv.mix(np.array([hashes[t] & mask], np.uint64))[0])
+        u = ((int(tv.mix(np.array([(own + seed) & mask], np.uint64))[0]) >> 11) + 0.5) / 2**53
+        noise.setdefault(d, []).append(-math.log(-math.log(u)))
+    for r in rows:
+        if r["gumbel_key"] is not None:
+            assert min(abs(r["gumbel_key"] - r["log_weight"] - n) for n in noise[r["doc_id"]]) < 1e-8
+    ranked = sorted(rows, key=lambda r: r["rank"])
+    keys = [(r["gumbel_key"] is None, -(r["gumbel_key"] or 0), r["doc_id"] is not None, r["doc_id"] or 0) for r in ranked]
+    assert keys == sorted(keys) and [r["kept"] for r in ranked] == [i < 6 for i in range(len(ranked))]
