@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
+from loomcube.llm.common import checked_broadcast, materialise
+
+_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]+)"
 
 #: Fixed dated entries of the query: list, kind, host or parent domain, action, date.
 FIXED_ENTRIES = [
@@ -24,7 +26,7 @@ FIXED_ENTRIES = [
 
 
 def with_host(captures: DataFrame) -> DataFrame:
-    """Adds ``host``: lower case, without user, port or final dot; empty for a URL without one."""
+    """Adds ``host``: lower case, without user, port or final dot, an IPv6 address in brackets; empty for a URL without one."""
     host = F.rtrim(F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), _HOST, 1)))
     return captures.withColumn("host", F.regexp_replace(host, r"\.$", ""))
 
@@ -61,6 +63,8 @@ def host_verdicts(subjects: DataFrame, intervals: DataFrame) -> DataFrame:
             lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
         )).alias("pattern"),
     )
+    # most tails name no entry; those that many hosts share, like a top-level domain, need not be gathered for that
+    tails = tails.join(checked_broadcast(intervals.select("pattern").distinct()), "pattern", "left_semi")
     active = tails.join(intervals, "pattern").filter("valid_from <= fetch_date AND (valid_to IS NULL OR fetch_date < valid_to)")
     best = active.groupBy("host", "fetch_date", F.length("pattern").alias("size"), (F.col("kind") == "allow").alias("allow")).agg(
         F.min(F.struct("list_name", "pattern", "valid_from")).alias("entry")
@@ -77,7 +81,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """
     own = with_host(captures.select("page_id", "url", "fetch_date")).drop("url")
     subjects = own.select("host", "fetch_date").distinct()
-    verdicts = host_verdicts(subjects, validity_intervals(entries))
+    # both are written: intervals are read twice, and verdicts as a plain table let a hot pair be split when joined
+    verdicts = materialise(host_verdicts(subjects, materialise(validity_intervals(entries), "url-intervals")), "url-verdicts")
     joined = own.join(verdicts, ["host", "fetch_date"], "left")
     verdict = F.when(F.col("pattern").isNull(), "unlisted").when(F.col("allow"), "allowed").otherwise("blocked")
     return joined.select("page_id", "host", "fetch_date", verdict.alias("verdict"), "list_name", "pattern", "valid_from")
