@@ -176,12 +176,15 @@ def features(buf: np.ndarray, offsets: np.ndarray, lexicon: dict) -> np.ndarray:
     np.cumsum(spot, out=inner[1:])
     veiled = np.flatnonzero(inner[ends] - inner[starts] > 0)
     veiled_hits = np.zeros(len(starts), bool)
-    for k in veiled.tolist():
-        raw = _LEET[tv.lower(buf[starts[k] : ends[k]])]
-        for form in (raw[_ASCII[raw] | (raw >= 128)], raw[~_MARK[raw] & (_ASCII[raw] | (raw >= 128))]):
-            if len(form):
-                h = tv.range_hash(tv.prefix(form), np.array([0]), np.array([len(form)]))
-                veiled_hits[k] |= bool(member(_HASHES["fixed"], h)[0][0] or member(lexicon["word"][0], h)[0][0])
+    if len(veiled):  # all words at once, in a buffer without the bytes that the form leaves out
+        raw = _LEET[tv.lower(buf)]
+        spelt = _ASCII[raw] | (raw >= 128)
+        for keep in (spelt, ~_MARK[raw] & spelt):
+            place = np.zeros(len(buf) + 1, np.int64)
+            np.cumsum(keep, out=place[1:])
+            one, two = place[starts[veiled]], place[ends[veiled]]
+            h = tv.range_hash(tv.prefix(raw[keep]), one, two)
+            veiled_hits[veiled] |= (two > one) & (member(_HASHES["fixed"], h)[0] | member(lexicon["word"][0], h)[0])
     obfuscated = np.zeros(len(starts), np.int64)
     obfuscated[veiled] = 1
     letters = np.maximum(sums["ascii"], 1)
@@ -282,12 +285,16 @@ def calibrate(score: np.ndarray, knots: tuple[np.ndarray, np.ndarray]) -> np.nda
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """At most :data:`SAMPLE_ROWS` learning rows ``text, toxic, fold``; a doc_id with several labels counts as toxic if one says so."""
+    """At most :data:`SAMPLE_ROWS` learning rows ``doc_id, text, toxic, fold``: one a doc_id, of several texts the least.
+
+    A doc_id with several labels counts as toxic if one says so.
+    """
     known = labels.select("doc_id", "toxic").filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     fold = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)).cast("int").alias("fold")
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic", fold)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("doc_id", "text", "toxic", fold)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict, Trees, tuple[np.ndarray, np.ndarray]]:

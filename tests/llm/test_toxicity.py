@@ -1,7 +1,12 @@
+import math
 import random
+import re
+import string
+import zlib
 
 import numpy as np
 
+from loomcube.llm import textvec as tv
 from loomcube.llm import toxicity
 
 
@@ -50,3 +55,66 @@ def test_edge_cases(frame, edge_docs, edge_rows, no_docs):
     model = toxicity.fit(no_docs, frame([], "doc_id long, toxic int"))
     assert toxicity.score_documents(no_docs, model).count() == 0
     assert toxicity.score_documents(edge_docs, model).count() == len(edge_rows)
+
+
+LETTERS = "[0-9A-Za-z\u0080-\U0010ffff]+"
+LEET = str.maketrans("013457@$!", "oieastasi")
+
+
+def lower(text):
+    return "".join(c.lower() if c.isascii() or "À" <= c <= "Þ" and c != "×" else c for c in text)
+
+
+def plain_features(text, words, stems):
+    """The features of one text, word by word; ``words`` and ``stems`` give weights."""
+    ws = re.findall(LETTERS, text)
+    low = [lower(w) for w in ws]
+    n = max(len(ws), 1)
+    fixed, second = [w in toxicity.INSULTS for w in low], [w in toxicity.SECOND_PERSON for w in low]
+    word = [words.get(w, 0.0) for w in low]
+    stem = [max([stems.get(w.encode()[:k], 0.0) for k in toxicity.STEMS if len(w.encode()) > k], default=0.0) for w in low]
+    strong = [f or a > 2.5 or b > 2.5 for f, a, b in zip(fixed, word, stem)]
+    near = [s and any(second[max(0, i - toxicity.NEAR) : i + toxicity.NEAR + 1]) for i, s in enumerate(strong)]
+    raw = text.encode()
+    size, letters = max(len(raw), 1), max(sum(c.isascii() and c.isalpha() for c in text), 1)
+    tokens = re.findall(r"[^\x20\x09-\x0d]+", text)
+    veiled = [t for t in tokens if re.search(r"[A-Za-z][*@$!.\-_#0-9][A-Za-z]", t)]
+
+    def shown(t):
+        spelt = lower(t).translate(LEET)
+        return re.sub(r"[^A-Za-z\u0080-\U0010ffff]", "", spelt)
+
+    shown_hits = sum(shown(t) in toxicity.INSULTS or shown(t) in words for t in veiled)
+    punct = sum(c in string.punctuation for c in text)
+    return [
+        sum(fixed) / n, sum(w in words for w in low) / n, sum(word) / n, max(word, default=0.0),
+        sum(s > 0 for s in stem) / n, sum(stem) / n, max(stem, default=0.0), sum(near) / n, sum(second) / n,
+        sum("A" <= c <= "Z" for c in text) / letters, sum(len(w) > 1 and bool(re.fullmatch("[A-Z]+", w)) for w in ws) / n,
+        text.count("!") / n, text.count("?") / n, (punct - text.count("!") - text.count("?")) / size,
+        sum(c in string.digits for c in text) / size, len(veiled) / n, shown_hits / n, math.log1p(len(ws)),
+        math.log1p(sum(s and (f or w in words or t > 0) for s, f, w, t in zip(strong, fixed, low, stem))),
+    ]
+
+
+def test_features_like_a_plain_version():
+    r = random.Random(8)
+    words = {"grumbold": 3.0, "über": 1.9, "zonk": 2.6}
+    stems = {b"grum": 2.7, b"grumb": 1.8, b"zonker": 3.1, "düst".encode(): 1.6}
+    lexicon = {}
+    for name, weights in (("word", {w.encode(): o for w, o in words.items()}), ("stem", stems)):
+        rows = sorted((tv.bytes_hash(w), o) for w, o in weights.items())
+        lexicon[name] = np.array([h for h, _ in rows], np.uint64), np.array([o for _, o in rows])
+    parts = ["you", "IDIOT", "id.iot", "m0r0n", "i-d-i-o-t", "Grumboldly", "grumbold", "zonkerei", "ÜBER", "düster", "what?!", "(42)", "$#", "st*pid", "http://a.b.c/d-e", "Ihr", "x", "\n", "日本", "z0nk", "gr.umbold!", "BIG"]
+    texts = ["", " ", "idiot"] + [" ".join(r.choice(parts) for _ in range(r.randrange(1, 40))) for _ in range(200)]
+    raws = [t.encode() for t in texts]
+    got = toxicity.features(np.frombuffer(b"".join(raws), np.uint8), np.cumsum([0] + [len(x) for x in raws]), lexicon)
+    want = np.array([plain_features(t, words, stems) for t in texts])
+    for j, name in enumerate(toxicity.FEATURES):
+        assert np.allclose(got[:, j], want[:, j]), name
+
+
+def test_repeated_ids_leave_the_sample_bounded(frame):
+    docs = frame([(1, f"text {i}") for i in range(50)] + [(2, "b"), (3, None)], "doc_id long, text string")
+    labels = frame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    rows = toxicity.sample_labelled(docs, labels).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in rows) == [x for x in [(1, "text 0"), (2, "b"), (3, "")] if zlib.crc32(str(x[0]).encode()) % 5]
