@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcube.llm.common import map_arrow, shared_dir
+from loomcube.llm.common import map_arrow, materialise, shared_dir
 
 #: Compressed bytes after which a new file is begun; pages of a payload from which on repeats become revisits.
 ROLL_BYTES, DEDUP_FROM = 256 << 20, 0
@@ -99,6 +99,7 @@ def sorted_records(pages: DataFrame, dedup_from: int = DEDUP_FROM) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), text.alias("html"), F.sha1(text).alias("digest"))
     keys = rows.select("page_id", "url", "digest", F.octet_length("html").alias("size")).filter(F.col("size") >= dedup_from)
     best = keys.groupBy("digest", "size").agg(F.max(F.struct("page_id", "url")).alias("best"), F.count("*").alias("n")).filter("n > 1")
+    best = materialise(best.drop("n"), "warc-best")  # a plain table, so that the pages of a common payload can be split
     notes = keys.join(best, ["digest", "size"]).filter("NOT (page_id <=> best.page_id AND url <=> best.url)")
     notes = notes.select("page_id", "url", "digest", F.lit(None).cast("string").alias("html"), F.lit(0).alias("kind"), F.col("best.page_id").alias("best_id"), F.col("best.url").alias("best_url"))
     notes = notes.distinct()
@@ -145,20 +146,30 @@ def write_archives(pages: DataFrame, root: str, roll: int = ROLL_BYTES, dedup_fr
 
     manifest = map_arrow(sorted_records(pages, dedup_from), run, MANIFEST)
     manifest.write.parquet(f"{root}/_manifest")  # names files of committed tasks only
+    for left in files.get_file_info(fs.FileSelector(path)):
+        if left.type == fs.FileType.File and left.base_name.startswith(".shard-"):  # of attempts that failed
+            files.delete_file(left.path)
     return pages.sparkSession.read.schema(manifest.schema).parquet(f"{root}/_manifest")
 
 
-def members(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
-    """The uncompressed gzip members of a file, one at a time."""
-    unpack, parts, rest = zlib.decompressobj(31), [], b""
-    while data := rest or stream.read(chunk):
-        rest = b""
+def members(stream, chunk: int = 1 << 20, sha256: str | None = None) -> Iterator[bytes]:
+    """The uncompressed gzip members of a file, one at a time; at its end the digest of the file has to be the given one."""
+    unpack, parts, rest, digest = zlib.decompressobj(31), [], b"", hashlib.sha256()
+    while True:
+        if not rest:
+            rest = stream.read(chunk)
+            digest.update(rest)
+        if not rest:
+            break
+        data, rest = rest, b""
         parts.append(unpack.decompress(data))
         if unpack.eof:
             yield b"".join(parts)
             rest, unpack, parts = unpack.unused_data, zlib.decompressobj(31), []
     if any(parts):
         raise ValueError("the archive ends within a record")
+    if sha256 is not None and digest.hexdigest() != sha256:
+        raise ValueError("the archive is not the one that the manifest names")
 
 
 def parse_record(record: bytes) -> dict:
@@ -186,10 +197,10 @@ def read_archives(manifest: DataFrame, root: str) -> DataFrame:
         files, path = fs.FileSystem.from_uri(root)
         names = [f.name for f in schema]
         for batch in batches:
-            for name in batch.column(0).to_pylist():
+            for name, sha256 in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with files.open_input_stream(f"{path}/{name}", compression=None) as stream:
                     rows = []
-                    for record in members(stream):
+                    for record in members(stream, sha256=sha256):
                         rows.append(parse_record(record))
                         if len(rows) == 4096:
                             yield pa.RecordBatch.from_pylist(rows, types).select(names)
@@ -203,7 +214,7 @@ def read_archives(manifest: DataFrame, root: str) -> DataFrame:
     schema = StructType.fromDDL(RECORD)
     types = to_arrow_schema(schema)
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return map_arrow(manifest.select("file").repartition(n), run, schema)
+    return map_arrow(manifest.select("file", "sha256").repartition(n), run, schema)
 
 
 def archive_pages(pages: DataFrame, root: str | None = None, roll: int = ROLL_BYTES, dedup_from: int = DEDUP_FROM) -> DataFrame:

@@ -68,3 +68,13 @@ def test_torn_archives_are_noticed():
     assert len(list(warc.members(io.BytesIO(data + data)))) == 2
     with pytest.raises(ValueError, match="within a record"):
         list(warc.members(io.BytesIO(data + data[:-20])))
+    assert len(list(warc.members(io.BytesIO(data), sha256=hashlib.sha256(data).hexdigest()))) == 1
+    with pytest.raises(ValueError, match="the manifest names"):
+        list(warc.members(io.BytesIO(data), sha256=hashlib.sha256(data + data).hexdigest()))
+
+
+def test_files_of_failed_attempts_go(frame, tmp_path):
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / ".shard-00000-00000.warc.gz.dead").write_bytes(b"half a record")
+    warc.write_archives(frame(pages(), SCHEMA), f"file://{tmp_path}/w")
+    assert not list(tmp_path.glob("w/.shard*dead"))
