@@ -45,30 +45,48 @@ def case_tokens(synonym: Column) -> Column:
     return F.split(F.replace(F.replace(synonym, F.lit("-"), F.lit(" - ")), F.lit("/"), F.lit("/ ")), " ")
 
 
-def case_variants(synonym: Column, most: int = 10) -> Column:
-    """All spellings with each plain word in lower case or capitalised; synonyms of over ``most`` such words stay as they are.
+def _spellings(word: Column) -> Column:
+    """The word in lower case and capitalised, if it varies: letters only, lower case or capitalised; one capital alone does not."""
+    varies = F.replace(word, F.lit("/"), F.lit("")).rlike(r"^\p{Lu}?\p{Ll}+$")
+    capital = F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, 2, 1 << 20))
+    return F.when(varies, F.array(F.lower(word), capital)).otherwise(F.array(word))
 
-    A word varies if it is letters only and lower case or capitalised; one capital letter alone does not.
-    """
-    words = case_tokens(synonym)
 
-    def varies(word: Column) -> Column:
-        return F.replace(word, F.lit("/"), F.lit("")).rlike(r"^\p{Lu}?\p{Ll}+$")
+def _rejoined(words: Column) -> Column:
+    return F.replace(F.replace(words, F.lit(" - "), F.lit("-")), F.lit("/ "), F.lit("/"))
+
 
-    def spellings(word: Column) -> Column:
-        capital = F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, 2, 1 << 20))
-        return F.when(varies(word), F.array(F.lower(word), capital)).otherwise(F.array(word))
+def case_variants(synonym: Column) -> Column:
+    """All spellings with each plain word in lower case or capitalised, as a list: for names of few words.
 
+    :func:`vary_case` gives the same as rows, whatever the number of words.
+    """
     joined = F.aggregate(
-        words, F.array(F.lit("")),
-        lambda acc, word: F.flatten(F.transform(acc, lambda head: F.transform(spellings(word), lambda w: F.concat(head, F.lit(" "), w)))),
+        case_tokens(synonym), F.array(F.lit("")),
+        lambda acc, word: F.flatten(F.transform(acc, lambda head: F.transform(_spellings(word), lambda w: F.concat(head, F.lit(" "), w)))),
     )
-    clean = F.transform(joined, lambda s: F.replace(F.replace(F.substring(s, 2, 1 << 20), F.lit(" - "), F.lit("-")), F.lit("/ "), F.lit("/")))
-    return F.when(F.size(F.filter(words, varies)) > most, F.array(synonym)).otherwise(F.array_distinct(clean))
+    return F.array_distinct(F.transform(joined, lambda s: _rejoined(F.substring(s, 2, 1 << 20))))
+
+
+def vary_case(names: DataFrame, column: str, variant: str = "variant") -> DataFrame:
+    """A row with each spelling of :func:`case_variants` for every row of ``names``; names without letters keep one.
 
+    Words are taken one at a time, so a name of k plain words gives 2 ** k rows without a list of them in any row.
+    """
+    out = names.withColumns({"__words": case_tokens(F.col(column)), "__done": F.lit("")})
+    most = out.agg(F.max(F.size("__words")).alias("n")).first()["n"] or 0
+    for i in range(most):
+        word = F.get("__words", F.lit(i))
+        step = F.when(word.isNull(), F.array(F.lit(""))).otherwise(F.transform(_spellings(word), lambda w: F.concat(F.lit(" "), w)))
+        out = out.withColumn("__next", F.explode(step)).withColumn("__done", F.concat("__done", "__next")).drop("__next")
+    return out.withColumn(variant, _rejoined(F.substring("__done", 2, 1 << 20))).drop("__words", "__done").distinct()
+
+
+def comma_permutations(term: Column) -> Column:
+    """All orders of the parts of ``A, B, C`` joined by blanks, as a sorted list: for terms of few parts.
 
-def comma_permutations(term: Column, most: int = 4) -> Column:
-    """All orders of the parts of ``A, B, C`` joined by blanks; terms of over ``most`` parts keep their order."""
+    :func:`permute_commas` gives the same as rows, whatever the number of parts.
+    """
     parts = F.transform(F.split(term, ","), lambda p: F.trim(p))
     places = F.sequence(F.lit(0), F.size(parts) - 1)
     none = F.array().cast("array<int>")
@@ -78,7 +96,26 @@ def comma_permutations(term: Column, most: int = 4) -> Column:
 
     orders = F.aggregate(places, F.array(none), grow)
     texts = F.transform(orders, lambda o: F.array_join(F.transform(o, lambda i: F.get(parts, i)), " "))
-    return F.when(F.size(parts) > most, F.array(F.array_join(parts, " "))).otherwise(F.array_sort(F.array_distinct(texts)))
+    return F.array_sort(F.array_distinct(texts))
+
+
+def permute_commas(terms: DataFrame, column: str, permutation: str = "permutation") -> DataFrame:
+    """A row with each order of :func:`comma_permutations` for every row of ``terms``.
+
+    One place is filled at a time, so a term of n parts gives n! rows without a list of them in any row.
+    """
+    parts = F.transform(F.split(F.col(column), ","), lambda p: F.trim(p))
+    out = terms.withColumns({"__left": parts, "__done": F.array().cast("array<string>")})
+    most = out.agg(F.max(F.size("__left")).alias("n")).first()["n"] or 0
+    none = F.array(F.lit(None).cast("struct<i:int,p:string>"))
+    for _ in range(most):
+        places = F.transform("__left", lambda p, i: F.struct(i.alias("i"), p.alias("p")))
+        out = out.withColumn("__next", F.explode(F.when(F.size("__left") > 0, places).otherwise(none)))
+        taken = F.col("__next").isNotNull()
+        left = F.when(taken, F.filter("__left", lambda p, i: i != F.col("__next.i"))).otherwise(F.col("__left"))
+        done = F.when(taken, F.concat("__done", F.array("__next.p"))).otherwise(F.col("__done"))
+        out = out.withColumns({"__left": left, "__done": done}).drop("__next")
+    return out.withColumn(permutation, F.array_join("__done", " ")).drop("__left", "__done").distinct()
 
 
 def is_short(synonym: Column) -> Column:
@@ -153,35 +190,69 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-#: Pieces of a lexicon that are sent to every executor at most.
-BROADCAST_PIECES = 200_000
+#: Synonyms that are tried on every document in one projection at most; more are looked up by pieces.
+LISTED_SYNONYMS = 200
+#: Fields that are searched in each mode.
+FIELDS = {
+    "abstract": ("title", "abstract"),
+    "full_text": ("title", "abstract", "full_text"),
+    "full_text_no_methods": ("title", "abstract", "introduction", "results", "discussion"),
+}
+
+
+def _pieces(text: Column, size: int) -> Column:
+    """The different runs of ``size`` characters within the tokens of a text."""
+    return F.array_distinct(F.flatten(F.transform(
+        F.filter(tokens(text), lambda w: F.length(w) >= size),
+        lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - (size - 1)), lambda i: F.substring(w, i, F.lit(size))),
+    )))
+
+
+def few(rows: DataFrame) -> bool:
+    """Whether a lexicon is small enough for one projection; a count that stops early tells."""
+    return rows.limit(LISTED_SYNONYMS + 1).count() <= LISTED_SYNONYMS
 
 
-def count_synonyms(docs: DataFrame, synonyms: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id, synonym, cnt`` of every normalised synonym that occurs in a document.
+def candidate_synonyms(docs: DataFrame, words: DataFrame, fields: list[str]) -> DataFrame:
+    """``doc_id, synonym`` of every pair that may occur: the document holds the rarest piece of the synonym.
 
-    Counting is on raw substrings. Candidates come from token pieces by hash: every token of three letters or more
-    of a document is cut into its distinct three-letter pieces, and a synonym is looked up by one piece of its
-    longest token. A lexicon whose pieces are counted to be few is sent to the documents, which then do not move;
-    a larger one is joined on pieces and ids alone, and the texts are joined to what is found. Synonyms without
-    a token of three letters are tried on all documents.
+    Pieces are runs of three characters within tokens (fewer for synonyms of short tokens only), so occurrences
+    within words are found. Of the pieces of a synonym the one in the fewest documents is looked up, by exchanges
+    of pieces and ids alone; a synonym with a piece that no document has cannot occur. Nothing is broadcast, so both
+    sides may be of any size. Synonyms without a letter or digit are paired with all documents.
     """
-    clean = docs.select(F.col(id_column).alias("doc_id"), normalise_hyphens(F.coalesce(F.col(text_column), F.lit(""))).alias("text"))
+    longest = F.array_max(F.transform(tokens(F.col("synonym")), lambda w: F.length(w)))
+    sized = words.withColumn("size", F.least(F.coalesce(longest, F.lit(0)), F.lit(3)))
+    sizes = [r["size"] for r in sized.select("size").distinct().collect()]
+    out = sized.filter("size = 0").select("synonym").crossJoin(docs.select("doc_id")).select("doc_id", "synonym") if 0 in sizes else None
+    for size in sorted(set(sizes) - {0}):
+        every = F.array_distinct(F.flatten(F.array(*(_pieces(F.col(f), size) for f in fields))))
+        held = docs.select("doc_id", F.explode(every).alias("piece"))
+        own = sized.filter(F.col("size") == size).select("synonym", F.explode(_pieces(F.col("synonym"), size)).alias("piece"))
+        spread = held.groupBy("piece").agg(F.count("*").alias("n"))
+        counted = own.join(spread.hint("merge"), "piece", "left").groupBy("synonym")
+        rarest = counted.agg(F.min(F.struct("n", "piece")).alias("least"), F.bool_and(F.col("n").isNotNull()).alias("all")).filter("all").select("synonym", "least.piece")
+        found = held.join(rarest.hint("merge"), "piece").select("doc_id", "synonym")
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else docs.select("doc_id", F.lit("").alias("synonym")).limit(0)
+
+
+def count_synonyms(docs: DataFrame, synonyms: DataFrame, id_column: str = "doc_id", text_columns: tuple[str, ...] | str = "text") -> DataFrame:
+    """``doc_id, synonym, cnt`` of every normalised synonym that occurs in the given fields of a document.
+
+    Counting is on raw substrings of each field by itself; :data:`FIELDS` names those of the usual modes. A lexicon
+    that a count shows to be small is tried on each document in one projection, where the documents are read; of a
+    larger one only the pairs of :func:`candidate_synonyms` meet their texts. Both ways count alike.
+    """
+    names = [text_columns] if isinstance(text_columns, str) else list(text_columns)
+    fields = [f"f{i}" for i in range(len(names))]
+    clean = docs.select(F.col(id_column).alias("doc_id"), *(normalise_hyphens(F.coalesce(F.col(c), F.lit(""))).alias(f) for c, f in zip(names, fields, strict=True)))
     words = synonyms.select(normalise_synonym(F.col("synonym")).alias("synonym")).filter("synonym <> ''").distinct()
-    longest = F.element_at(F.array_sort(tokens(F.col("synonym")), lambda a, b: F.length(b) - F.length(a)), 1)
-    keyed = words.withColumn("piece", F.when(F.length(longest) >= 3, F.substring(longest, 1, 3)))
-    pieces = F.array_distinct(F.flatten(F.transform(
-        F.filter(tokens(F.col("text")), lambda w: F.length(w) >= 3),
-        lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))),
-    )))
-    wanted = keyed.filter("piece IS NOT NULL").groupBy("piece").agg(F.collect_list("synonym").alias("synonyms"))
-    if wanted.limit(BROADCAST_PIECES + 1).count() <= BROADCAST_PIECES:
-        near = clean.select("doc_id", "text", F.explode(pieces).alias("piece")).join(F.broadcast(wanted), "piece")
-        by_piece = near.select("doc_id", "text", F.explode("synonyms").alias("synonym"))
+    if few(words):
+        listed = words.agg(F.collect_list("synonym").alias("synonyms"))
+        hits = F.filter("synonyms", lambda s: any_of([F.contains(F.col(f), s) for f in fields]))
+        both = clean.join(F.broadcast(listed)).select("doc_id", *fields, F.explode(hits).alias("synonym"))
     else:
-        near = clean.select("doc_id", F.explode(pieces).alias("piece")).join(wanted, "piece").select("doc_id", F.explode("synonyms").alias("synonym"))
-        by_piece = near.distinct().join(clean, "doc_id").select("doc_id", "text", "synonym")
-    rest = keyed.filter("piece IS NULL").agg(F.collect_list("synonym").alias("synonyms"))
-    by_list = clean.join(F.broadcast(rest)).select("doc_id", "text", F.explode("synonyms").alias("synonym"))
-    both = by_piece.unionByName(by_list)
-    return both.select("doc_id", "synonym", count_substring(F.col("text"), F.col("synonym")).alias("cnt")).filter("cnt > 0")
+        both = candidate_synonyms(clean, words, fields).join(clean.hint("merge"), "doc_id")
+    times = reduce(lambda a, b: a + b, (count_substring(F.col(f), F.col("synonym")) for f in fields))
+    return both.select("doc_id", "synonym", times.alias("cnt")).filter("cnt > 0")

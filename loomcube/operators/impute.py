@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomcube.functions.text import any_of, title_text
-
-#: Words of the domain that the keyword variant asks for.
-DOMAIN_WORDS = ("heart", "cardiac", "cardio", "cardial", "myocard", "coronary", "valv", "aortic", "ventric")
-
+from loomcube.functions.text import any_of, candidate_synonyms, few, title_text
 
 def select_mode(docs: DataFrame, mode: str) -> DataFrame:
     """Documents by whether they have ``terms``: ``unlabelled``, ``labelled`` or ``all``."""
@@ -17,39 +13,56 @@ def select_mode(docs: DataFrame, mode: str) -> DataFrame:
     return {"unlabelled": docs.filter(size <= 0), "labelled": docs.filter(size > 0), "all": docs}[mode]
 
 
-def incomparable_pair(matches: Column) -> Column:
-    """Whether two of the matched synonyms do not hold each other (apostrophes aside)."""
-    clean = F.transform(matches, lambda m: F.replace(m, F.lit("'"), F.lit("")))
-    return F.exists(clean, lambda a: F.exists(clean, lambda b: ~F.contains(a, b) & ~F.contains(b, a)))
+def incomparable(matches: Column) -> Column:
+    """The matched synonyms that have another one which neither holds them nor lies in them (apostrophes aside)."""
+
+    def clean(m: Column) -> Column:
+        return F.replace(m, F.lit("'"), F.lit(""))
+
+    return F.filter(matches, lambda a: F.exists(matches, lambda b: ~F.contains(clean(a), clean(b)) & ~F.contains(clean(b), clean(a))))
 
 
 def impute(docs: DataFrame, synonyms: DataFrame, domain_words: tuple[str, ...] = (), use_title: bool = True) -> DataFrame:
-    """``doc_id, category, by_title, n_matches`` of the labels that follow from ``docs(doc_id, title, abstract)``.
+    """``doc_id, category, by_title, n_matches, synonym`` of the labels that follow from ``docs(doc_id, title, abstract)``.
 
     A category is given if one of its synonyms stands as words in the title, or if two of its matched synonyms are
-    incomparable; the order of synonyms plays no part. ``domain_words`` asks for one of them in the text, and
-    without ``use_title`` only pairs count (the keyword variant). Synonyms come as a list per category and are
-    matched per document in one step, so documents are never exchanged; the lists are sent whole and have to be of
-    a lexicon's size, which is checked.
+    incomparable; the order of synonyms plays no part. ``synonym`` is the least that stands in the title, else the
+    least of an incomparable pair. ``domain_words`` asks for one of them in the text, and without ``use_title`` only
+    pairs count (the keyword variant). A small lexicon is matched in one projection; a larger one by
+    :func:`candidate_synonyms`, with the same result.
     """
     words = synonyms.select("category", F.lower("synonym").alias("synonym")).filter("synonym <> ''").distinct()
-    if words.limit(200_001).count() > 200_000:
-        raise ValueError("over 200,000 synonyms: match them by pieces with count_synonyms first")
-    lists = words.groupBy("category").agg(F.sort_array(F.collect_list("synonym")).alias("synonyms"))
-    lists = lists.agg(F.collect_list(F.struct("category", "synonyms")).alias("lists"))
     text = docs.select("doc_id", title_text(F.col("title")).alias("title"), F.lower(F.coalesce("abstract", F.lit(""))).alias("abstract"))
     if domain_words:
         text = text.filter(any_of([F.contains(F.concat("title", "abstract"), F.lit(w)) for w in domain_words]))
-    each = text.join(F.broadcast(lists)).select("doc_id", "title", "abstract", F.explode("lists").alias("l"))
-    matched = each.select(
-        "doc_id", F.col("l.category").alias("category"),
-        F.exists("l.synonyms", lambda s: F.contains(F.col("title"), F.concat(F.lit(" "), s, F.lit(" ")))).alias("by_title"),
-        F.filter("l.synonyms", lambda s: F.contains(F.col("title"), s) | F.contains(F.col("abstract"), s)).alias("matches"),
+
+    def in_title(s: Column) -> Column:
+        return F.contains(F.col("title"), F.concat(F.lit(" "), s, F.lit(" ")))
+
+    def anywhere(s: Column) -> Column:
+        return F.contains(F.col("title"), s) | F.contains(F.col("abstract"), s)
+
+    if few(words):
+        lists = words.groupBy("category").agg(F.collect_list("synonym").alias("synonyms"))
+        lists = lists.agg(F.collect_list(F.struct("category", "synonyms")).alias("lists"))
+        each = text.join(F.broadcast(lists)).select("doc_id", "title", "abstract", F.explode("lists").alias("l"))
+        matched = each.select("doc_id", F.col("l.category").alias("category"), F.filter("l.synonyms", in_title).alias("titles"), F.filter("l.synonyms", anywhere).alias("matches"))
+    else:
+        near = candidate_synonyms(text, words.select("synonym").distinct(), ["title", "abstract"])
+        hits = near.join(text.hint("merge"), "doc_id").filter(anywhere(F.col("synonym"))).select("doc_id", "synonym", in_title(F.col("synonym")).alias("in_title"))
+        own = hits.join(words.hint("merge"), "synonym").groupBy("doc_id", "category")
+        matched = own.agg(F.collect_set(F.when(F.col("in_title"), F.col("synonym"))).alias("titles"), F.collect_set("synonym").alias("matches"))
+    by_title = (F.size("titles") > 0) if use_title else F.lit(False)
+    pairs = incomparable(F.col("matches"))
+    return matched.filter(by_title | (F.size(pairs) > 0)).select(
+        "doc_id", "category", by_title.alias("by_title"), F.size("matches").cast("long").alias("n_matches"),
+        F.when(by_title, F.array_min("titles")).otherwise(F.array_min(pairs)).alias("synonym"),
     )
-    matched = matched.filter(F.size("matches") > 0)
-    rule = incomparable_pair(F.col("matches"))
-    by_title = F.col("by_title") if use_title else F.lit(False)
-    return matched.filter(by_title | rule).select("doc_id", "category", by_title.alias("by_title"), F.size("matches").cast("long").alias("n_matches"))
+
+
+def document_synonyms(labels: DataFrame) -> DataFrame:
+    """``doc_id, synonyms``: a sorted list of the synonyms by which a document got its labels."""
+    return labels.groupBy("doc_id").agg(F.sort_array(F.collect_set("synonym")).alias("synonyms"))
 
 
 def merge_labels(labels: DataFrame) -> DataFrame:

@@ -15,6 +15,17 @@ ss AS (SELECT DISTINCT {_NORM.format("synonym || ' '")} AS synonym FROM lex),
 ls AS (SELECT DISTINCT entity, {_NORM.format("synonym || ' '")} AS synonym FROM lex),
 cc AS (SELECT doc_id, synonym, CAST((length(t) - length(replace(t, synonym, ''))) / length(synonym) AS BIGINT) AS cnt FROM dd, ss WHERE contains(t, synonym)),
 ec AS (SELECT doc_id, entity, CAST(sum(cnt) AS BIGINT) AS cnt FROM cc JOIN ls USING (synonym) GROUP BY ALL)"""
+_LINES = "string_split(coalesce(text, ''), chr(10))"
+
+
+def _mode_sql(*fields):
+    """Counts of each field by itself; a number takes a line of the text, else the whole."""
+    parts = [_NORM.format(f"coalesce({_LINES}[{f}], '')" if isinstance(f, int) else "coalesce(text, '')") for f in fields]
+    times = " + ".join(f"CAST((length({p}) - length(replace({p}, synonym, ''))) / length(synonym) AS BIGINT)" for p in parts)
+    return f"""WITH {_LEX}, ss AS (SELECT DISTINCT {_NORM.format("synonym || ' '")} AS synonym FROM lex),
+cc AS (SELECT doc_id, synonym, {times} AS cnt FROM documents, ss) SELECT * FROM cc WHERE cnt > 0"""
+
+
 _TOTALS = "tt AS (SELECT lang AS category, synonym, CAST(sum(cnt) AS BIGINT) AS cnt FROM cc JOIN documents USING (doc_id) GROUP BY ALL UNION ALL SELECT 'TOTAL', synonym, CAST(sum(cnt) AS BIGINT) FROM cc GROUP BY ALL)"
 
 
@@ -26,6 +37,23 @@ def _counts(spark, d):
     return x.count_synonyms(t.table(spark, d, "documents"), t.literal(spark, t.LEXICON, "entity, synonym"))
 
 
+def _articles(spark, d):
+    """Documents as articles: the first line is the title, the second the abstract, the next three the sections."""
+    line = F.split("text", "\n")
+    parts = {name: F.get(line, F.lit(i)) for i, name in enumerate(("title", "abstract", "introduction", "results", "discussion"))}
+    return t.table(spark, d, "documents").select("doc_id", F.col("text").alias("full_text"), *(c.alias(n) for n, c in parts.items()))
+
+
+def _mode_counts(mode):
+    return lambda spark, d: x.count_synonyms(_articles(spark, d), t.literal(spark, t.LEXICON, "entity, synonym"), text_columns=x.FIELDS[mode])
+
+
+def _wide_lexicon(spark, d):
+    """Beginnings of the benchmark's words: more synonyms than one projection takes."""
+    words = t.table(spark, d, "benchmark").select(F.explode(F.split("text", r"[^\p{L}]+")).alias("w")).filter("length(w) > 5")
+    return x.count_synonyms(t.table(spark, d, "documents"), words.select(F.left("w", F.lit(6)).alias("synonym")))
+
+
 def _entities(spark, d):
     return cube.entity_counts(_counts(spark, d), _lexicon(spark))
 
@@ -47,7 +75,7 @@ def _entity_lists(spark, d):
 
 def _variants(spark, d):
     names = t.table(spark, d, "part").select("p_name").distinct()
-    return names.select(F.col("p_name").alias("name"), F.explode(x.case_variants(F.col("p_name"))).alias("variant"))
+    return x.vary_case(names.select(F.col("p_name").alias("name")), "name")
 
 
 def _species(spark, d):
@@ -70,7 +98,7 @@ def _screen(spark, d):
 
 def _permutations(spark, d):
     names = t.table(spark, d, "part").select(F.concat(F.replace("p_name", F.lit(" "), F.lit(", ")), F.lit(", "), "p_type").alias("term")).distinct()
-    return names.select("term", F.explode(x.comma_permutations(F.col("term"))).alias("permutation"))
+    return x.permute_commas(names, "term")
 
 
 def _doc_terms(spark, d):
@@ -145,6 +173,10 @@ def _concordance(spark, d):
 
 QUERIES = {
     "text_synonym_counts": _counts,
+    "text_counts_abstract": _mode_counts("abstract"),
+    "text_counts_full_text": _mode_counts("full_text"),
+    "text_counts_no_methods": _mode_counts("full_text_no_methods"),
+    "text_counts_large_lexicon": _wide_lexicon,
     "text_hyphen_normalise": _hyphens,
     "text_entity_counts": _entities,
     "removed_synonym_antijoin": _removed,
@@ -162,6 +194,8 @@ QUERIES = {
     "category_docs": lambda s, d: cube.category_documents(_doc_terms(s, d), _sources(s, d)),
     "relevant_docs_semijoin": lambda s, d: cube.relevant_documents(t.table(s, d, "labels"), t.text_cat_docs(s, d).filter("category IN ('de', 'fr')")),
     "impute_labels": _impute,
+    "impute_doc_synonyms": lambda s, d: impute.document_synonyms(_impute(s, d)).select("doc_id", F.array_join("synonyms", "|").alias("synonyms")),
+    "impute_ground_truth": lambda s, d: impute.ground_truth(t.table(s, d, "documents"), _doc_terms(s, d), _sources(s, d).filter("category IN ('cat_a', 'cat_b')")),
     "impute_keyword_variant": lambda s, d: _impute(s, d, "all", domain_words=("tion", "ung"), use_title=False),
     "impute_eval": _evaluate,
     "impute_eval_compat": lambda s, d: _evaluate(s, d, True),
@@ -177,13 +211,14 @@ QUERIES = {
 _CATS = f"cats AS {t.values_sql(t.CATEGORY_SYNONYMS, 'category, synonym')}"
 _SPLIT = """sp AS (SELECT d.doc_id, d.lang, ' ' || translate(lower(split_part(text, chr(10), 1)), ',:', '  ') || ' ' AS title,
  lower(substr(text, length(split_part(text, chr(10), 1)) + 2)) AS abstract, l.doc_id IS NOT NULL AS known FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id)"""
-_RULE = "len(list_filter(m, lambda a: len(list_filter(m, lambda b: NOT contains(a, b) AND NOT contains(b, a))) > 0)) > 0"
+_PAIRS = "list_filter(m, lambda a: len(list_filter(m, lambda b: NOT contains(a, b) AND NOT contains(b, a))) > 0)"
 
 
 def _impute_sql(where, title="by_title"):
-    return f"""{_CATS}, {_SPLIT}, mm AS (SELECT doc_id, lang, category, bool_or(contains(title, ' ' || synonym || ' ')) AS by_title, list(DISTINCT synonym) AS m
- FROM sp, cats WHERE ({where}) AND (contains(title, synonym) OR contains(abstract, synonym)) GROUP BY ALL),
-im AS (SELECT doc_id, lang, category, {title} AS by_title, CAST(len(m) AS BIGINT) AS n_matches FROM mm WHERE {title} OR {_RULE})"""
+    return f"""{_CATS}, {_SPLIT}, mm AS (SELECT doc_id, lang, category, bool_or(contains(title, ' ' || synonym || ' ')) AS by_title, list(DISTINCT synonym) AS m,
+ min(synonym) FILTER (contains(title, ' ' || synonym || ' ')) AS first_title FROM sp, cats WHERE ({where}) AND (contains(title, synonym) OR contains(abstract, synonym)) GROUP BY ALL),
+im AS (SELECT doc_id, lang, category, {title} AS by_title, CAST(len(m) AS BIGINT) AS n_matches, CASE WHEN {title} THEN first_title ELSE list_min({_PAIRS}) END AS synonym
+ FROM mm WHERE {title} OR len({_PAIRS}) > 0)"""
 
 
 def _eval_sql(times):
@@ -211,6 +246,12 @@ _IS_SHORT = "(NOT contains(synonym, ' ') AND (length(synonym) <= 2 OR (length(sy
 
 SQL = {
     "text_synonym_counts": f"WITH {_COUNTS} SELECT * FROM cc",
+    "text_counts_abstract": _mode_sql(1, 2),
+    "text_counts_full_text": _mode_sql(1, 2, "text"),
+    "text_counts_no_methods": _mode_sql(1, 2, 3, 4, 5),
+    "text_counts_large_lexicon": f"""WITH dd AS (SELECT doc_id, {_NORM.format("coalesce(text, '')")} AS t FROM documents),
+ss AS (SELECT DISTINCT left(w, 6) AS synonym FROM (SELECT unnest(regexp_split_to_array(text, '[^\\p{{L}}]+')) AS w FROM benchmark) WHERE length(w) > 5)
+SELECT doc_id, synonym, CAST((length(t) - length(replace(t, synonym, ''))) / length(synonym) AS BIGINT) AS cnt FROM dd, ss WHERE contains(t, synonym)""",
     "text_hyphen_normalise": f"WITH n AS (SELECT doc_id, {_NORM.format('text')} AS n FROM documents) SELECT doc_id, md5(n) AS digest, length(n) AS n_chars FROM n",
     "text_entity_counts": f"WITH {_COUNTS} SELECT * FROM ec",
     "removed_synonym_antijoin": f"WITH {_COUNTS} SELECT doc_id, entity, CAST(sum(cnt) AS BIGINT) AS cnt FROM cc JOIN ls USING (synonym) WHERE synonym NOT IN ('the', 'tion') GROUP BY ALL",
@@ -227,8 +268,10 @@ SQL = {
     "term_docs": "WITH n AS (SELECT DISTINCT lang AS term, doc_id FROM documents UNION SELECT DISTINCT source, doc_id FROM documents) SELECT term, count(*) AS n_docs, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS docs FROM n GROUP BY term",
     "category_docs": f"SELECT DISTINCT category, doc_id FROM documents JOIN {_SOURCES} c ON c.term = source",
     "relevant_docs_semijoin": "SELECT * FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang IN ('de', 'fr'))",
-    "impute_labels": f"WITH {_impute_sql('NOT known')} SELECT doc_id, category, by_title, n_matches FROM im",
-    "impute_keyword_variant": "WITH " + _impute_sql("contains(title || abstract, 'tion') OR contains(title || abstract, 'ung')", "false") + " SELECT doc_id, category, by_title, n_matches FROM im",
+    "impute_labels": f"WITH {_impute_sql('NOT known')} SELECT doc_id, category, by_title, n_matches, synonym FROM im",
+    "impute_doc_synonyms": f"WITH {_impute_sql('NOT known')} SELECT doc_id, string_agg(DISTINCT synonym, '|' ORDER BY synonym) AS synonyms FROM im GROUP BY doc_id",
+    "impute_ground_truth": f"WITH p AS (SELECT DISTINCT doc_id, category FROM documents JOIN {_SOURCES} c ON c.term = source WHERE category IN ('cat_a', 'cat_b')) SELECT d.doc_id, p.category FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN p USING (doc_id)",
+    "impute_keyword_variant": "WITH " + _impute_sql("contains(title || abstract, 'tion') OR contains(title || abstract, 'ung')", "false") + " SELECT doc_id, category, by_title, n_matches, synonym FROM im",
     "impute_eval": _eval_sql(1),
     "impute_eval_compat": _eval_sql(2),
     "impute_writeback": f"WITH {_impute_sql('NOT known')}, u AS (SELECT doc_id, category FROM im UNION SELECT doc_id, lang FROM sp WHERE known), g AS (SELECT doc_id, string_agg(category, '|' ORDER BY category) AS terms FROM u GROUP BY doc_id) SELECT d.doc_id, coalesce(g.terms, '') AS terms FROM documents d LEFT JOIN g USING (doc_id)",

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomcube.functions import text as x
@@ -40,7 +41,14 @@ def test_case_variants(frame):
     assert sorted(one(frame, x.case_variants(c()), "Fake PrO name")) == ["Fake PrO Name", "Fake PrO name", "fake PrO Name", "fake PrO name"]
     assert sorted(one(frame, x.case_variants(c()), "beta-gamma/delta")) == sorted(f"{a}-{b}/{d}" for a in ("beta", "Beta") for b in ("gamma", "Gamma") for d in ("delta", "Delta"))
     assert one(frame, x.case_variants(c()), "A1 B") == ["A1 B"]
-    assert one(frame, x.case_variants(c(), most=1), "two words") == ["two words"]
+
+
+def test_names_of_many_words(frame):
+    name = "a-b " + " ".join(["word", "other"] * 6)
+    rows = x.vary_case(frame([(1, name), (2, "A1"), (3, "")], "k int, name string"), "name").collect()
+    got = {k: sorted(r["variant"] for r in rows if r["k"] == k) for k in (1, 2, 3)}
+    assert len(got[1]) == 4096 * 4 == len(set(got[1])) and got[2] == ["A1"] and got[3] == [""]
+    assert got[1] == sorted(one(frame, x.case_variants(c()), name))
 
 
 def test_species(frame):
@@ -51,6 +59,8 @@ def test_species(frame):
 def test_comma_permutations(frame):
     assert one(frame, x.comma_permutations(c()), "Failure, Heart") == ["Failure Heart", "Heart Failure"]
     assert len(one(frame, x.comma_permutations(c()), "a, b, c")) == 6
+    rows = x.permute_commas(frame([("a, b, c, d, e, f",), ("x",), ("y, y",)], "term string"), "term").collect()
+    assert len(rows) == 722 and sorted(r["permutation"] for r in rows if r["term"] == "a, b, c, d, e, f") == one(frame, x.comma_permutations(c()), "a, b, c, d, e, f")
 
 
 def test_short_synonyms(frame):
@@ -64,7 +74,7 @@ def test_screening(frame):
     assert got == {"cat": "english", "catsx": "english", "CAT": "short", "ab": "short"}
 
 
-def test_counting_finds_every_occurrence(frame):
+def test_counting_finds_every_occurrence(frame, monkeypatch):
     r = random.Random(2)
     words = ["alpha", "beta-gamma", "de", "x1", "tion", "ation", "étude"]
     docs = [(i, " ".join(r.choice([*words, "nation", "filler", "gamma"]) for _ in range(30))) for i in range(40)]
@@ -78,13 +88,27 @@ def test_counting_finds_every_occurrence(frame):
             if n := t.count(s):
                 want[d, s] = n
     assert got == want
-    small = x.BROADCAST_PIECES
-    try:
-        x.BROADCAST_PIECES = 0
-        joined = x.count_synonyms(frame(docs, "doc_id long, text string"), frame([(w,) for w in words], "synonym string")).collect()
-        assert {(g["doc_id"], g["synonym"]): g["cnt"] for g in joined} == want
-    finally:
-        x.BROADCAST_PIECES = small
+    monkeypatch.setattr(x, "LISTED_SYNONYMS", 0)
+    assert {(g["doc_id"], g["synonym"]): g["cnt"] for g in x.count_synonyms(frame(docs, "doc_id long, text string"), frame([(w,) for w in words], "synonym string")).collect()} == want
+
+
+@pytest.mark.parametrize("listed", [200, 0])
+def test_counting_by_fields(frame, monkeypatch, listed):
+    monkeypatch.setattr(x, "LISTED_SYNONYMS", listed)
+    docs = frame([(1, "ab cell", "cell", "cell cell", "x", "cell", None), (2, None, "-- no", "", "", "", "")], "doc_id long, title string, abstract string, full_text string, introduction string, results string, discussion string")
+    words = frame([("cell",), ("ab c",), ("no",), ("absent",), ("--",), ("a",)], "synonym string")
+    got = {m: {(r["doc_id"], r["synonym"]): r["cnt"] for r in x.count_synonyms(docs, words, text_columns=f).collect()} for m, f in x.FIELDS.items()}
+    rest = {(1, "ab c"): 1, (2, "no"): 1, (1, "a"): 1, (2, "-"): 1}
+    assert got == {"abstract": {(1, "cell"): 2, **rest}, "full_text": {(1, "cell"): 4, **rest}, "full_text_no_methods": {(1, "cell"): 3, **rest}}
+
+
+def test_a_large_lexicon_is_not_broadcast(spark, frame):
+    docs = frame([(1, "word7 and word 99"), (2, "none")], "doc_id long, text string")
+    many = spark.range(1_000_000).select(F.concat(F.lit("word"), F.col("id").cast("string")).alias("synonym"))
+    counts = x.count_synonyms(docs, many)
+    assert "Broadcast" not in counts._jdf.queryExecution().executedPlan().toString()
+    labels = impute.impute(docs.select("doc_id", F.col("text").alias("title"), F.lit("").alias("abstract")), many.withColumn("category", F.lit("c")))
+    assert "Broadcast" not in labels._jdf.queryExecution().executedPlan().toString()
 
 
 def test_sections(frame):
@@ -106,7 +130,9 @@ def _impute(frame, title, abstract, synonyms, **how):
     return impute.impute(docs, frame([("c", s) for s in synonyms], "category string, synonym string"), **how).count()
 
 
-def test_imputation_needs_an_incomparable_pair(frame):
+@pytest.mark.parametrize("listed", [200, 0])
+def test_imputation_needs_an_incomparable_pair(frame, monkeypatch, listed):
+    monkeypatch.setattr(x, "LISTED_SYNONYMS", listed)
     text = "about heart failure and heart block"
     assert _impute(frame, "none", text, ["heart", "heart failure"]) == 0
     assert _impute(frame, "none", text, ["heart", "heart failure", "heart block"]) == 1
@@ -116,6 +142,16 @@ def test_imputation_needs_an_incomparable_pair(frame):
     assert _impute(frame, None, None, ["heart"]) == 0
 
 
+@pytest.mark.parametrize("listed", [200, 0])
+def test_triggering_synonyms(frame, monkeypatch, listed):
+    monkeypatch.setattr(x, "LISTED_SYNONYMS", listed)
+    docs = frame([(1, "On heart block", "heart failure"), (2, None, "valve, heart block and heart")], "doc_id long, title string, abstract string")
+    synonyms = frame([("c", s) for s in ("heart", "heart block", "valve")], "category string, synonym string")
+    labels = impute.impute(docs, synonyms)
+    assert sorted(map(tuple, labels.collect())) == [(1, "c", True, 2, "heart"), (2, "c", False, 3, "heart")]
+    assert sorted(map(tuple, impute.document_synonyms(labels).collect())) == [(1, ["heart"]), (2, ["heart"])]
+
+
 def test_evaluation(frame):
     real = frame([(1, "a")], "doc_id long, category string")
     imputed = frame([(1, "a"), (1, "b")], "doc_id long, category string")
