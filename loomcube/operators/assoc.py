@@ -129,7 +129,8 @@ def enrichment(members: DataFrame, sets: DataFrame) -> DataFrame:
 
     The upper tail of the hypergeometric distribution. ``sets`` is ``set_name, entity``; entities outside of all
     pathways are left out; ids joined by semicolons are split. Only counts meet in the last step: the terms of a
-    tail are summed in place, one row per set and pathway with a hit.
+    tail are summed in place, one row per set and pathway with a hit. The first term comes from factorials, each
+    further one from the one before by its ratio.
     """
     own = members.select("pathway", "entity").distinct()
     split = sets.select("set_name", F.explode(F.split("entity", ";")).alias("entity")).distinct()
@@ -142,11 +143,17 @@ def enrichment(members: DataFrame, sets: DataFrame) -> DataFrame:
     rows = hits.join(size, "pathway").join(draws, "set_name").join(F.broadcast(total))  # one row
     n, k, m = F.col("n"), F.col("k"), F.col("m")
 
-    def term(i: Column) -> Column:
-        return F.when(m - i <= n - k, F.exp(log_choose(k, i) + log_choose(n - k, m - i) - F.col("whole"))).otherwise(F.lit(0.0))
+    low = F.greatest(F.col("hits"), m - (n - k))
+    rows = rows.withColumn("low", low)
+    low = F.col("low")
+    rows = rows.withColumn("term", F.exp(log_choose(k, low) + log_choose(n - k, m - low) - log_choose(n, m)))
 
-    rows = rows.withColumn("whole", log_choose(n, m))
-    tail = F.aggregate(F.sequence(F.col("hits"), F.least(k, m)), F.lit(0.0), lambda a, i: a + term(i))
+    def step(acc: Column, i: Column) -> Column:  # from the term of i to that of i + 1
+        ratio = (k - i) * (m - i) / ((i + 1) * (n - k - m + i + 1))
+        return F.struct((acc["sum"] + acc["term"]).alias("sum"), (acc["term"] * ratio).alias("term"))
+
+    start = F.struct(F.lit(0.0).alias("sum"), F.col("term").alias("term"))
+    tail = F.aggregate(F.sequence(low, F.least(k, m)), start, step, lambda acc: acc["sum"])
     return rows.select("set_name", "pathway", "hits", F.least(tail, F.lit(1.0)).alias("p_value"))
 
 
@@ -170,12 +177,43 @@ def pathway_listing(members: DataFrame, names: DataFrame) -> DataFrame:
     return own.join(names.select(F.col("id").alias("pathway"), "name"), "pathway", "left")
 
 
+def heatmap(means: DataFrame, categories: list[str], value: str = "mean_z") -> DataFrame:
+    """``pathway`` and a column of ``value`` for each category, null where a pathway has none."""
+    return means.groupBy("pathway").pivot("category", categories).agg(F.first(value))
+
+
+def entity_sets(z: DataFrame, threshold: float, core: DataFrame, n_categories: int, value: str = "score") -> DataFrame:
+    """``set_name, entity`` of the five kinds of sets that pathways are sought for, in one table.
+
+    ``core|c``: significant entities of the core in category c; ``I``: those with a z-score in every category;
+    ``II|c``: those significant in c alone; ``all``: every scored entity; ``nonzero|c``: those with a value in c.
+    """
+    def named(kind: str, rows: DataFrame, category: bool = True) -> DataFrame:
+        name = F.concat(F.lit(f"{kind}|"), F.col("category")) if category else F.lit(kind)
+        return rows.select(name.alias("set_name"), "entity")
+
+    high = z.filter(F.col("z") >= threshold)
+    parts = [
+        named("core", high.join(core.select("entity").distinct(), "entity", "left_semi")),
+        named("I", in_all(z, n_categories), False),
+        named("II", only_in_one(significant_sets(z, threshold))),
+        named("all", z, False),
+        named("nonzero", z.filter(F.col(value) != 0)),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
+
+
 def components(table: DataFrame, key: str, columns: list[str], n: int = 2) -> DataFrame:
-    """Principal components of standardised columns, as ``key, pc1, pc2, …``."""
+    """Principal components of standardised columns, as ``key, pc1, pc2, …``; a null takes its column's mean."""
+    means = table.agg(*(F.avg(c).alias(c) for c in columns)).first().asDict()
+    table = table.fillna({c: v for c, v in means.items() if v is not None}).fillna(0.0, columns)
     from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    vectors = VectorAssembler(inputCols=columns, outputCol="raw", handleInvalid="skip").transform(table)
+    vectors = VectorAssembler(inputCols=columns, outputCol="raw").transform(table)
     scaled = StandardScaler(withMean=True, withStd=True, inputCol="raw", outputCol="x").fit(vectors).transform(vectors)
     out = PCA(k=n, inputCol="x", outputCol="pc").fit(scaled).transform(scaled).withColumn("v", vector_to_array("pc"))
     return out.select(key, *(F.col("v")[i].alias(f"pc{i + 1}") for i in range(n)))

@@ -23,7 +23,10 @@ def prefix_assign(nodes: DataFrame, roots: DataFrame, strict: bool = True) -> Da
 
 
 def term_documents(doc_terms: DataFrame) -> DataFrame:
-    """Documents and their number by term; repeated pairs count once."""
+    """Documents and their number by term, as the file of the inverted index lists them; repeated pairs count once.
+
+    A row holds the whole list of a term; :func:`category_documents` and the other joins work on the pairs instead.
+    """
     pairs = doc_terms.select("term", "doc_id").distinct()
     return pairs.groupBy("term").agg(F.count("*").alias("n_docs"), F.array_join(F.sort_array(F.collect_list("doc_id")), ",").alias("docs"))
 
@@ -117,13 +120,20 @@ def documents_with_hits(cat_docs: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def latest_versions(docs: DataFrame, key: str, *order: Column) -> DataFrame:
-    """One row per key: the last in ``order``."""
+    """One row per key: the first in ``order``, which may mix directions. :func:`newest` needs no sort."""
     from pyspark.sql import Window
 
     ranked = docs.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
     return ranked.filter("__n = 1").drop("__n")
 
 
+def newest(docs: DataFrame, key: str, *version: str) -> DataFrame:
+    """One row per key: the one with the largest ``version`` columns; aggregated before the exchange."""
+    own = docs.columns
+    best = docs.groupBy(key).agg(F.max_by(F.struct(*(F.col(f"`{c}`") for c in own)), F.struct(*version)).alias("d"))
+    return best.select(*(F.col(f"d.`{c}`").alias(c) for c in own))
+
+
 def concordance(docs: DataFrame, cat_docs: DataFrame, name: str, n: int = 11) -> DataFrame:
     """The first relevant documents that hold a name, for reading."""
     hits = docs.filter(F.contains(F.col("text"), F.lit(name))).join(cat_docs.select("doc_id").distinct(), "doc_id", "left_semi")

@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomcube.storage import discard, materialise
+
 
 def stored(df: DataFrame) -> DataFrame:
-    """Written to the folder that ``spark.checkpoint.dir`` names and read back, so that a loop's plan stays short."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='loomcube-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/loop-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Written to the shared folder and read back, so that a loop's plan stays short."""
+    return materialise(df, "loop")
 
 
 def parent_code(code: Column) -> Column:
@@ -35,18 +27,28 @@ def code_edges(nodes: DataFrame) -> DataFrame:
 def ancestors(edges: DataFrame, strict: bool = True) -> DataFrame:
     """``ancestor, node, depth``: all pairs of the transitive closure with their least distance.
 
-    Path lengths double in every round, so a hierarchy of depth d takes about log2(d) joins; pairs already known
-    are not kept twice, which also ends on cycles. The closure itself is the result and as large as it has to be.
+    Path lengths double in every round, so a hierarchy of depth d takes about log2(d) rounds; only pairs that are new
+    or shorter than in the round before are joined again, which also ends on cycles. The closure itself is the result and as large as it has to be.
     """
     known = stored(edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("node"), F.lit(1).cast("long").alias("depth")).filter("ancestor <> node").distinct())
-    size = None
+    latest = known
     while True:
-        longer = known.alias("a").join(known.alias("b"), F.expr("a.node = b.ancestor AND a.ancestor <> b.node")).select(F.col("a.ancestor"), F.col("b.node"), (F.col("a.depth") + F.col("b.depth")).alias("depth"))
-        known = stored(known.unionByName(longer).groupBy("ancestor", "node").agg(F.min("depth").alias("depth")))
-        now = known.agg(F.count("*").alias("n"), F.sum("depth").alias("d")).first()
-        if (now["n"], now["d"]) == size:
+        # a path that is new in this round ends or begins with one that was new in the last
+        halves = [("known", "latest"), ("latest", "known")]
+        sides = {"known": known, "latest": latest}
+        longer = [
+            sides[x].alias("a").join(sides[y].alias("b"), F.expr("a.node = b.ancestor AND a.ancestor <> b.node")).select(F.col("a.ancestor"), F.col("b.node"), (F.col("a.depth") + F.col("b.depth")).alias("depth"))
+            for x, y in halves[: 1 if known is latest else 2]
+        ]
+        every = longer[0] if len(longer) == 1 else longer[0].unionByName(longer[1])
+        best = every.groupBy("ancestor", "node").agg(F.min("depth").alias("depth"))
+        was = known.withColumnRenamed("depth", "was")
+        better = stored(best.join(was, ["ancestor", "node"], "left").filter("was IS NULL OR depth < was").drop("was"))
+        if better.isEmpty():
             break
-        size = now["n"], now["d"]
+        before, known = known, stored(known.unionByName(better).groupBy("ancestor", "node").agg(F.min("depth").alias("depth")))
+        discard(before, *([] if before is latest else [latest]))
+        latest = better
     if strict:
         return known
     every = edges.select(F.col("parent").alias("node")).union(edges.select("child")).distinct()
@@ -118,17 +120,18 @@ def family_labels(edges: DataFrame, closure: DataFrame | None = None) -> DataFra
 def prune(edges: DataFrame, add_root: str | None = "Root") -> DataFrame:
     """One parent per node: of its own family before others, then the largest subtree, then the least name.
 
-    ``add_root`` joins all roots under one artificial node.
+    ``add_root`` joins all roots under one artificial node. Nodes that no root reaches (on or below a cycle) have no
+    family and keep a parent all the same.
     """
     closure = ancestors(edges)
     sizes, family = subtree_sizes(edges, closure), family_labels(edges, closure)
     named = (
         edges.distinct()
         .join(sizes.withColumnsRenamed({"node": "parent"}), "parent")
-        .join(family.select(F.col("node").alias("parent"), F.col("family").alias("pf")), "parent")
-        .join(family.select(F.col("node").alias("child"), F.col("family").alias("cf")), "child")
+        .join(family.select(F.col("node").alias("parent"), F.col("family").alias("pf")), "parent", "left")
+        .join(family.select(F.col("node").alias("child"), F.col("family").alias("cf")), "child", "left")
     )
-    order = F.struct((F.col("pf") != F.col("cf")).alias("other"), (-F.col("size")).alias("neg"), "parent")
+    order = F.struct((~F.col("pf").eqNullSafe(F.col("cf"))).alias("other"), (-F.col("size")).alias("neg"), "parent")
     tree = named.groupBy("child").agg(F.min(order).alias("b")).select(F.col("b.parent").alias("parent"), "child")
     if add_root is None:
         return tree
@@ -136,13 +139,24 @@ def prune(edges: DataFrame, add_root: str | None = "Root") -> DataFrame:
 
 
 def paths_to_root(tree: DataFrame) -> DataFrame:
-    """``node, path`` from each node of a tree up to its root; joined by doubling partial paths."""
-    up = tree.select(F.col("child").alias("node"), F.col("parent").alias("top"), F.array("child").alias("path"))
+    """``node, path`` from each node of a tree up to its root; joined by doubling partial paths.
+
+    A node with several parents has a path for each way up. Paths that have no root are on a cycle: after as many
+    doublings as nodes could need, a cycle is named in an error.
+    """
+    up = tree.select(F.col("child").alias("node"), F.col("parent").alias("top"), F.array("child").alias("path")).distinct()
     tops = roots(tree).select("node", F.lit(None).cast("string").alias("top"), F.array("node").alias("path"))
     paths = stored(up.unionByName(tops))
+    rounds = tree.select("child").distinct().count().bit_length() + 1
     while not paths.filter("top IS NOT NULL").isEmpty():
+        on_cycle = paths.filter("top IS NOT NULL AND array_contains(path, top)").select("path").first()
+        if on_cycle is not None or rounds < 0:
+            raise ValueError(f"the tree has a cycle: {' < '.join(map(str, on_cycle['path'] if on_cycle else []))}")
+        rounds -= 1
         ahead = paths.select(F.col("node").alias("top"), F.col("top").alias("next"), F.col("path").alias("rest"))
-        paths = stored(paths.join(ahead, "top", "left").select("node", F.col("next").alias("top"), F.when(F.col("rest").isNull(), F.col("path")).otherwise(F.concat("path", "rest")).alias("path")))
+        longer = stored(paths.join(ahead, "top", "left").select("node", F.col("next").alias("top"), F.when(F.col("rest").isNull(), F.col("path")).otherwise(F.concat("path", "rest")).alias("path")))
+        discard(paths)
+        paths = longer
     return paths.select("node", "path")
 
 
@@ -155,14 +169,14 @@ def ancestor_subgraph(tree: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.unionByName(inner.select(F.col("node").alias("parent"), F.concat("node", F.lit("_leaf")).alias("child")))
 
 
-def dendrogram(tree: DataFrame) -> tuple[list[list[float]], list[str]]:
-    """Linkage rows (two clusters, height, leaves) and leaf order of a small tree for plotting.
+def dendrogram(tree: DataFrame, most: int | None = None) -> tuple[list[list[float]], list[str]]:
+    """Linkage rows (two clusters, height, leaves) and leaf order of a tree for plotting.
 
-    The tree is one that is drawn, so it is gathered on the driver; a tree of over 10,000 edges is refused.
+    The matrix of a drawing is a driver-side value, so the tree is gathered there; ``most`` refuses larger trees.
     """
-    rows = tree.orderBy("parent", "child").limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("a tree of over 10,000 edges is not drawn")
+    if most is not None and tree.limit(most + 1).count() > most:
+        raise ValueError(f"a tree of over {most} edges is not drawn")
+    rows = sorted(tree.select("parent", "child").toLocalIterator(), key=lambda r: (r["parent"], r["child"]))
     below: dict[str, list[str]] = {}
     for r in rows:
         below.setdefault(r["parent"], []).append(r["child"])

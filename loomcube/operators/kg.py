@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomcube.storage import materialise
+
 #: Node types, and the sources of node lists in the order in which they decide a node's type.
 NODE_TYPES = {"tree": "MeSH_Tree_Disease", "score": "Protein", "pathway": "Reactome_Pathway", "ppi": "Protein", "regulator": "Protein", "hierarchy": "Reactome_Pathway"}
 CATEGORY_TYPE = "CVD"
@@ -60,10 +62,8 @@ def node_list(sources: dict[str, DataFrame], categories: DataFrame) -> DataFrame
     order = {name: i for i, name in enumerate(NODE_TYPES)}
     parts = []
     for name, df in sources.items():
-        ends = df.select(F.col("head").alias("node")).union(df.select("tail"))
         kind = F.lit(NODE_TYPES[name])
-        if name == "pathway":
-            ends = df.select(F.col("tail").alias("node"))
+        ends = df.select((F.col("tail") if name == "pathway" else F.explode(F.array("head", "tail"))).alias("node"))  # one pass over a source
         parts.append(ends.select("node", F.lit(order[name]).alias("priority"), kind.alias("node_type")))
     parts.append(categories.select(F.col("category").cast("string").alias("node"), F.lit(-1).alias("priority"), F.lit(CATEGORY_TYPE).alias("node_type")))
     every = reduce(DataFrame.unionByName, parts)
@@ -71,7 +71,7 @@ def node_list(sources: dict[str, DataFrame], categories: DataFrame) -> DataFrame
 
 
 def connected_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    ends = edges.select(F.col("head").alias("node")).union(edges.select("tail"))
+    ends = edges.select(F.explode(F.array("head", "tail")).alias("node"))
     return nodes.join(ends.distinct(), "node", "left_semi")
 
 
@@ -111,23 +111,51 @@ def of_core(predictions: DataFrame, core: DataFrame) -> DataFrame:
     return predictions.join(core.select(F.col("entity").alias("destinations")), "destinations", "left_semi")
 
 
-def auroc(labelled: DataFrame, score: str = "predictions") -> DataFrame:
-    """Area under the ROC curve by rank sums, ties counted half; null if only one class occurs.
+def _ranked_scores(labelled: DataFrame, score: str) -> DataFrame:
+    """``s, pos, neg, tp, fp`` of the distinct scores: rows of each class at a score, and at it or above.
 
-    Scores are grouped first; the running count over distinct scores takes one sorted pass over these groups.
+    Scores are grouped first; running counts take one sorted pass over these groups, partition by partition.
     """
     groups = labelled.groupBy(F.col(score).alias("s")).agg(F.count_if("is_true").alias("pos"), F.count_if(~F.col("is_true")).alias("neg"))
-    part = groups.repartitionByRange("s").sortWithinPartitions("s").withColumn("p", F.spark_partition_id())
-    from loomcube.operators.hierarchy import stored
+    part = materialise(groups.repartitionByRange(F.desc("s")).sortWithinPartitions(F.desc("s")).withColumn("p", F.spark_partition_id()), "scores")
+    ahead = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    base = part.groupBy("p").agg(F.sum("pos").alias("pos_p"), F.sum("neg").alias("neg_p"))
+    base = base.select("p", *(F.coalesce(F.sum(f"{c}_p").over(ahead), F.lit(0)).alias(f"{c}_base") for c in ("pos", "neg")))
+    own = Window.partitionBy("p").orderBy(F.desc("s"))
+    counted = part.join(F.broadcast(base), "p")
+    return counted.select("s", "pos", "neg", (F.col("pos_base") + F.sum("pos").over(own)).alias("tp"), (F.col("neg_base") + F.sum("neg").over(own)).alias("fp"))
+
+
+def auroc(labelled: DataFrame, score: str = "predictions") -> DataFrame:
+    """Area under the ROC curve by rank sums, ties counted half; null if only one class occurs."""
+    ranked = _ranked_scores(labelled, score)
+    total = ranked.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("pos") * (F.col("fp") - F.col("neg") / 2)).alias("above"))
+    return total.select("n_pos", "n_neg", F.round(1 - F.try_divide("above", F.col("n_pos") * F.col("n_neg")), 9).alias("auroc"))
 
-    part = stored(part)
-    before = part.groupBy("p").agg(F.sum("neg").alias("neg_p"))
-    from pyspark.sql import Window
 
-    base = before.withColumn("base", F.coalesce(F.sum("neg_p").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    below = part.join(F.broadcast(base), "p").withColumn("below", F.col("base") + F.sum("neg").over(Window.partitionBy("p").orderBy("s")) - F.col("neg"))
-    total = below.agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    return total.select("n_pos", "n_neg", F.round(F.try_divide("u", F.col("n_pos") * F.col("n_neg")), 9).alias("auroc"))
+def auprc(labelled: DataFrame, score: str = "predictions") -> DataFrame:
+    """Area under the precision-recall curve as average precision over distinct scores; null if nothing is true."""
+    ranked = _ranked_scores(labelled, score)
+    gain = F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))
+    return ranked.agg(F.sum("pos").alias("n_pos"), F.sum(gain).alias("gain")).select("n_pos", F.round(F.try_divide("gain", "n_pos"), 9).alias("auprc"))
+
+
+def threshold_metrics(labelled: DataFrame, thresholds: tuple[float, ...] = (0.5,), score: str = "predictions") -> DataFrame:
+    """Confusion counts, accuracy, precision, recall, specificity, F1 and Matthews correlation of each threshold.
+
+    A score at a threshold or above counts as positive; a measure whose divisor is 0 is null.
+    """
+    levels = F.explode(F.array(*(F.lit(float(t)) for t in thresholds)))
+    said, true = F.col(score) >= F.col("threshold"), F.col("is_true")
+    counts = labelled.withColumn("threshold", levels).groupBy("threshold").agg(
+        F.count_if(said & true).alias("tp"), F.count_if(said & ~true).alias("fp"), F.count_if(~said & true).alias("fn"), F.count_if(~said & ~true).alias("tn")
+    )
+    tp, fp, fn, tn = (F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn"))
+    measures = {
+        "accuracy": (tp + tn, tp + fp + fn + tn), "precision": (tp, tp + fp), "recall": (tp, tp + fn), "specificity": (tn, tn + fp),
+        "f1": (2 * tp, 2 * tp + fp + fn), "mcc": (tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))),
+    }
+    return counts.select("threshold", "tp", "fp", "fn", "tn", *(F.round(F.try_divide(a, b), 9).alias(k) for k, (a, b) in measures.items()))
 
 
 def holdout(edges: DataFrame, share: float = 0.3, seed: int = 1) -> DataFrame:
@@ -149,10 +177,8 @@ def negative_edges(edges: DataFrame, nodes: DataFrame, per_node: int = 1, seed:
     The numbers have no gaps and the last nodes are paired with the first, so every node has ``per_node`` pairs
     before edges are taken out. Only a count per partition reaches the driver.
     """
-    from loomcube.operators.hierarchy import stored
-
     ranged = nodes.select("node", F.xxhash64("node", F.lit(seed)).alias("h")).repartitionByRange("h").sortWithinPartitions("h")
-    numbered = stored(ranged.withColumn("id", F.monotonically_increasing_id()))
+    numbered = materialise(ranged.withColumn("id", F.monotonically_increasing_id()), "nodes")
     part = F.shiftright("id", 33)
     counts = sorted((r["p"], r["n"]) for r in numbered.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
     total, starts = 0, []

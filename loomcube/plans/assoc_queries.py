@@ -92,16 +92,16 @@ def _pairs(spark, d):
         return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
 
     cosine = F.try_divide(dot("a", "b"), F.sqrt(dot("a", "a")) * F.sqrt(dot("b", "b")))
-    return a.join(b, "destinations").select("sources", "destinations", F.round(cosine, 6).alias("predictions"), (F.col("la") == F.col("lb")).alias("same"))
+    return a.join(b, "destinations").select("sources", "destinations", F.round(cosine, 6).alias("predictions"), (F.col("la") == F.col("lb")).alias("same"), (F.col("la") < 5).alias("low_label"))
 
 
-_PAIRS = """pr AS (SELECT a.vec_id AS sources, b.vec_id AS destinations, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS predictions, a.label = b.label AS same
+_PAIRS = """pr AS (SELECT a.vec_id AS sources, b.vec_id AS destinations, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS predictions, a.label = b.label AS same, a.label < 5 AS low_label
  FROM embeddings a JOIN embeddings b ON b.vec_id BETWEEN a.vec_id + 1 AND a.vec_id + 3)"""
 
 
 def _truth(spark, d):
     """Known edges: pairs of the same label, the later vector first."""
-    return _pairs(spark, d).filter("same").select(F.col("destinations").alias("head"), F.col("sources").alias("tail"))
+    return _pairs(spark, d).filter("same").select(F.col("destinations").alias("head"), F.col("sources").alias("tail"), "low_label")
 
 
 def _labelled(spark, d):
@@ -109,7 +109,7 @@ def _labelled(spark, d):
 
 
 def _append(spark, d):
-    known = _truth(spark, d).filter("head % 2 = 0").select(*kg.triple(F.col("tail"), "known", F.col("head")))
+    known = _truth(spark, d).filter("low_label").select(*kg.triple(F.col("tail"), "known", F.col("head")))
     return kg.append_predictions(known, _pairs(spark, d), least=0.2)
 
 
@@ -236,6 +236,6 @@ SQL = {
     "kg_scaled_weights": f"WITH {t.OBS_SQL}, {t.score_sql()}, mo AS (SELECT avg(score) AS mean, stddev_pop(score) AS dev FROM s WHERE score <> 0) SELECT category AS head, 'category_score' AS relation, entity AS tail, round((score - mean) / dev + 1, 6) AS weight FROM s, mo WHERE score <> 0",
     "kg_connected_nodes": f"{_GRAPH} SELECT node, node_type FROM nodes WHERE node IN (SELECT head FROM kg_ppi UNION SELECT tail FROM kg_ppi)",
     "pred_label_truth": f"WITH {_PAIRS} SELECT sources, destinations, predictions, same AS is_true FROM pr",
-    "pred_antijoin_append": f"WITH {_PAIRS}, kn AS (SELECT CAST(sources AS VARCHAR) AS head, 'known' AS relation, CAST(destinations AS VARCHAR) AS tail, 1e0 AS weight FROM pr WHERE same AND destinations % 2 = 0) SELECT * FROM kn UNION ALL SELECT CAST(sources AS VARCHAR), 'predicted', CAST(destinations AS VARCHAR), predictions FROM pr WHERE predictions > 0.2 AND NOT (same AND destinations % 2 = 0)",
+    "pred_antijoin_append": f"WITH {_PAIRS}, kn AS (SELECT CAST(sources AS VARCHAR) AS head, 'known' AS relation, CAST(destinations AS VARCHAR) AS tail, 1e0 AS weight FROM pr WHERE same AND low_label) SELECT * FROM kn UNION ALL SELECT CAST(sources AS VARCHAR), 'predicted', CAST(destinations AS VARCHAR), predictions FROM pr WHERE predictions > 0.2 AND NOT (same AND low_label)",
     "pred_auroc": f"WITH {_PAIRS}, k AS (SELECT same, rank() OVER (ORDER BY predictions) + (count(*) OVER (PARTITION BY predictions) - 1) / 2 AS r FROM pr), n AS (SELECT count(*) FILTER (same) AS n_pos, count(*) FILTER (NOT same) AS n_neg, sum(r) FILTER (same) AS rs FROM k) SELECT n_pos, n_neg, round((rs - n_pos * (n_pos + 1) / 2) / (n_pos * n_neg), 9) AS auroc FROM n",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomcube.plans import assoc_queries, cube_queries, graph_queries, text_queries
+from loomcube.plans import assoc_queries, cube_queries, graph_queries, lifecycle_queries, source_queries, text_queries
 
-QUERIES = cube_queries.QUERIES | text_queries.QUERIES | graph_queries.QUERIES | assoc_queries.QUERIES
-ORACLE_SQL = cube_queries.SQL | text_queries.SQL | graph_queries.SQL | assoc_queries.SQL
+QUERIES = cube_queries.QUERIES | text_queries.QUERIES | graph_queries.QUERIES | assoc_queries.QUERIES | source_queries.QUERIES | lifecycle_queries.QUERIES
+ORACLE_SQL = cube_queries.SQL | text_queries.SQL | graph_queries.SQL | assoc_queries.SQL | source_queries.SQL | lifecycle_queries.SQL

@@ -16,9 +16,9 @@ def _edges(spark, d):
 
 
 def _dag(spark, d):
-    """The tree with a second parent for every fifth customer: the nation with the next key."""
+    """The tree with a second parent for the customers of one segment: the nation with the next key."""
     n = t.table(spark, d, "nation")
-    c = t.table(spark, d, "customer").filter("c_custkey % 5 = 0").withColumn("second", (F.col("c_nationkey") + 1) % 25)
+    c = t.table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").withColumn("second", (F.col("c_nationkey") + 1) % 25)
     code = F.concat(F.lit("R"), F.col("n_regionkey").cast("string"), F.lit(".N"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0"))
     codes = n.select(F.col("n_nationkey").alias("k"), code.alias("code"))
     joined = c.join(codes.select(F.col("k").alias("second"), F.col("code").alias("parent")), "second").join(codes.select(F.col("k").alias("c_nationkey"), F.col("code").alias("own")), "c_nationkey")
@@ -28,7 +28,7 @@ def _dag(spark, d):
 
 _DAG = f"""{t.TREE_SQL}, nc AS (SELECT n_nationkey AS k, 'R' || n_regionkey || '.N' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS code FROM nation),
 dag AS (SELECT parent, child FROM edges UNION ALL SELECT b.code, a.code || '.C' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') FROM customer JOIN nc a ON a.k = c_nationkey
- JOIN nc b ON b.k = (c_nationkey + 1) % 25 WHERE c_custkey % 5 = 0)"""
+ JOIN nc b ON b.k = (c_nationkey + 1) % 25 WHERE c_mktsegment = 'BUILDING')"""
 
 
 def _roots(spark, d):
@@ -67,8 +67,8 @@ def _pathways(spark, d):
 
 
 def _mixed_core(spark, d):
-    """Every seventh part by its key makes the core for pathways; the SQL of these queries fixes it so."""
-    return t.table(spark, d, "part").filter("p_partkey % 7 = 0").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("entity"))
+    """Parts of three brands make the core for pathways."""
+    return t.table(spark, d, "part").filter("p_brand IN ('Brand#1', 'Brand#7', 'Brand#13')").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("entity"))
 
 
 def _pathway_expand(mode):
@@ -81,7 +81,7 @@ def _regulation(spark, d):
 
 
 def _regulator_core(spark, d):
-    part = t.table(spark, d, "part").filter("p_partkey % 97 = 0").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("entity"))
+    part = t.table(spark, d, "part").filter("p_brand = 'Brand#1'").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("entity"))
     return t.core_suppliers(spark, d).unionByName(part)
 
 
@@ -163,7 +163,7 @@ QUERIES = {
     "edge_list": _edge_list,
 }
 
-_MIXED = "core AS (SELECT 'P' || p_partkey AS entity FROM part WHERE p_partkey % 7 = 0)"
+_MIXED = "core AS (SELECT 'P' || p_partkey AS entity FROM part WHERE p_brand IN ('Brand#1', 'Brand#7', 'Brand#13'))"
 _HITS = "hits AS (SELECT pathway, count(*) AS size, count(core.entity) AS hits FROM members LEFT JOIN core USING (entity) GROUP BY pathway)"
 _REG = "reg AS (SELECT DISTINCT 'S' || l_suppkey AS regulator, 'P' || l_partkey AS target FROM lineitem)"
 _REG_ADDED = "used AS (SELECT * FROM reg WHERE regulator IN (FROM core) OR target IN (FROM core)), radd AS (SELECT entity FROM (SELECT regulator AS entity FROM used UNION SELECT target FROM used) WHERE entity NOT IN (FROM core))"
@@ -200,7 +200,7 @@ SQL = {
     "pathway_hits": f"WITH {t.MEMBERS_SQL}, {t.CORE_SQL}, {_HITS} SELECT pathway, size, hits, round(hits / size, 9) AS share FROM hits",
     "pathway_expand": _expand_sql("(hits >= 2 OR hits / size >= 0.25)"),
     "pathway_expand_and": _expand_sql("(hits >= 2 AND hits / size >= 0.25)"),
-    "regulator_expand": f"WITH {_REG}, core AS (SELECT 'S' || s_suppkey AS entity FROM supplier WHERE s_acctbal > 9800 UNION ALL SELECT 'P' || p_partkey FROM part WHERE p_partkey % 97 = 0), {_REG_ADDED} SELECT entity FROM radd",
+    "regulator_expand": f"WITH {_REG}, core AS (SELECT 'S' || s_suppkey AS entity FROM supplier WHERE s_acctbal > 9800 UNION ALL SELECT 'P' || p_partkey FROM part WHERE p_brand = 'Brand#1'), {_REG_ADDED} SELECT entity FROM radd",
     "expanded_union": f"WITH {t.MEMBERS_SQL}, {_MIXED}, {_HITS}, {_REG}, {_REG_ADDED}, padd AS ({_expand_sql('(hits >= 2 OR hits / size >= 0.25)').split('hits AS ')[1].split('GROUP BY pathway) ')[1]}) SELECT entity, true AS core FROM core UNION ALL SELECT entity, false FROM (SELECT entity FROM padd UNION SELECT entity FROM radd)",
     "map_chain": "SELECT DISTINCT l_partkey AS src, CAST(s_nationkey AS BIGINT) AS dst FROM lineitem JOIN supplier ON l_suppkey = s_suppkey",
     "map_unambiguous": "SELECT o_custkey AS src, min(o_orderstatus) AS dst FROM orders WHERE o_totalprice > 450000 GROUP BY 1 HAVING count(DISTINCT o_orderstatus) = 1",

@@ -157,7 +157,7 @@ def _pages(spark, d):
 
 def _latest(spark, d):
     orders = t.table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
-    return cube.latest_versions(orders, "o_custkey", F.desc("o_orderdate"), F.desc("o_orderkey")).select("o_custkey", "o_orderkey", "o_totalprice")
+    return cube.newest(orders, "o_custkey", "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey", "o_totalprice")
 
 
 def _year_of(spark, d):

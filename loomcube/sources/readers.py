@@ -185,10 +185,18 @@ def size_statistics(sets: DataFrame) -> DataFrame:
     return sets.agg(F.avg("size").alias("mean"), F.median("size").alias("median"), F.stddev_pop("size").alias("deviation"))
 
 
-def read_regulators(spark: SparkSession, path: str, confidence: str = "High") -> DataFrame:
-    """Distinct ``tf_gene, target_gene`` of high confidence from a folder of tables with a header."""
-    rows = spark.read.csv(path, sep="\t", header=False, schema=", ".join(f"c{i} string" for i in range(6)))
-    return rows.filter(F.col("c5") == confidence).select(F.col("c0").alias("tf_gene"), F.col("c1").alias("target_gene")).distinct()
+def read_regulators(spark: SparkSession, path: str, confidence: str = "High", stop_at_errors: bool = False) -> DataFrame:
+    """Distinct ``tf_gene, target_gene`` of high confidence from a folder of tables with a header.
+
+    With ``stop_at_errors`` a file counts up to its first line of fewer than six fields only.
+    """
+    lines = spark.read.text(path).select(F.split("value", "\t").alias("c"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"))
+    if stop_at_errors:
+        place = F.struct("block", "i")
+        ends = lines.filter("size(c) < 6").groupBy("file").agg(F.min(place).alias("end"))
+        lines = lines.join(F.broadcast(ends), "file", "left").filter(F.col("end").isNull() | (place < F.col("end")))
+    rows = lines.filter(F.get("c", F.lit(5)) == confidence)
+    return rows.select(F.get("c", F.lit(0)).alias("tf_gene"), F.get("c", F.lit(1)).alias("target_gene")).distinct()
 
 
 def read_fasta_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -235,10 +243,11 @@ def with_own_id(table: DataFrame) -> DataFrame:
 
 
 def read_entity_counts(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id, entity, cnt`` of lines ``PMID ent|n ent|n``."""
+    """``doc_id, entity, cnt`` of lines ``PMID ent|n ent|n``; an entity that a line repeats has the sum."""
     rows = spark.read.text(path).select(F.substring_index("value", " ", 1).alias("doc_id"), F.expr("substring(value, length(substring_index(value, ' ', 1)) + 2)").alias("rest"))
-    pairs = rows.filter("rest <> ''").select("doc_id", F.explode(F.str_to_map("rest", F.lit(" "), F.lit(r"[|]"))).alias("entity", "cnt"))
-    return pairs.select("doc_id", "entity", F.col("cnt").cast("long").alias("cnt"))
+    pairs = rows.select("doc_id", F.explode(F.split(F.trim("rest"), " +")).alias("pair")).filter("pair <> ''")
+    parts = pairs.select("doc_id", F.substring_index("pair", "|", 1).alias("entity"), F.substring_index("pair", "|", -1).try_cast("long").alias("cnt"))
+    return parts.groupBy("doc_id", "entity").agg(F.sum("cnt").alias("cnt"))
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -329,3 +338,30 @@ def read_entity_names_json(spark: SparkSession, path: str) -> DataFrame:
 def wanted_files(files: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows ``file, pmcid`` of a file list that are wanted."""
     return files.join(wanted.select("pmcid").distinct(), "pmcid", "left_semi")
+
+
+def wanted_full_texts(spark: SparkSession, folder: str, files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``pmid, pmcid, body`` of the wanted articles of an extracted bulk download under ``folder``."""
+    texts = read_full_text_xml(spark, folder)
+    return texts.join(wanted_files(files, wanted).select(F.regexp_replace("pmcid", "^PMC", "").alias("pmcid")).distinct(), "pmcid", "left_semi").select("pmid", "pmcid", "body")
+
+
+def cross_references(records: DataFrame, tag: str, id_pattern: str = r"[^;,\s]+") -> DataFrame:
+    """``id, xref``: the identifiers that the lists under a tag of :func:`read_tagged_records` hold."""
+    values = F.explode(F.col(f"`{tag}`")).alias("v")
+    return records.select(F.col("record").alias("id"), values).select("id", F.explode(F.regexp_extract_all("v", F.lit(f"({id_pattern})"), F.lit(1))).alias("xref")).distinct()
+
+
+def load_resources(spark: SparkSession, folder: str, resources: list[str], needed: dict[str, list[str]]) -> dict[str, DataFrame]:
+    """The mapping tables that the chosen resources need, by name; each is a table ``src, dst`` under ``folder``."""
+    if unknown := sorted(set(resources) - set(needed)):
+        raise ValueError(f"unknown resources: {', '.join(unknown)}")
+    names = sorted({m for r in resources for m in needed[r]})
+    return {m: spark.read.csv(f"{folder}/{m}", sep="\t", schema="src string, dst string") for m in names}
+
+
+def read_ranked_entities(spark: SparkSession, path: str) -> DataFrame:
+    """``category, position, entity, score, synonyms`` of a JSON lines ranking, with the synonyms of ``TOTAL`` for each entity."""
+    rows = spark.read.schema("category string, position long, entity string, score double, synonyms array<string>").json(path)
+    total = rows.filter("category = 'TOTAL'").groupBy("entity").agg(F.first("synonyms").alias("synonyms"))
+    return rows.filter("category <> 'TOTAL'").drop("synonyms").join(total, "entity", "left").select("category", "position", "entity", "score", "synonyms")
