@@ -1,9 +1,8 @@
-"""Shared plumbing of the training-data operators: shared storage, global row numbers, Arrow block iteration."""
+"""Shared plumbing of the training-data operators: global row numbers, Arrow block iteration, components."""
 
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -14,16 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from loomcube.storage import discard, materialise, on_one_machine, remove, shared_dir
+
+__all__ = ["discard", "materialise", "on_one_machine", "remove", "shared_dir"]
 #: Bytes of text handled at a time inside one Arrow batch; bounds the numpy temporaries of a task.
 BLOCK_BYTES = 1 << 20
 
 
-def on_one_machine(spark: SparkSession) -> bool:
-    """Whether driver and workers see the same local folders."""
-    master = spark.sparkContext.master
-    return master.startswith("local") and not master.startswith("local-cluster")
-
-
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers once per application, so that executors need no copy of it."""
     sc = spark.sparkContext
@@ -49,55 +45,6 @@ def map_arrow(df: DataFrame, function: Callable, schema: StructType | str) -> Da
     return df.mapInArrow(function, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """This application's folder below ``spark.checkpoint.dir``; Hadoop removes it when the driver's JVM ends.
-
-    Without the setting a private folder serves where all workers are on this machine (tests); elsewhere it is an
-    error, since executors would write where no other reads.
-    """
-    sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not on_one_machine(spark):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        where = f"file://{tempfile.mkdtemp(prefix='loomcube-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    folder = f"{where.rstrip('/')}/loomcube-{sc.applicationId}"
-    if getattr(sc, "_loomcube_folder", None) != folder:
-        files, path = _hadoop(spark, folder)
-        files.mkdirs(path)
-        files.deleteOnExit(path)
-        sc._loomcube_folder = folder
-    return folder
-
-
-def _hadoop(spark: SparkSession, path: str):
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of intermediate results, whatever store it is in."""
-    files, where = _hadoop(spark, path)
-    files.delete(where, True)
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so later plans neither repeat nor re-derive it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._loomcube_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes materialised tables whose last reader has been written."""
-    for table in tables:
-        remove(table.sparkSession, table._loomcube_path)
-
-
 def global_row_number(df: DataFrame, order: list[Column], name: str, tag: str) -> tuple[DataFrame, int]:
     """``df`` with a gapless 0-based row number in the order of ``order``, and the number of rows.
 
