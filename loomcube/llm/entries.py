@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_sharding": sharding.ORACLE_SQL,
     "op3_quality_rules": quality_rules.ORACLE_SQL,
     "op4_url_filters": url_filters.ORACLE_SQL,
     "op9_warc": warc.ORACLE_SQL,

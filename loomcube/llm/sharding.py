@@ -126,3 +126,47 @@ def _free(name: str, taken: list[str]) -> str:
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _mix_sql(x: str) -> str:
+    """:func:`~loomcube.llm.textvec.mix` of an unsigned 64-bit expression."""
+    out = x
+    for step in ("xor(v, v >> 30)", 0xBF58476D1CE4E5B9, "xor(v, v >> 27)", 0x94D049BB133111EB, "xor(v, v >> 31)"):
+        if isinstance(step, int):
+            step = f"CAST(v::UHUGEINT * {step}::UHUGEINT % {1 << 64}::UHUGEINT AS UBIGINT)"
+        out = f"list_transform([{out}], lambda v: {step})[1]"
+    return out
+
+
+def _crc_table() -> list[int]:
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+def _oracle() -> str:
+    """The network as joins with a table of its round function, and cycle walking as a recursion."""
+    keys = mix(np.arange(1, ROUNDS + 1, dtype=U) + mix(np.array([SEED], U))).tolist()
+    rounds = ", ".join(f"({i}, {k}::UBIGINT)" for i, k in enumerate(keys))
+    steps = ",\n".join(f"p{i + 1} AS (SELECT spot, r AS l, xor(l, o) AS r FROM p{i} JOIN f ON f.i = {i} AND f.v = p{i}.r)" for i in range(ROUNDS))
+    return f"""
+WITH RECURSIVE tb AS (SELECT [{", ".join(map(str, _crc_table()))}]::UBIGINT[] AS tb),
+b AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS h FROM documents),
+d AS (SELECT doc_id, CAST(len(h) AS BIGINT) + 8 AS size, CAST(xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(h, lambda x: ('0x' || x)::UBIGINT)),
+  lambda a, x: xor(a >> 8, tb[CAST(xor(a & 255, x) + 1 AS BIGINT)])), 4294967295) AS BIGINT) AS text_crc32 FROM b, tb),
+m AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS row_number FROM d),
+c AS (SELECT count(*) AS n, CAST(greatest(1, (length(bin(greatest(count(*) - 1, 1))) + 1) // 2) AS INTEGER) AS bits FROM d),
+f AS (SELECT i, v, {_mix_sql("xor(v, k)")} & ((1::UBIGINT << bits) - 1) AS o FROM (VALUES {rounds}) AS t(i, k), (SELECT bits, unnest(range(0, CAST(1 << bits AS BIGINT)))::UBIGINT AS v FROM c)),
+p0 AS (SELECT spot, spot >> bits AS l, spot & ((1::UBIGINT << bits) - 1) AS r FROM (SELECT bits, unnest(range(0, CAST(1 << (2 * bits) AS BIGINT)))::UBIGINT AS spot FROM c)),
+{steps},
+perm AS (SELECT CAST(spot AS BIGINT) AS spot, CAST((l << bits) | r AS BIGINT) AS place FROM p{ROUNDS}, c),
+w AS (SELECT spot, place FROM perm, c WHERE spot < n UNION ALL SELECT w.spot, perm.place FROM w JOIN perm ON perm.spot = w.place, c WHERE w.place >= n)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place % {SHARDS} AS INTEGER) AS shard, place // {SHARDS} AS slot, CAST(NULL AS INTEGER) AS grown_shard, row_number
+ FROM m JOIN w ON w.spot = row_number, c WHERE place < n"""
+
+
+#: Rows that are equal in all that orders them are interchangeable; the text hash that tells rows of one doc_id apart is left out.
+ORACLE_SQL = _oracle()
