@@ -163,7 +163,8 @@ def holdout(edges: DataFrame, share: float = 0.3, seed: int = 1) -> DataFrame:
 
     Each node keeps its edge of the least hash in training, which leaves no node without one.
     """
-    own = undirected(edges).withColumn("h", F.xxhash64("lo", "hi", F.lit(seed)))
+    digest = F.md5(F.concat_ws("|", F.col("lo").cast("string"), F.col("hi").cast("string"), F.lit(str(seed))))
+    own = undirected(edges).withColumn("h", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
     ends = own.select(F.col("lo").alias("node"), "h").unionByName(own.select(F.col("hi").alias("node"), "h"))
     kept = ends.groupBy("node").agg(F.min("h").alias("m"))
     marked = own.join(kept.select(F.col("node").alias("lo"), F.col("m").alias("ml")), "lo").join(kept.select(F.col("node").alias("hi"), F.col("m").alias("mh")), "hi")

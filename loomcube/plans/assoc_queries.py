@@ -237,5 +237,8 @@ SQL = {
     "kg_connected_nodes": f"{_GRAPH} SELECT node, node_type FROM nodes WHERE node IN (SELECT head FROM kg_ppi UNION SELECT tail FROM kg_ppi)",
     "pred_label_truth": f"WITH {_PAIRS} SELECT sources, destinations, predictions, same AS is_true FROM pr",
     "pred_antijoin_append": f"WITH {_PAIRS}, kn AS (SELECT CAST(sources AS VARCHAR) AS head, 'known' AS relation, CAST(destinations AS VARCHAR) AS tail, 1e0 AS weight FROM pr WHERE same AND low_label) SELECT * FROM kn UNION ALL SELECT CAST(sources AS VARCHAR), 'predicted', CAST(destinations AS VARCHAR), predictions FROM pr WHERE predictions > 0.2 AND NOT (same AND low_label)",
+    "edge_holdout": f"""WITH {t.SUPPLIER_GRAPH_SQL}, e AS (SELECT least(src, dst) AS lo, greatest(src, dst) AS hi, CAST('0x' || substr(md5(least(src, dst) || '|' || greatest(src, dst) || '|1'), 1, 15) AS BIGINT) AS h FROM graph),
+m AS (SELECT node, min(h) AS m FROM (SELECT lo AS node, h FROM e UNION ALL SELECT hi, h FROM e) GROUP BY node),
+p AS (SELECT CASE WHEN (h >> 8) % 1000 < 300 AND h <> a.m AND h <> b.m THEN 'test' ELSE 'train' END AS part FROM e JOIN m a ON a.node = lo JOIN m b ON b.node = hi) SELECT part, count(*) AS n FROM p GROUP BY part""",
     "pred_auroc": f"WITH {_PAIRS}, k AS (SELECT same, rank() OVER (ORDER BY predictions) + (count(*) OVER (PARTITION BY predictions) - 1) / 2 AS r FROM pr), n AS (SELECT count(*) FILTER (same) AS n_pos, count(*) FILTER (NOT same) AS n_neg, sum(r) FILTER (same) AS rs FROM k) SELECT n_pos, n_neg, round((rs - n_pos * (n_pos + 1) / 2) / (n_pos * n_neg), 9) AS auroc FROM n",
 }

@@ -25,8 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         if not on_one_machine(spark):
             raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        where = f"file://{tempfile.mkdtemp(prefix='loomcube-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
+        where = sc._loomcube_private = getattr(sc, "_loomcube_private", None) or f"file://{tempfile.mkdtemp(prefix='loomcube-')}"
     folder = f"{where.rstrip('/')}/loomcube-{sc.applicationId}"
     if getattr(sc, "_loomcube_folder", None) != folder:
         files, path = _hadoop(spark, folder)
