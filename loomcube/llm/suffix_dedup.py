@@ -7,8 +7,8 @@ document and earlier start). Five steps, each of linear output:
 2. Every window of ``LENGTH`` bytes is named by the least hash of its ``GRAM``-byte strings. Equal windows have
    equal names, and neighbouring windows mostly share theirs, so runs of windows are a few per cent of the bytes.
    Names that occur once in the corpus cannot repeat anything.
-3. The runs of other names, with the bytes they cover, go to shards by name. A shard sorts all suffixes of its
-   bytes by Larsson-Sadakane refinement and gets their common prefixes by Kasai's scan; neighbours that share
+3. The runs of other names, with the bytes they cover, go to shards by name. A shard leaves out what agrees with
+   nothing else around the named string, and sorts all suffixes of the other bytes by Larsson-Sadakane refinement and gets their common prefixes by Kasai's scan; neighbours that share
    ``LENGTH`` bytes form a group, whose earliest member stays.
 4. A name with very many runs is spread over several shards. The windows that stay in each of these are merged
    across the shards by binary search in their sorted bytes.
@@ -33,7 +33,7 @@ from loomcube.llm.common import checked_broadcast, deal, discard, map_arrow, mat
 U = np.uint64
 LENGTH, GRAM = 100, 24
 #: Runs of one name that a single shard takes; bytes of segments whose suffixes are sorted at a time.
-SHARD_RUNS, SHARD_BYTES = 20_000, 2 << 20
+SHARD_RUNS, SHARD_BYTES = 5_000, 2 << 20
 #: Bytes of text whose names are compared before they leave a task.
 LOCAL_BYTES = 8 << 20
 _RUN = "key long, name long, tid binary, first int, last int, plain boolean, seen long"
@@ -50,6 +50,14 @@ def sliding(values: np.ndarray, span: int, best: np.ufunc) -> np.ndarray:
     return best(values[: len(values) - rest], values[rest:]) if rest else values
 
 
+def gram_hashes(sums: np.ndarray) -> np.ndarray:
+    """Hashes of the ``GRAM``-byte strings at all places, from the prefix sums of the bytes."""
+    _, inverse = tv._powers(len(sums))
+    grams = (sums[GRAM:] - sums[:-GRAM]) * inverse[: len(sums) - GRAM]
+    grams ^= grams >> U(32)
+    return grams * U(0xBF58476D1CE4E5B9)
+
+
 def window_names(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """Maximal runs of windows of one name: text, first and last start within it, name, and whether the named string
     occurs in the run more than once, so that windows of this very run may be equal."""
@@ -57,11 +65,7 @@ def window_names(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]
     n = len(buf) - LENGTH + 1
     if n <= 0:
         return none, none, none, none.astype(U), none.astype(bool)
-    sums = tv.prefix(buf)
-    _, inverse = tv._powers(len(sums))
-    grams = (sums[GRAM:] - sums[:-GRAM]) * inverse[: len(sums) - GRAM]
-    grams ^= grams >> U(32)
-    grams *= U(0xBF58476D1CE4E5B9)
+    grams = gram_hashes(tv.prefix(buf))
     span = LENGTH - GRAM + 1
     least = sliding(grams, span, np.minimum)
     starts = offsets[:-1]
@@ -226,6 +230,34 @@ def repeated_windows(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.sort(order[later]), starts
 
 
+def likely(pieces: list[bytes]) -> np.ndarray:
+    """Which segments may share a window with another one, or hold one twice; the others need no sorting.
+
+    All windows of a segment hold its named string, the one of the least hash. Equal windows hold it at the same
+    offset, so around it the segments agree on ``LENGTH - GRAM`` further bytes, and on half of them to its left or to
+    its right. A segment none of whose halves occurs again is out.
+    """
+    size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    stops = np.cumsum(size)
+    starts = stops - size
+    sums = tv.prefix(np.frombuffer(b"".join(pieces), np.uint8))
+    grams = np.full(len(sums) - 1, ~U(0))
+    grams[: len(sums) - GRAM] = gram_hashes(sums)
+    for j in range(1, GRAM):  # strings that cross the end of a segment
+        grams[stops - j] = ~U(0)
+    least = np.minimum.reduceat(grams, starts)
+    at = np.flatnonzero(grams == np.repeat(least, size))
+    owner = np.searchsorted(stops, at, "right")
+    half = (LENGTH - GRAM + 1) // 2
+    out = np.zeros(len(pieces), bool)
+    for low, high in ((half, GRAM), (0, GRAM + half)):
+        whole = (at - low >= starts[owner]) & (at + high <= stops[owner])
+        here = at[whole]
+        _, which, times = np.unique(tv.range_hash(sums, here - low, here + high), return_inverse=True, return_counts=True)
+        out[owner[whole][times[which] > 1]] = True
+    return out
+
+
 def shard_spans(segments: DataFrame) -> DataFrame:
     """Spans of repeated windows within each shard, and the windows that stay where a name has several shards."""
 
@@ -259,6 +291,11 @@ def shard_spans(segments: DataFrame) -> DataFrame:
             yield found(False, part.column("tid").combine_chunks(), begin, begin + pc.binary_length(part.column("bytes")).to_numpy())
         table = table.take(pa.array(np.sort(lead))).combine_chunks()
         pieces = table.column("bytes").to_pylist()
+        wanted = likely(pieces) | table.column("spread").to_numpy()
+        if not wanted.any():
+            return
+        table = table.filter(pa.array(wanted)).combine_chunks()
+        pieces = [p for p, w in zip(pieces, wanted.tolist(), strict=True) if w]
         tids, first = table.column("tid").combine_chunks(), table.column("first").to_numpy()
         spread = table.column("spread").to_numpy()
         later, starts = repeated_windows(pieces)
