@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomcube.llm import bpe, decontam, importance, jaccard, quality_rules, sharding, suffix_dedup, toxicity, url_filters, warc
+from loomcube.llm import bpe, decontam, importance, jaccard, quality_rules, secrets, sharding, suffix_dedup, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontamination": decontam.op8_decontamination,
     "op9_warc": warc.op9_warc,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
+    "op11_secret_scan": secrets.op11_secret_scan,
 }
 
 ORACLE_SQL = {
