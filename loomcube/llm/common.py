@@ -154,3 +154,23 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
         hooked = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         edges = materialise(hooked.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), tag)
         discard(large, least)
+
+
+def crc_table() -> list[int]:
+    """The 256 values of the CRC-32 polynomial, for SQL."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+def crc32_sql(text: str) -> str:
+    """SQL of the unsigned CRC-32 of an ASCII expression; the table is ``tb`` of a row ``tb`` of :data:`CRC_SQL`."""
+    parts = f"regexp_extract_all(hex(encode({text})), '..')"
+    step = "lambda a, x: xor(a >> 8, tb[CAST(xor(a & 255, x) + 1 AS BIGINT)])"
+    return f"CAST(xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform({parts}, lambda x: ('0x' || x)::UBIGINT)), {step}), 4294967295) AS BIGINT)"
+
+
+CRC_SQL = f"tb AS (SELECT [{', '.join(map(str, crc_table()))}]::UBIGINT[] AS tb)"

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomcube.llm.common import global_row_number, map_arrow
+from loomcube.llm.common import crc_table, global_row_number, map_arrow
 from loomcube.llm.textvec import mix
 
 SHARDS, SEED, ROUNDS = 24, 20240607, 6
@@ -138,22 +138,13 @@ def _mix_sql(x: str) -> str:
     return out
 
 
-def _crc_table() -> list[int]:
-    out = []
-    for c in range(256):
-        for _ in range(8):
-            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
-        out.append(c)
-    return out
-
-
 def _oracle() -> str:
     """The network as joins with a table of its round function, and cycle walking as a recursion."""
     keys = mix(np.arange(1, ROUNDS + 1, dtype=U) + mix(np.array([SEED], U))).tolist()
     rounds = ", ".join(f"({i}, {k}::UBIGINT)" for i, k in enumerate(keys))
     steps = ",\n".join(f"p{i + 1} AS (SELECT spot, r AS l, xor(l, o) AS r FROM p{i} JOIN f ON f.i = {i} AND f.v = p{i}.r)" for i in range(ROUNDS))
     return f"""
-WITH RECURSIVE tb AS (SELECT [{", ".join(map(str, _crc_table()))}]::UBIGINT[] AS tb),
+WITH RECURSIVE tb AS (SELECT [{", ".join(map(str, crc_table()))}]::UBIGINT[] AS tb),
 b AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS h FROM documents),
 d AS (SELECT doc_id, CAST(len(h) AS BIGINT) + 8 AS size, CAST(xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(h, lambda x: ('0x' || x)::UBIGINT)),
   lambda a, x: xor(a >> 8, tb[CAST(xor(a & 255, x) + 1 AS BIGINT)])), 4294967295) AS BIGINT) AS text_crc32 FROM b, tb),
