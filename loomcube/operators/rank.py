@@ -2,14 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomcube.storage import materialise
+
+
+def positions(df: DataFrame, group: str, order: list[Column], name: str = "position") -> DataFrame:
+    """Adds the position from 1 within ``group`` by ``order``; a null group is a group. No task holds a whole group.
+
+    Rows are dealt by ranges of group and order, sorted and written with their place in their partition. A group of a
+    partition begins at the least such place, and as many rows of it lie before as earlier partitions count; these
+    counts are one row a group and partition that meet. A source position breaks ties, so rows that are equal in
+    every order key spread over partitions too.
+    """
+    place, tie, part, first, before = "__place", "__tie", "__part", "__first", "__before"
+    keys = [F.col(f"`{group}`"), *order, F.col(tie)]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop(tie)
+    stored = materialise(dealt.withColumn(place, F.monotonically_increasing_id()), "positions").withColumn(part, F.shiftright(place, 33))
+    met = stored.groupBy(F.col(f"`{group}`").alias("__group"), F.col(part).alias("__of")).agg(F.min(place).alias(first), F.count("*").alias("__n"))
+    earlier = Window.partitionBy("__group").orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
+    met = met.withColumn(before, F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+    joined = stored.join(met, (F.col(part) == F.col("__of")) & F.col(f"`{group}`").eqNullSafe(F.col("__group")))
+    return joined.select(*(F.col(f"`{c}`") for c in df.columns), (F.col(place) - F.col(first) + F.col(before) + 1).alias(name))
+
 
 def ranked(df: DataFrame, group: str, value: str, tie: str) -> DataFrame:
-    """Adds the position within ``group`` by falling ``value``."""
-    order = Window.partitionBy(group).orderBy(F.desc(value), F.col(tie))
-    return df.withColumn("position", F.row_number().over(order).cast("long"))
+    """Adds the position within ``group`` by falling ``value``; see :func:`positions`."""
+    return positions(df, group, [F.desc(value), F.col(tie)])
 
 
 def with_total(scores: DataFrame, value: str) -> DataFrame:

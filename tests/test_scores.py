@@ -1,8 +1,11 @@
 """Hand-computed cases of the cube, its scores and rankings."""
 
 import math
+import random
+from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomcube.operators import assoc, cube, rank, score
 
@@ -119,3 +122,28 @@ def test_pca_of_whole_vectors(spark, frame, tmp_path):
     z = (x - x.mean(0)) / x.std(0, ddof=1)
     want = z @ np.linalg.svd(z)[2][:2].T
     assert np.allclose(np.abs(got), np.abs(want))
+
+
+def test_positions_split_a_group_over_partitions(frame):
+    r = random.Random(2)
+    rows = [("hot" if r.random() < 0.7 else r.choice(["a", "b", None]), r.choice([None, *range(300)]), i) for i in range(3000)]
+    df = frame(rows, "g string, v int, `i.d` int").repartition(5)
+    got = rank.positions(df, "g", [F.desc_nulls_last("v"), F.col("`i.d`")], "at").collect()
+    assert len(got) == len(rows)
+    want = defaultdict(list)
+    for g, v, i in rows:
+        want[g].append((v is None, -(v or 0), i))
+    want = {(g, x[2]): k for g, xs in want.items() for k, x in enumerate(sorted(xs), 1)}
+    assert {(x["g"], x["i.d"]): x["at"] for x in got} == want
+    plan = rank.positions(df, "g", [F.col("v"), F.col("`i.d`")])
+    tasks = [x["n"] for x in spark_partitions(plan)]
+    assert max(tasks) < 0.6 * len(rows)
+    same = frame([("g", 1)] * 1000, "g string, v int").repartition(4)
+    assert sorted(x["position"] for x in rank.positions(same, "g", [F.col("v")]).collect()) == list(range(1, 1001))
+    assert rank.positions(same.limit(0), "g", [F.col("v")]).count() == 0
+
+
+def spark_partitions(ranked):
+    """Rows of each file that the ranking has written, which is what a task sorts."""
+    files = ranked.inputFiles()
+    return ranked.sparkSession.read.parquet(*files).groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()
