@@ -46,6 +46,15 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(where, True)
 
 
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Renames a folder within one store; the folder above ``target`` is made."""
+    files, path = _hadoop(spark, source)
+    where = _hadoop(spark, target)[1]
+    files.mkdirs(where.getParent())
+    if not files.rename(path, where):
+        raise OSError(f"{source} could not be moved to {target}")
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so later plans neither repeat nor re-derive it."""
     spark = df.sparkSession
