@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomcube.llm import bpe, decontam, importance, jaccard, prefix_trie, quality_rules, secrets, sharding, suffix_dedup, toxicity, url_filters, warc
+from loomcube.llm import bpe, decontam, importance, jaccard, prefix_trie, quality_rules, secrets, sequenced, sharding, suffix_dedup, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
     "op11_secret_scan": secrets.op11_secret_scan,
+    "op12_sequenced_changes": sequenced.op12_sequenced_changes,
     "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
