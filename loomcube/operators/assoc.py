@@ -16,6 +16,29 @@ def merge_redundant(table: DataFrame, key: str, value_columns: list[str]) -> Dat
     return table.groupBy(*value_columns).agg(F.array_join(F.sort_array(F.collect_list(F.col(key).cast("string"))), ";").alias(key))
 
 
+def merge_entities(scores: DataFrame, synonyms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Scores and members of the entities that remain when those with equal synonyms and equal scores become one.
+
+    ``scores`` is ``category, entity, score`` with one row a pair, ``synonyms`` is ``entity, synonyms``, a text or an
+    array whose order and repetitions do not matter. A missing category, a null and a NaN are equal. Entities without
+    synonyms stay alone, since nothing shows that they are the same. Returns ``category, entity, score`` with merged
+    names, ids joined by semicolons in order, and ``entity, member, synonyms`` with a row for each id that has a score.
+    """
+    known = F.col("score").isNotNull() & ~F.isnan("score")
+    cell = F.when(known, F.concat_ws("=", "category", (F.col("score") + F.lit(0.0)).cast("string")))  # -0.0 is 0.0
+    vectors = scores.groupBy("entity").agg(F.array_join(F.sort_array(F.collect_list(cell)), "|").alias("vector"))
+    listed = dict(synonyms.dtypes)["synonyms"].startswith("array")
+    key = F.to_json(F.sort_array(F.array_distinct("synonyms"))) if listed else F.col("synonyms")
+    own = vectors.join(synonyms.select("entity", key.alias("key")), "entity", "left")
+    alone = F.when(F.col("key").isNull(), F.col("entity"))
+    merged = own.groupBy("vector", "key", alone.alias("alone")).agg(F.sort_array(F.collect_set("entity")).alias("ids"))
+    members = merged.select(F.array_join("ids", ";").alias("name"), F.explode("ids").alias("member"))
+    first = merged.select(F.array_join("ids", ";").alias("name"), F.get("ids", F.lit(0)).alias("entity"))
+    kept = scores.select("category", "entity", "score").join(first, "entity").select("category", F.col("name").alias("entity"), "score")
+    members = members.join(synonyms.select(F.col("entity").alias("member"), "synonyms"), "member", "left")
+    return kept, members.select(F.col("name").alias("entity"), "member", "synonyms")
+
+
 def z_scores(scores: DataFrame, value: str = "score", ddof: int = DDOF) -> DataFrame:
     """Adds ``z`` per category over its non-zero values; null where there are too few or no deviation.
 

@@ -86,30 +86,37 @@ def mine_texts(p: TextMining, tables: Tables) -> dict[str, DataFrame]:
     return out if removed is None else out | {"removed": removed}
 
 
-def analyse(p: Analysis, tables: Tables, n_categories: int) -> dict[str, DataFrame]:
-    """``z, sets, summary, cutoffs, pathways, heatmap`` of the chosen scores.
+def analyse(p: Analysis, tables: Tables, n_categories: int) -> dict[str, dict[str, DataFrame]]:
+    """An analysis of ``all`` entities, of the ``core``, or both, by name, as the flags say.
 
-    Tables: ``scores`` and ``core_scores (category, entity, score)``, ``synonyms (entity, synonyms)``,
-    ``core (entity)`` and ``members (pathway, entity)``. Entities with equal scores everywhere are merged if the flag
-    says so; the core is analysed unless all entities are asked for alone.
+    Each holds ``z, sets, summary, cutoffs, pathways, means, members``. Tables: ``scores`` and ``core_scores
+    (category, entity, score)``, ``synonyms (entity, synonyms)``, ``core (entity)`` and ``members (pathway, entity)``.
+    If the flag says so, entities with equal synonyms and equal scores are analysed as one, whose name joins their
+    ids; it belongs to the core if one of them does, and its synonyms are theirs.
     """
     if not (p.analyze_all_entities or p.analyze_core_entities):
         raise ValueError("neither all nor core entities are to be analysed")
-    chosen = tables["scores"] if p.analyze_all_entities else tables["core_scores"]
-    scores = chosen.select("category", "entity", "score")
+    chosen = {"all": "scores"} if p.analyze_all_entities else {}
+    chosen |= {"core": "core_scores"} if p.analyze_core_entities else {}
+    return {name: _analysis(p, tables[source].select("category", "entity", "score"), tables, n_categories) for name, source in chosen.items()}
+
+
+def _analysis(p: Analysis, scores: DataFrame, tables: Tables, n_categories: int) -> dict[str, DataFrame]:
+    synonyms, core = tables["synonyms"].select("entity", "synonyms"), tables["core"].select("entity").distinct()
     if p.merge_entities:
-        pairs = F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "category", F.col("score").cast("string")))), "|").alias("values")
-        same = scores.groupBy("entity").agg(pairs)
-        names = same.groupBy("values").agg(F.sort_array(F.collect_list("entity")).alias("all"))
-        first = names.select(F.get("all", F.lit(0)).alias("entity"), F.array_join("all", ";").alias("name"))
-        scores = scores.join(first, "entity").select("category", F.col("name").alias("entity"), "score")
+        scores, members = assoc.merge_entities(scores, synonyms)
+    else:
+        members = scores.select("entity", F.col("entity").alias("member")).distinct()
+        members = members.join(synonyms, "entity", "left").select("entity", "member", "synonyms")
+    core = members.join(core.withColumnRenamed("entity", "member"), "member", "left_semi").select("entity").distinct()
+    synonyms = members.groupBy("entity").agg(F.min("synonyms").alias("synonyms"))
     z = assoc.z_scores(scores)
-    sets = assoc.entity_sets(z, p.z_threshold, tables["core"], n_categories)
-    split = z.select("category", F.explode(F.split("entity", ";")).alias("entity"), "z")
+    sets = assoc.entity_sets(z, p.z_threshold, core, n_categories)
+    single = z.join(members.select("entity", "member"), "entity").select("category", F.col("member").alias("entity"), "z")
     return {
-        "z": z, "sets": sets, "summary": assoc.summary_table(z, p.z_threshold, tables["synonyms"], n_categories),
+        "z": z, "sets": sets, "summary": assoc.summary_table(z, p.z_threshold, synonyms, n_categories),
         "cutoffs": assoc.cutoff_table(z, p.thresholds), "pathways": assoc.enrichment(tables["members"], sets),
-        "means": assoc.pathway_means(tables["members"], split),
+        "means": assoc.pathway_means(tables["members"], single), "members": members,
     }
 
 

@@ -45,7 +45,23 @@ def _analysis(spark, d):
     scores = a._scores(spark, d)
     synonyms = scores.select("entity", F.concat(F.lit("syn_"), "entity").alias("synonyms")).distinct()
     inputs = {"scores": scores, "core_scores": scores, "synonyms": synonyms, "core": scores.select("entity").distinct(), "members": t.pathway_members(spark, d)}
-    return lifecycle.analyse(config.Analysis(z_threshold=0.5, analyze_all_entities=True, merge_entities=False, thresholds=a.LEVELS), inputs, 5)
+    p = config.Analysis(z_threshold=0.5, analyze_all_entities=True, analyze_core_entities=False, merge_entities=False, thresholds=a.LEVELS)
+    return lifecycle.analyse(p, inputs, 5)["all"]
+
+
+def _merged_analysis(spark, d):
+    """Parts by their lines in a segment, in classes of four, so that parts of a type often have equal scores."""
+    lines, orders, customer = (t.table(spark, d, n) for n in ("lineitem", "orders", "customer"))
+    joined = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).join(customer, orders["o_custkey"] == customer["c_custkey"])
+    part = F.concat(F.lit("P"), F.col("l_partkey").cast("string"))
+    scores = joined.groupBy(F.col("c_mktsegment").alias("category"), part.alias("entity")).agg(F.floor(F.count("*") / 4).cast("double").alias("score"))
+    synonyms = t.table(spark, d, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("entity"), F.array("p_type", "p_brand").alias("synonyms"))
+    inputs = {"scores": scores, "core_scores": scores, "synonyms": synonyms, "core": t.core_parts(spark, d), "members": t.pathway_members(spark, d)}
+    return lifecycle.analyse(config.Analysis(z_threshold=1.0, analyze_all_entities=True, analyze_core_entities=False), inputs, 5)["all"]
+
+
+def _merged_summary(spark, d):
+    return _merged_analysis(spark, d)["summary"].withColumn("synonyms", F.array_join(F.sort_array("synonyms"), "|"))
 
 
 def _set_kinds(spark, d):
@@ -143,6 +159,8 @@ QUERIES = {
     "lifecycle_summary": lambda s, d: _analysis(s, d)["summary"],
     "lifecycle_graph": _graph_summary,
     "lifecycle_nodes": lambda s, d: _graph(s, d)["nodes"].groupBy("node_type").agg(F.count("*").alias("n")),
+    "lifecycle_merged_summary": _merged_summary,
+    "lifecycle_merged_sets": lambda s, d: _merged_analysis(s, d)["sets"],
     "pathway_set_kinds": lambda s, d: _set_kinds(s, d).groupBy("set_name").agg(F.count("*").alias("n")),
     "pathway_sets_enrichment": lambda s, d: score.rounded(assoc.enrichment(t.pathway_members(s, d), _set_kinds(s, d)), 6),
     "pathway_heatmap": _heatmap,
@@ -184,6 +202,14 @@ _KINDS = """SELECT 'core|' || category AS set_name, entity FROM z WHERE z >= 2 A
  UNION SELECT 'all', entity FROM z UNION SELECT 'nonzero|' || category, entity FROM z WHERE score <> 0"""
 _NO_PATHWAYS = a._GRAPH.replace("UNION ALL SELECT * FROM kg_path ", "UNION ALL SELECT DISTINCT 'S' || l_suppkey, 'targets', 'P' || l_partkey, 1e0 FROM lineitem ")
 
+_MERGED = f"""WITH ps AS (SELECT c_mktsegment AS category, 'P' || l_partkey AS entity, CAST(count(*) // 4 AS DOUBLE) AS score FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+ve AS (SELECT entity, list((category, score) ORDER BY category) AS vals FROM ps GROUP BY entity),
+sy AS (SELECT 'P' || p_partkey AS entity, least(p_type, p_brand) || '|' || greatest(p_type, p_brand) AS synonyms FROM part),
+na AS (SELECT string_agg(entity, ';' ORDER BY entity) AS name, list(entity) AS ids, min(entity) AS one, any_value(synonyms) AS synonyms FROM ve JOIN sy USING (entity) GROUP BY vals, synonyms),
+mem AS (SELECT name AS entity, unnest(ids) AS member, synonyms FROM na),
+s AS (SELECT category, name AS entity, score FROM ps JOIN na ON ps.entity = na.one),
+{a._Z[a._Z.index("mo AS ("):].replace("z >= 0.5", "z >= 1")}"""
+
 SQL = {
     "lifecycle_entities": g.SQL["expanded_union"].replace("'Brand#13'))", "'Brand#13') AND p_size <= 40)"),
     "lifecycle_categories": f"WITH {t.TREE_SQL}, r AS {t.values_sql([('cat_a', 'R0'), ('cat_b', 'R2'), ('cat_b', 'R3.N03')], 'category, root')} SELECT DISTINCT category, code FROM tree JOIN r ON code = root OR starts_with(code, root || '.')",
@@ -192,6 +218,8 @@ SQL = {
     "lifecycle_summary": f"{a._Z} SELECT e.entity, category_i, coalesce(st.n, 0) AS n, st.categories, CASE WHEN st.n = 1 THEN st.categories END AS category_ii, 'syn_' || e.entity AS synonyms FROM (SELECT entity, count(z) = 5 AS category_i FROM z GROUP BY entity) e LEFT JOIN st ON st.entity = e.entity",
     "lifecycle_graph": f"{_NO_PATHWAYS} SELECT relation, count(*) AS n, round(sum(weight), 6) AS weight FROM kg GROUP BY relation",
     "lifecycle_nodes": f"""{a._GRAPH.replace("UNION ALL SELECT tail, 2, 'Reactome_Pathway' FROM kg_path", "UNION ALL SELECT unnest(['S' || l_suppkey, 'P' || l_partkey]), 4, 'Protein' FROM lineitem").replace("UNION ALL SELECT category, -1, 'CVD' FROM roots", "")} SELECT node_type, count(*) AS n FROM nodes GROUP BY node_type""",
+    "lifecycle_merged_summary": f"{_MERGED} SELECT e.entity, category_i, coalesce(st.n, 0) AS n, st.categories, CASE WHEN st.n = 1 THEN st.categories END AS category_ii, y.synonyms FROM (SELECT entity, count(z) = 5 AS category_i FROM z GROUP BY entity) e LEFT JOIN st ON st.entity = e.entity LEFT JOIN (SELECT DISTINCT entity, synonyms FROM mem) y ON y.entity = e.entity",
+    "lifecycle_merged_sets": f"{_MERGED} SELECT 'core|' || category AS set_name, entity FROM z WHERE z >= 1 AND entity IN (SELECT entity FROM mem WHERE member IN (SELECT 'P' || p_partkey FROM part WHERE p_size <= 10)) UNION SELECT 'I', entity FROM z GROUP BY entity HAVING count(z) = 5 UNION SELECT 'II|' || categories, entity FROM st WHERE n = 1 UNION SELECT 'all', entity FROM z UNION SELECT 'nonzero|' || category, entity FROM z WHERE score <> 0",
     "pathway_set_kinds": f"{a._PZ}, sets AS ({_KINDS}) SELECT set_name, count(*) AS n FROM sets GROUP BY set_name",
     "pathway_sets_enrichment": a._ENRICH.replace("sets AS (SELECT category AS set_name, entity FROM z WHERE z >= 2)", f"sets AS ({_KINDS})") + " SELECT * FROM en",
     "pathway_heatmap": f"{a._PZ}, {t.MEMBERS_SQL}, hm AS (SELECT pathway, category, round(avg(z), 6) AS mean_z FROM members JOIN z USING (entity) GROUP BY ALL) SELECT pathway, " + ", ".join(f"max(CASE WHEN category = '{c}' THEN mean_z END) AS {c}" for c in a.CATS) + " FROM hm GROUP BY pathway",

@@ -79,22 +79,40 @@ def test_scores_follow_the_flags(frame):
 
 
 def test_merged_entities_are_analysed_once(frame):
-    scores = frame([(c, f"e{i}", float(v)) for c in "ab" for i, v in enumerate([1, 1, 2, 3, 4, 5, 6, 7, 20])], "category string, entity string, score double")
+    scores = frame([(c, f"e{i}", float(v)) for c in "ab" for i, v in enumerate([1, 1, 1, 1, 4, 5, 6, 7, 20, 20])], "category string, entity string, score double")
+    synonyms = [("e0", "s"), ("e1", "s"), ("e2", "t"), ("e8", "u"), ("e9", "u")]
     tables = {
-        "scores": scores, "core_scores": scores.filter("entity < 'e3'"), "synonyms": frame([("e8", "s")], "entity string, synonyms string"),
-        "core": frame([("e8",)], "entity string"), "members": frame([("w", "e0"), ("w", "e8"), ("v", "e1")], "pathway string, entity string"),
+        "scores": scores, "core_scores": scores.filter("entity < 'e5'"), "synonyms": frame(synonyms, "entity string, synonyms string"),
+        "core": frame([("e9",), ("e1",)], "entity string"), "members": frame([("w", "e0"), ("w", "e8"), ("v", "e1"), ("v", "e9")], "pathway string, entity string"),
     }
-    out = lifecycle.analyse(config.Analysis(z_threshold=0.5, analyze_all_entities=True, thresholds=(0.5,)), tables, 2)
+    both = lifecycle.analyse(config.Analysis(z_threshold=0.5, analyze_all_entities=True, thresholds=(0.5,)), tables, 2)
+    out = both["all"]
     summary = {r["entity"]: r for r in out["summary"].collect()}
-    assert "e0;e1" in summary and summary["e8"]["synonyms"] == "s" and summary["e8"]["categories"] == "a|b"
-    assert {r["set_name"] for r in out["sets"].collect()} == {"core|a", "core|b", "I", "all", "nonzero|a", "nonzero|b"}
-    assert {(r["pathway"], r["category"]): r["n_scored"] for r in out["means"].collect()} == {("w", "a"): 2, ("w", "b"): 2, ("v", "a"): 1, ("v", "b"): 1}
-    only_core = lifecycle.analyse(config.Analysis(z_threshold=0.5), tables, 2)["z"]
-    assert {r["entity"] for r in only_core.collect()} == {"e0;e1", "e2"}
+    assert set(summary) == {"e0;e1", "e2", "e3", "e4", "e5", "e6", "e7", "e8;e9"}, "equal scores without equal synonyms are no reason to merge"
+    assert summary["e8;e9"]["synonyms"] == "u" and summary["e8;e9"]["categories"] == "a|b" and summary["e0;e1"]["synonyms"] == "s"
+    sets = {(r["set_name"], r["entity"]) for r in out["sets"].collect()}
+    assert {x for x in sets if x[0].startswith("core")} == {("core|a", "e8;e9"), ("core|b", "e8;e9")}
+    assert {(r["pathway"], r["category"]): r["n_scored"] for r in out["means"].collect()} == {(p, c): 2 for p in "wv" for c in "ab"}
+    assert {(r["entity"], r["member"]) for r in out["members"].collect() if ";" in r["entity"]} == {("e0;e1", "e0"), ("e0;e1", "e1"), ("e8;e9", "e8"), ("e8;e9", "e9")}
+    assert {r["entity"] for r in both["core"]["z"].collect()} == {"e0;e1", "e2", "e3", "e4"}
+    assert set(lifecycle.analyse(config.Analysis(z_threshold=0.5), tables, 2)) == {"core"}
+    single = lifecycle.analyse(config.Analysis(z_threshold=0.5, merge_entities=False), tables, 2)["core"]
+    assert {r["entity"]: r["synonyms"] for r in single["summary"].collect()} == {"e0": "s", "e1": "s", "e2": "t", "e3": None, "e4": None}
     with pytest.raises(ValueError):
         lifecycle.analyse(config.Analysis(analyze_core_entities=False), tables, 2)
 
 
+def test_what_makes_entities_equal(frame):
+    nan, rows = float("nan"), []
+    for e, a, b in [("p1", 1.0, None), ("p2", 1.0, nan), ("p4", 1.0, 2.0), ("p5", 0.0, 0.0), ("p6", -0.0, 0.0), ("p7", 1.0, None), ("p8", 1.0, None)]:
+        rows += [("a", e, a), ("b", e, b)]
+    rows.append(("a", "p3", 1.0))
+    lists = [("p1", ["x", "y"]), ("p2", ["y", "x", "y"]), ("p3", ["x", "y"]), ("p4", ["x", "y"]), ("p5", ["z"]), ("p6", ["z"])]
+    scores, members = assoc.merge_entities(frame(rows, "category string, entity string, score double"), frame(lists, "entity string, synonyms array<string>"))
+    assert {r["entity"] for r in members.collect()} == {"p1;p2;p3", "p4", "p5;p6", "p7", "p8"}
+    assert {(r["category"], r["entity"]) for r in scores.collect()} == {(c, e) for c in "ab" for e in ("p1;p2;p3", "p4", "p5;p6", "p7", "p8")}
+
+
 def test_graph_follows_the_flags(frame):
     tables = {
         "scores": frame([("c", "e", 2.0)], "category string, entity string, score double"), "members": frame([("w", "e")], "pathway string, entity string"),
