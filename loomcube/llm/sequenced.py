@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from loomcube.llm.common import materialise, shared_dir, ship_package
+from loomcube.llm.common import discard, materialise, remove, shared_dir, ship_package
 from loomcube.operators.rank import positions
 from loomcube.storage import move
 
@@ -317,8 +317,8 @@ def write_batches(changes: DataFrame, path: str, batches: int, buckets: int) ->
     keys = ["client_id", "n", "batch"]
     order = ["day", "change_id", *sorted(c for c in changes.columns if c not in {*keys, "day", "change_id"})]
     changes = materialise(changes.withColumn("place", F.struct(*(F.col(f"`{c}`") for c in order))), "changes")
-    least = materialise(changes.groupBy(*keys).agg(F.min("place").alias("least")), "first-changes")
-    least = least.select(F.col("client_id").alias("c"), F.col("n").alias("k"), F.col("batch").alias("b"), "least")
+    least = changes.groupBy(F.col("client_id").alias("c"), F.col("n").alias("k"), F.col("batch").alias("b")).agg(F.min("place").alias("least"))
+    least = materialise(least, "first-changes")
     same = F.col("client_id").eqNullSafe(F.col("c")) & (F.col("n") == F.col("k")) & (F.col("batch") == F.col("b"))
     first = F.col("place").eqNullSafe(F.col("least"))
     rows = changes.join(least, same).withColumn("first", first)
@@ -327,7 +327,9 @@ def write_batches(changes: DataFrame, path: str, batches: int, buckets: int) ->
     spark = changes.sparkSession
     wake = spark.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.explode(F.sequence(F.lit(1), F.lit(batches + 1))).alias("batch"))
     rows.select(*columns, "batch").unionByName(wake, allowMissingColumns=True).write.partitionBy("batch").parquet(path)
-    return {r["batch"]: r["day"] for r in changes.groupBy("batch").agg(F.max("day").alias("day")).collect()}
+    days = {r["batch"]: r["day"] for r in changes.groupBy("batch").agg(F.max("day").alias("day")).collect()}
+    discard(changes, least)
+    return days
 
 
 def apply_changes(changes: DataFrame, batches: int = BATCHES, patience: int = PATIENCE, buckets: int | None = None) -> DataFrame:
@@ -346,10 +348,12 @@ def apply_changes(changes: DataFrame, batches: int = BATCHES, patience: int = PA
     if buckets is None:
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-changes.count() // BUCKET_ROWS))
     days = write_batches(changes, f"{folder}/batches", batches, buckets)
+    discard(changes)
     settings = {
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+        "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # a start is one batch, and the next has other instances
     }
     before = {k: spark.conf.get(k, None) for k in settings}
     try:
@@ -366,6 +370,8 @@ def apply_changes(changes: DataFrame, batches: int = BATCHES, patience: int = PA
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    for done in ("batches", "in", "checkpoint"):
+        remove(spark, f"{folder}/{done}")
     return spark.read.schema(OUTPUT).parquet(f"{folder}/out")
 
 
