@@ -77,10 +77,19 @@ def read_articles_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ARTICLE).json(path)
 
 
+def read_xml_records(spark: SparkSession, path: str, tag: str) -> DataFrame:
+    """``record``: each element ``tag`` of XML files as text, without its end tag.
+
+    Files are cut at the end tags while they are read, so that a large one is many splits and no task holds more
+    than a record at a time; a record across a boundary of splits comes once. Elements of a kind must not be nested.
+    """
+    raw = spark.read.option("lineSep", f"</{tag}>").text(path)
+    return raw.select(F.regexp_extract("value", rf"(?s)(<{tag}[\s>].*)$", 1).alias("record")).filter("record <> ''")
+
+
 def read_full_text_xml(spark: SparkSession, path: str) -> DataFrame:
     """``pmid, pmcid, body`` of full-text articles; the body is all text of its paragraphs and titles."""
-    raw = spark.read.text(path, wholetext=True).select("value")
-    each = raw.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)(<article[ >].*?</article>)"), F.lit(1))).alias("x"))
+    each = read_xml_records(spark, path, "article").select(F.col("record").alias("x"))
 
     def ident(kind: str) -> Column:
         return F.regexp_extract("x", rf'<article-id[^>]*pub-id-type="{kind}"[^>]*>\s*([^<\s]+)', 1)

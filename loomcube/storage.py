@@ -55,6 +55,25 @@ def move(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"{source} could not be moved to {target}")
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names within a folder of any store; none if it is missing."""
+    files, where = _hadoop(spark, path)
+    return sorted(s.getPath().getName() for s in files.listStatus(where)) if files.exists(where) else []
+
+
+def listing(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Name below ``path``, length and time of every file of a folder, or of a file itself; none if it is missing."""
+    files, where = _hadoop(spark, path)
+    if not files.exists(where):
+        return []
+    out, found = [], files.listFiles(where, True)
+    top = files.makeQualified(where).toString()
+    while found.hasNext():
+        status = found.next()
+        out.append((status.getPath().toString().removeprefix(top), int(status.getLen()), int(status.getModificationTime())))
+    return sorted(out)
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so later plans neither repeat nor re-derive it."""
     spark = df.sparkSession
