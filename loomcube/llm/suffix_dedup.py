@@ -34,6 +34,8 @@ U = np.uint64
 LENGTH, GRAM = 100, 24
 #: Runs of one name that a single shard takes; bytes of segments whose suffixes are sorted at a time.
 SHARD_RUNS, SHARD_BYTES = 5_000, 2 << 20
+#: Positions of a segment that one lane of the prefix scan takes.
+LANE = 1024
 #: Bytes of text whose names are compared before they leave a task.
 LOCAL_BYTES = 8 << 20
 _RUN = "key long, name long, tid binary, first int, last int, plain boolean, seen long"
@@ -187,36 +189,86 @@ def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def common_prefixes(symbols: np.ndarray, order: np.ndarray, rank: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """Common prefix of each suffix of a segment ``[start, stop)`` with the one before it in the order, up to the
-    segment's end. Kasai's scan, one position of all segments at a time: the length drops by one at most from a
-    position to the next, so the comparison goes on from there."""
+    """Common prefix, up to ``LENGTH``, of each suffix of a segment ``[start, stop)`` with the one before it in the order,
+    up to the segment's end. Kasai's scan: the length drops by one at most from a position to the next, so the
+    comparison goes on from there. Segments are cut into lanes, which are scanned one position of all at a time."""
     n = len(symbols)
     before = np.where(rank > 0, order[rank - 1], n)
     padded = np.append(symbols, np.uint8(0))
     out = np.zeros(n, np.int64)
-    at, stop, length = starts.copy(), stops.copy(), np.zeros(len(starts), np.int64)
+    lanes = -(-(stops - starts) // LANE)
+    owner = np.repeat(np.arange(len(starts)), lanes)
+    at = starts[owner] + LANE * (np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes))
+    stop, last = stops[owner], np.minimum(at + LANE, stops[owner])
+    length = np.zeros(len(at), np.int64)
     while len(at):
         other = before[at]
         length[other == n] = 0
-        growing = np.flatnonzero((other < n) & (at + length < stop))
+        growing = np.flatnonzero((other < n) & (at + length < stop) & (length < LENGTH))
         while len(growing):
             i, j = at[growing] + length[growing], np.minimum(other[growing] + length[growing], n)
             growing = growing[(padded[i] == padded[j]) & (j < n)]
             length[growing] += 1
-            growing = growing[at[growing] + length[growing] < stop[growing]]
+            growing = growing[(at[growing] + length[growing] < stop[growing]) & (length[growing] < LENGTH)]
         out[at] = length
         length = np.maximum(length - 1, 0)
         at = at + 1
-        on = at < stop
-        at, stop, length = at[on], stop[on], length[on]
+        on = at < last
+        at, stop, last, length = at[on], stop[on], last[on], length[on]
     return out
 
 
+def periodic_windows(segment: bytes) -> np.ndarray | None:
+    """Places of a long segment's windows that equal the one a period before; ``None`` if there are none.
+
+    All windows of a segment hold one string, the named one. Where the segment is longer than two windows that
+    string comes again, and if the text around is periodic, it comes again after a period.
+    """
+    if len(segment) < 2 * LENGTH + GRAM:
+        return None
+    buf = np.frombuffer(segment, np.uint8)
+    grams = gram_hashes(tv.prefix(buf))
+    at = np.flatnonzero(grams == grams.min())
+    if len(at) < 2:
+        return None
+    steps, times = np.unique(np.diff(at), return_counts=True)
+    period = int(steps[np.argmax(times)])
+    same = np.concatenate([[0], np.cumsum(buf[period:] == buf[:-period])])
+    places = period + np.flatnonzero(same[LENGTH:] - same[:-LENGTH] == LENGTH)
+    return places if len(places) else None
+
+
+def unrolled(segments: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """The segments without windows that repeat a period, in order: the parts that are left, the segment and first place
+    of each, and the places in the joined segments of the windows that are left out. What these equal is left."""
+    parts, owner, begin, later, place = [], [], [], [], 0
+    for k, segment in enumerate(segments):
+        gone = periodic_windows(segment)
+        if gone is None:
+            parts.append(segment)
+            owner.append(k)
+            begin.append(0)
+        else:
+            later.append(place + gone)
+            left = np.ones(len(segment) - LENGTH + 1, bool)
+            left[gone] = False
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], left, [0]]).astype(np.int8)))
+            for first, end in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                parts.append(segment[first : end - 1 + LENGTH])
+                owner.append(k)
+                begin.append(first)
+        place += len(segment) + 1
+    return parts, np.array(owner), np.array(begin), np.concatenate(later) if later else np.zeros(0, np.int64)
+
+
 def repeated_windows(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """For segments in their global order: places in the joined text whose window also starts earlier, and the
     first place of every segment. A zero separates segments; bytes are raised by one, which UTF-8 allows."""
-    size = np.array([len(s) for s in segments])
-    symbols = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8)
+    lengths = np.array([len(s) for s in segments])
+    places = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
+    parts, owner, begin, periodic = unrolled(segments)
+    size = np.array([len(s) for s in parts])
+    symbols = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8)
     starts = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
     symbols = symbols + np.uint8(1)
     symbols[starts + size] = 0
@@ -226,8 +278,10 @@ def repeated_windows(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     group = np.cumsum(~tied) - 1
     bounds = np.flatnonzero(~tied)
     earliest = np.minimum.reduceat(order, bounds)
-    later = order > earliest[group]
-    return np.sort(order[later]), starts
+    later = order[order > earliest[group]]
+    part = np.searchsorted(starts, later, "right") - 1
+    later = places[owner[part]] + begin[part] + later - starts[part]
+    return np.sort(np.concatenate([later, periodic])), places
 
 
 def likely(pieces: list[bytes]) -> np.ndarray:

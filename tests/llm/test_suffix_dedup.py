@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -92,3 +93,43 @@ def test_equal_rows_stay_once(spark, frame):
     assert got.columns == docs.columns
     assert Counter(map(tuple, got.collect())) == Counter((d, t, "own", 0) for d, t in [rows[0], rows[2], *rows[5:]])
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("suffix")]
+
+
+def repeated(segments):
+    seen, out, place = set(), [], 0
+    for s in segments:
+        for i in range(len(s) - 99):
+            if s[i : i + 100] in seen:
+                out.append(place + i)
+            seen.add(s[i : i + 100])
+        place += len(s) + 1
+    return out
+
+
+def test_periodic_segments_equal_the_plain_version(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "LANE", 37)
+    r = random.Random(1)
+    for _ in range(150):
+        segments = []
+        for _ in range(r.randrange(1, 5)):
+            kind = r.randrange(4)
+            if kind == 0:
+                s = bytes(r.choice(b"ab") for _ in range(r.randrange(100, 400)))
+            elif kind == 1:
+                s = (bytes(r.choice(b"abc") for _ in range(r.randrange(1, 80))) * 1500)[: r.randrange(100, 1500)]
+            elif kind == 2:
+                s = b"a" * r.randrange(100, 900) + bytes(r.choice(b"ab") for _ in range(r.randrange(50))) + b"ab" * r.randrange(60, 900)
+            else:
+                s = segments[0] if segments else b"x" * 150
+            segments.append(s)
+        assert suffix_dedup.repeated_windows(segments)[0].tolist() == repeated(segments)
+
+
+@pytest.mark.parametrize("period", [b"=", b"abc"])
+def test_long_periodic_texts_take_linear_time(period):
+    text = period * (10_000_000 // len(period))
+    began = time.perf_counter()
+    assert suffix_dedup.likely([text]).tolist() == [True]
+    later, _ = suffix_dedup.repeated_windows([text])
+    assert len(later) == len(text) - 99 - len(period)
+    assert time.perf_counter() - began < 30, "about 6 seconds on a free core; by single steps it was minutes"
