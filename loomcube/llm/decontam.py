@@ -347,12 +347,13 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, least: int = 0) -> Data
     return out
 
 
-def item_blocks(benchmark: DataFrame, least: int = 0) -> Iterator[tuple[list[tuple[int, str]], bool]]:
+def item_blocks(benchmark: DataFrame, least: int = 0, named: bool = True) -> Iterator[tuple[list[tuple[int, str]], bool]]:
     """The benchmark in blocks of about :data:`BLOCK_OF_ITEMS` bytes, and whether it is the last; the driver holds one at a time.
 
-    Items whose item_id or text is null are left out, also where documents are dropped.
+    Items whose text is null are left out, and if they are to be ``named`` those without an item_id.
     """
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text")).filter("text IS NOT NULL")
+    items = items.filter("item_id IS NOT NULL") if named else items.fillna(0, ["item_id"])
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-size // BLOCK_OF_ITEMS))
     for b in range(blocks):
@@ -368,18 +369,19 @@ def _folded_size(text: str) -> int:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 0) -> DataFrame:
     """The documents that share no passage with the benchmark, with their own columns; nothing is exchanged.
 
-    Passages are those of :func:`find_passages`, so items without an item_id are not searched. Null and empty texts
-    stay, repeated rows too. If the benchmark has several blocks, what a block leaves is written before the next.
+    Passages are those of :func:`find_passages`, and of items without an item_id too. Null and empty texts stay,
+    repeated rows too. If the benchmark has several blocks, what a block leaves is written before the next.
     """
-    was = None
-    for items, last in item_blocks(benchmark, least):
-        docs = map_arrow(docs, _clean_rows(items, docs.columns.index("text")), docs.schema)
+    was, names = None, docs.columns
+    docs = docs.toDF(*(f"c{i}" for i in range(len(names))))  # own names may hold a dot
+    for items, last in item_blocks(benchmark, least, named=False):
+        docs = map_arrow(docs, _clean_rows(items, names.index("text")), docs.schema)
         if not last:
             docs = materialise(docs, "decontam-clean")
             if was is not None:
                 discard(was)
             was = docs
-    return docs
+    return docs.toDF(*names)
 
 
 def _name(items: list[tuple[int, str]]) -> str:

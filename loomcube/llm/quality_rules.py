@@ -103,7 +103,7 @@ def quality_filter(docs: DataFrame) -> DataFrame:
     The row id keeps the optimizer from copying the whole chain of counts into the filter.
     """
     own = docs.columns
-    packed = docs.select(F.struct(*own).alias("__doc"), F.col("text"))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("__doc"), F.col("text"))
     judged = judge(packed, "__doc").select("__doc", "kept", F.monotonically_increasing_id().alias("__id"))
     return judged.filter("kept AND __id >= 0").select("__doc.*")
 
