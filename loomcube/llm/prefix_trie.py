@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomcube.llm.common import CRC_SQL, crc32_sql, deal, map_arrow, materialise
+from loomcube.llm.common import CRC_SQL, crc32_sql, deal, discard, map_arrow, materialise
 
 #: Conversations of one block take their first turns from its first one.
 BLOCK = 20
@@ -116,7 +116,7 @@ def build(turns: DataFrame) -> DataFrame:
     rows give no nodes, not even a root.
     """
     seen = materialise(occurrences(turns), "trie-occurrences")
-    found = seen.groupBy(*PREFIX).agg(F.min("conv_id").alias("owner"), F.max("n_turns").alias("deepest"))
+    found = materialise(seen.groupBy(*PREFIX).agg(F.min("conv_id").alias("owner"), F.max("n_turns").alias("deepest")), "trie-owners")
     conv = Window.partitionBy("conv_id")
     by_depth, on = conv.orderBy("depth"), conv.orderBy("depth").rowsBetween(0, Window.unboundedFollowing)
     own = F.col("owner") == F.col("conv_id")
@@ -130,6 +130,7 @@ def build(turns: DataFrame) -> DataFrame:
         F.max(leaf.cast("long")).over(on).alias("leaf"),
     )
     marked = materialise(marked, "trie-marked")
+    discard(seen, found)
     nodes = marked.groupBy(*PREFIX).agg(
         F.min("conv_id").alias("conv_id"),
         F.min("parent").alias("parent_conv_id"),
@@ -148,7 +149,10 @@ def build(turns: DataFrame) -> DataFrame:
 
 def conversation_trie(conversations: DataFrame) -> DataFrame:
     """The trie of the rebuilt conversations; see :func:`turns` and :func:`share_heads`. Other columns are ignored."""
-    return build(share_heads(materialise(turns(conversations), "trie-turns")))
+    own = materialise(turns(conversations), "trie-turns")
+    nodes = build(share_heads(own))
+    discard(own)
+    return nodes
 
 
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
