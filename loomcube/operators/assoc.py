@@ -230,7 +230,10 @@ def entity_sets(z: DataFrame, threshold: float, core: DataFrame, n_categories: i
 
 
 def components(table: DataFrame, key: str, columns: list[str], n: int = 2) -> DataFrame:
-    """Principal components of standardised columns, as ``key, pc1, pc2, …``; a null takes its column's mean."""
+    """Principal components of standardised columns, as ``key, pc1, pc2, …``; a null takes its column's mean.
+
+    The largest loading of a component (the first such column) is positive.
+    """
     means = table.agg(*(F.avg(c).alias(c) for c in columns)).first().asDict()
     table = table.fillna({c: v for c, v in means.items() if v is not None}).fillna(0.0, columns)
     from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
@@ -238,5 +241,8 @@ def components(table: DataFrame, key: str, columns: list[str], n: int = 2) -> Da
 
     vectors = VectorAssembler(inputCols=columns, outputCol="raw").transform(table)
     scaled = StandardScaler(withMean=True, withStd=True, inputCol="raw", outputCol="x").fit(vectors).transform(vectors)
-    out = PCA(k=n, inputCol="x", outputCol="pc").fit(scaled).transform(scaled).withColumn("v", vector_to_array("pc"))
-    return out.select(key, *(F.col("v")[i].alias(f"pc{i + 1}") for i in range(n)))
+    model = PCA(k=n, inputCol="x", outputCol="pc").fit(scaled)
+    loadings = model.pc.toArray()  # a column of the table each row, n columns
+    signs = [-1.0 if max(column.round(9), key=abs) < 0 else 1.0 for column in loadings.T]
+    out = model.transform(scaled).withColumn("v", vector_to_array("pc"))
+    return out.select(key, *((F.col("v")[i] * F.lit(s)).alias(f"pc{i + 1}") for i, s in enumerate(signs)))

@@ -42,7 +42,7 @@ def spectrum(edges: DataFrame, d: int, matrix: str = "adjacency", rounds: int =
 
     ``adjacency`` holds the weights, ``laplacian`` the degrees less the weights; equal and opposite edges add up and
     loops count once. The sizes of the values are the singular values. ``x`` has a component an eigenvector, of which
-    the largest entry (of the least such node) is positive; for small ``edges`` it has fewer than ``d``.
+    the largest entry (of the least such node) is positive; of values of one size the positive one comes first. For small ``edges`` it has fewer than ``d``.
 
     A round is a join of the entries with a table of d + :data:`EXTRA` columns by node and one sum by node; the
     columns are made orthonormal by the inverse root of their small Gram matrix, which is all that reaches the driver.
@@ -79,7 +79,8 @@ def spectrum(edges: DataFrame, d: int, matrix: str = "adjacency", rounds: int =
         both = _products(table, [(a, b) for a in v for b in y] + [(a, b) for i, a in enumerate(y) for b in y[i:]])
         ritz, gram = both[: p * p].reshape(p, p), full(both[p * p :])
         values, inner = np.linalg.eigh((ritz + ritz.T) / 2)
-        order = np.argsort(-np.abs(values), kind="stable")
+        size = np.round(np.abs(values) / max(np.max(np.abs(values)), 1e-300), 7)
+        order = np.lexsort((-values, -size))  # of two values of one size the positive one is first
         values, inner = values[order], inner[:, order]
         if old is not None and np.max(np.abs(np.abs(values[:d]) - np.abs(old[:d]))) <= tol * max(abs(values[0]), 1e-300):
             x = table

@@ -60,11 +60,24 @@ def _spectrum(spark, d):
     joined = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).join(customer, orders["o_custkey"] == customer["c_custkey"]).join(part, lines["l_partkey"] == part["p_partkey"])
     nation = F.concat(F.lit("N"), F.col("c_nationkey").cast("string"))
     edges = joined.groupBy(nation.alias("head"), F.col("p_brand").alias("tail")).agg(F.count("*").cast("double").alias("weight"))
-    x, values = spectral.spectrum(edges, 3, rounds=40, tol=1e-7)
+    x, values = spectral.spectrum(edges, 2, rounds=40)
     each = x.select("node", F.posexplode("x").alias("k", "value"))
     return each.select("node", F.col("k").cast("long").alias("k"), F.round("value", 4).alias("value"), F.get(F.lit([round(v, 3) for v in values]), F.col("k")).alias("eigenvalue"))
 
 
+def _power_sql(steps: int) -> str:
+    """The leading pair of singular vectors by plain steps, and from it the two eigenvectors of largest size."""
+    parts = ["w AS (SELECT 'N' || c_nationkey AS n, p_brand AS b, count(*)::DOUBLE AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey GROUP BY ALL)", "b0 AS (SELECT DISTINCT b, 1::DOUBLE AS x FROM w)"]
+    for i in range(steps):
+        parts += [f"n{i} AS (SELECT n, sum(w * x) AS x FROM w JOIN b{i} USING (b) GROUP BY n)", f"r{i} AS (SELECT b, sum(w * x) AS x FROM w JOIN n{i} USING (n) GROUP BY b)"]
+        parts += [f"b{i + 1} AS (SELECT b, x / sqrt(sum(x * x) OVER ()) AS x FROM r{i})"]
+    return f"""WITH {", ".join(parts)}, un AS (SELECT n, sum(w * x) AS x FROM w JOIN b{steps} USING (b) GROUP BY n), si AS (SELECT sqrt(sum(x * x)) AS s, max(abs(x)) / sqrt(sum(x * x)) AS most FROM un),
+ends AS (SELECT n AS node, x / s AS x, true AS nation FROM un, si UNION ALL SELECT b, x, false FROM b{steps}),
+si2 AS (SELECT s, most >= (SELECT max(abs(x)) FROM b{steps}) AS nations_up FROM si)
+SELECT node, k, round(x / sqrt(2) * CASE WHEN k = 1 AND nation <> nations_up THEN -1 ELSE 1 END, 4) AS value, round(CASE WHEN k = 0 THEN s ELSE -s END, 3) AS eigenvalue
+FROM ends, si2, (SELECT unnest([0, 1])::BIGINT AS k)"""
+
+
 QUERIES = {
     "holdout_components": _train_components,
     "bipartite_top_products": _products,
@@ -80,6 +93,7 @@ ways AS (SELECT u, v FROM b UNION ALL SELECT v, u FROM b),
 cc(node, root) USING KEY (node) AS (SELECT DISTINCT u, u FROM ways
  UNION SELECT n.u, n.root FROM (SELECT ways.u AS u, min(cc.root) AS root FROM cc JOIN ways ON ways.v = cc.node GROUP BY ways.u) n JOIN recurring.cc o ON o.node = n.u WHERE n.root < o.root)
 SELECT node, root FROM cc""",
+    "spectrum_vectors": _power_sql(6),
     "bipartite_top_products": f"""WITH j AS (SELECT 'S' || l_suppkey AS s, 'P' || l_partkey AS p, c_mktsegment AS m FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
 h AS (SELECT s AS node, {", ".join(f"count(*) FILTER (m = '{m}')::DOUBLE AS x{i}" for i, m in enumerate(SEGMENTS))} FROM j GROUP BY s),
 q AS (SELECT p AS node, {", ".join(f"count(*) FILTER (m = '{m}')::DOUBLE AS x{i}" for i, m in enumerate(SEGMENTS))} FROM j GROUP BY p),

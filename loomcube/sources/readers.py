@@ -260,7 +260,8 @@ def read_entity_counts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.trim("value").alias("id")).filter("id <> ''").distinct()
+    """The lines of a file without the white space around them."""
+    return spark.read.text(path).select(F.regexp_replace("value", r"^\s+|\s+$", "").alias("id")).filter("id <> ''").distinct()
 
 
 def read_category_roots(spark: SparkSession, path: str, names: list[str]) -> DataFrame:

@@ -245,8 +245,11 @@ def test_grid_has_a_row_a_configuration(frame, typed_edges, monkeypatch):
     edges = frame(sorted({(h, t) for h, _, t in typed_edges if int(h[1:]) % 3 == int(t[1:]) % 3}), "head string, tail string")
     rows = {(r["embedding"], r["model"]): r for r in links.grid(edges, ("adjacency", "distmult"), folds=1, d=6).collect()}
     assert set(rows) == {(e, m) for e in ("adjacency", "distmult") for m in links.MODELS}
-    assert rows["adjacency", "perceptron"]["auroc"] > 0.9, "three groups are three pairs of leading eigenvectors"
+    assert rows["adjacency", "perceptron"]["auroc"] > 0.7, "negatives within a group cannot be told from edges"
     train, pairs = links.labelled_pairs(edges)
+    for r in links.edge_features(pairs, links.EMBEDDINGS["adjacency"](train, 6, 1)).collect():
+        same = int(r["head"][1:]) % 3 == int(r["tail"][1:]) % 3
+        assert r["similarity"] > 0.99 if same else abs(r["similarity"]) < 0.1, "three groups are three pairs of leading eigenvectors"
     every = {(r["head"], r["tail"]): (r["is_true"], r["part"]) for r in pairs.collect()}
     known = {tuple(r) for r in edges.collect()}
     assert {p for p, (true, _) in every.items() if true} == known
