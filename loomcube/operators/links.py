@@ -78,7 +78,7 @@ def _spectral(matrix: str) -> Callable[[DataFrame, int, int], DataFrame]:
     """
 
     def vectors(edges: DataFrame, d: int, seed: int) -> DataFrame:
-        x, values = spectrum(edges.select("head", "tail", F.lit(1.0).alias("weight")).distinct(), d, matrix, rounds=15, tol=1e-4, seed=seed)
+        x, values = spectrum(edges.select("head", "tail", F.lit(1.0).alias("weight")).distinct(), d, matrix, rounds=8, tol=1e-4, seed=seed)
         scale = F.lit([abs(v) ** 0.5 for v in values]).cast("array<double>")
         turned = F.lit([abs(v) ** 0.5 * (-1.0 if v < 0 else 1.0) for v in values]).cast("array<double>")
         product = lambda a, b: F.zip_with(a, b, lambda u, v: u * v)

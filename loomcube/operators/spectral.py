@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +35,20 @@ def _half_inverse(gram: np.ndarray) -> np.ndarray:
     return (vectors * scale)[:, ::-1]
 
 
-def _products(table: DataFrame, pairs: list[tuple[str, str]]) -> np.ndarray:
-    row = table.agg(*(F.coalesce(F.sum(F.col(a) * F.col(b)), F.lit(0.0)).alias(f"{a}_{b}") for a, b in pairs)).first()
-    return np.array(list(row), float)
+def _gram(table: DataFrame, columns: list[str]) -> np.ndarray:
+    """The products of all pairs of columns, summed in the tasks; a number a pair reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(columns), len(columns)))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            total += x @ x.T
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["m"])
+
+    parts = table.select(*columns).mapInArrow(run, "m array<double>").select(F.posexplode("m").alias("at", "v"))
+    sums = {r["at"]: r["v"] for r in parts.groupBy("at").agg(F.sum("v").alias("v")).collect()}
+    n = len(columns)
+    return np.array([sums.get(i, 0.0) for i in range(n * n)]).reshape(n, n)
 
 
 def spectrum(edges: DataFrame, d: int, matrix: str = "adjacency", rounds: int = 100, tol: float = 1e-9, seed: int = 1) -> tuple[DataFrame, list[float]]:
@@ -58,15 +72,7 @@ def spectrum(edges: DataFrame, d: int, matrix: str = "adjacency", rounds: int =
     v, y = [f"v{k}" for k in range(p)], [f"y{k}" for k in range(p)]
     start = [(F.pmod(F.xxhash64("node", F.lit(k), F.lit(seed)), F.lit(1 << 30)) / float(1 << 29) - 1.0).alias(c) for k, c in enumerate(v)]
     x = materialise(degrees.select("node", *start), "iterate")
-    square = [(a, b) for i, a in enumerate(v) for b in v[i:]]
-    upper = np.triu_indices(p)
-
-    def full(flat: np.ndarray) -> np.ndarray:
-        out = np.zeros((p, p))
-        out[upper] = flat
-        return out + np.triu(out, 1).T
-
-    first = materialise(x.select("node", *_mix(v, _half_inverse(full(_products(x, square))), v)), "iterate")
+    first = materialise(x.select("node", *_mix(v, _half_inverse(_gram(x, v)), v)), "iterate")
     discard(x)
     x, old = first, None
     for _ in range(rounds):
@@ -76,8 +82,8 @@ def spectrum(edges: DataFrame, d: int, matrix: str = "adjacency", rounds: int =
             table = table.join(degrees, "node").withColumns({b: F.col("deg") * F.col(a) - F.col(b) for a, b in zip(v, y)}).drop("deg")
         table = materialise(table, "iterate")
         discard(x)
-        both = _products(table, [(a, b) for a in v for b in y] + [(a, b) for i, a in enumerate(y) for b in y[i:]])
-        ritz, gram = both[: p * p].reshape(p, p), full(both[p * p :])
+        both = _gram(table, [*v, *y])
+        ritz, gram = both[:p, p:], both[p:, p:]
         values, inner = np.linalg.eigh((ritz + ritz.T) / 2)
         size = np.round(np.abs(values) / max(np.max(np.abs(values)), 1e-300), 7)
         order = np.lexsort((-values, -size))  # of two values of one size the positive one is first

@@ -84,7 +84,7 @@ QUERIES = {
     "embedding_ranks": _ranks,
     "spectrum_vectors": _spectrum,
     "link_evaluation": lambda s, d: links.independent_evaluation(_trade(s, d)),
-    "embedding_grid": lambda s, d: links.grid(_trade(s, d), folds=1),
+    "embedding_grid": lambda s, d: links.grid(_trade(s, d), folds=1, d=8),
 }
 
 SQL = {
