@@ -215,9 +215,9 @@ def read_fasta_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_interactions(spark: SparkSession, path: str, taxon: str = "9606", threshold: float = 0.0) -> DataFrame:
-    """``src, dst, score``: interaction rows of a taxon at or above a score."""
+    """``src, dst, score``: interaction rows at or above a score whose two ids are of a taxon, which precedes a point."""
     rows = spark.read.csv(path, sep="\t", header=True, schema="query_ensp string, query_name string, partner_ensp string, partner_name string, combined_score double")
-    own = rows.filter(F.contains("query_ensp", F.lit(taxon)) & F.contains("partner_ensp", F.lit(taxon)) & (F.col("combined_score") >= threshold))
+    own = rows.filter(F.startswith("query_ensp", F.lit(f"{taxon}.")) & F.startswith("partner_ensp", F.lit(f"{taxon}.")) & (F.col("combined_score") >= threshold))
     return own.select(F.col("query_ensp").alias("src"), F.col("partner_ensp").alias("dst"), F.col("combined_score").alias("score")).distinct()
 
 

@@ -97,6 +97,13 @@ def test_tables(spark, put):
     assert rows(readers.read_interactions(spark, put("i.tsv", ppi), threshold=0.5), "src", "dst") == [("9606.A", "9606.B")]
 
 
+def test_interactions_of_a_taxon_begin_with_it(spark, put):
+    ids = ("10090.9606", "10090.19606", "96060.A", "9606.B")
+    lines = [f"{a}\ta\t{b}\tb\t0.9" for a, b in ((*ids[:1], "9606.C"), (ids[1], "9606.C"), (ids[2], "9606.C"), ("9606.C", ids[0]), (ids[3], "9606.C"))]
+    ppi = "\n".join(["query_ensp\tquery_name\tpartner_ensp\tpartner_name\tcombined_score", *lines, ""])
+    assert rows(readers.read_interactions(spark, put("taxa.tsv", ppi)), "src", "dst") == [("9606.B", "9606.C")]
+
+
 def test_id_map(spark, put):
     text = "from_db\tfrom_id\tto_db\tto_id\treviewed\ttaxon\ngene\tG\tprot\tP1\ttrue\t9606\ngene\tG\tprot\tP2\tfalse\t9606\n"
     table = readers.read_id_map(spark, put("m.tsv", text))
