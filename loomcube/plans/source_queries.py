@@ -12,6 +12,10 @@ from loomcube.sources import readers
 from loomcube.storage import shared_dir
 
 
+#: Records of an XML file that is written here: Spark reads such a file as one piece.
+XML_RECORDS = 50_000
+
+
 def _path(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/source-{uuid.uuid4().hex}"
 
@@ -58,7 +62,7 @@ def _articles_xml(spark, d):
         F.struct(F.col("source").alias("ArticleTitle"), F.struct(F.array("lang", "source").alias("AbstractText")).alias("Abstract")).alias("Article"),
     ).alias("MedlineCitation"))
     path = _path(spark)
-    made.write.format("xml").option("rowTag", "PubmedArticle").option("rootTag", "PubmedArticleSet").save(path)
+    made.write.option("maxRecordsPerFile", XML_RECORDS).format("xml").option("rowTag", "PubmedArticle").option("rootTag", "PubmedArticleSet").save(path)
     return readers.read_articles_xml(spark, path).select("PMID", "ArticleTitle", "Abstract")
 
 
@@ -89,7 +93,7 @@ def _descriptors(spark, d):
     made = t.tree(spark, d).groupBy("name").agg(F.sort_array(F.collect_list("code")).alias("codes"))
     made = made.select(F.concat(F.lit("D"), F.md5("name")).alias("DescriptorUI"), F.struct(F.col("name").alias("String")).alias("DescriptorName"), F.struct(F.col("codes").alias("TreeNumber")).alias("TreeNumberList"))
     path = _path(spark)
-    made.write.format("xml").option("rowTag", "DescriptorRecord").option("rootTag", "DescriptorRecordSet").save(path)
+    made.write.option("maxRecordsPerFile", XML_RECORDS).format("xml").option("rowTag", "DescriptorRecord").option("rootTag", "DescriptorRecordSet").save(path)
     return readers.read_descriptors_xml(spark, path, "^R[01]").select("name", "code")
 
 
@@ -192,7 +196,7 @@ def _drugs(spark, d):
     target = F.struct(_text("p_size", "T").alias("id"), F.col("p_name").alias("name"), F.when(F.col("p_size") <= 25, "Humans").otherwise("Mice").alias("organism"))
     made = part.select(F.array(_text("p_partkey", "DB"), F.lit("old")).alias("drugbank-id"), F.col("p_name").alias("name"), F.struct(F.array("p_brand").alias("synonym")).alias("synonyms"), F.struct(F.array(target).alias("target")).alias("targets"))
     path = _path(spark)
-    made.write.format("xml").option("rowTag", "drug").option("rootTag", "drugbank").save(path)
+    made.write.option("maxRecordsPerFile", XML_RECORDS).format("xml").option("rowTag", "drug").option("rootTag", "drugbank").save(path)
     return readers.read_drugs_xml(spark, path).select("id", "name", F.get("synonyms", F.lit(0)).alias("synonym"), F.array_join("targets", "|").alias("targets"))
 
 

@@ -7,6 +7,7 @@ import json
 import pytest
 
 from loomcube import config
+from loomcube.plans import source_queries
 from loomcube.sources import readers, stages
 
 
@@ -163,3 +164,11 @@ def test_parameters():
     assert own.include_ppi and own.ppi_hops == 2 and own.problems(set(), {"GO:1"}) == ["unknown term GO:2"]
     with pytest.raises(ValueError):
         config.from_text(config.Preprocessing, "nonsense: 1\n")
+
+
+def test_written_records_lie_in_several_files(spark, frame, tmp_path, monkeypatch):
+    monkeypatch.setattr(source_queries, "XML_RECORDS", 2)
+    monkeypatch.setattr(source_queries, "_path", lambda spark: f"file://{tmp_path}/drugs")
+    frame([(i, f"n{i}", "b", "t", i) for i in range(7)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int").coalesce(1).write.parquet(f"file://{tmp_path}/part.parquet")
+    assert source_queries._drugs(spark, f"file://{tmp_path}").count() == 7
+    assert len(list((tmp_path / "drugs").glob("part-*"))) == 4
