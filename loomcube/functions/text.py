@@ -192,6 +192,8 @@ def tokens(text: Column) -> Column:
 
 #: Synonyms that are tried on every document in one projection at most; more are looked up by pieces.
 LISTED_SYNONYMS = 200
+#: Characters of a piece at most. Most texts hold most runs of three, and a text is searched once for each candidate.
+PIECE = 6
 #: Fields that are searched in each mode.
 FIELDS = {
     "abstract": ("title", "abstract"),
@@ -202,10 +204,7 @@ FIELDS = {
 
 def _pieces(text: Column, size: int) -> Column:
     """The different runs of ``size`` characters within the tokens of a text."""
-    return F.array_distinct(F.flatten(F.transform(
-        F.filter(tokens(text), lambda w: F.length(w) >= size),
-        lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - (size - 1)), lambda i: F.substring(w, i, F.lit(size))),
-    )))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?=([\p{{L}}\p{{N}}]{{{size}}}))"), 1))
 
 
 def few(rows: DataFrame) -> bool:
@@ -216,13 +215,13 @@ def few(rows: DataFrame) -> bool:
 def candidate_synonyms(docs: DataFrame, words: DataFrame, fields: list[str]) -> DataFrame:
     """``doc_id, synonym`` of every pair that may occur: the document holds the rarest piece of the synonym.
 
-    Pieces are runs of three characters within tokens (fewer for synonyms of short tokens only), so occurrences
+    Pieces are runs of :data:`PIECE` characters within tokens (fewer for synonyms of shorter tokens), so occurrences
     within words are found. Of the pieces of a synonym the one in the fewest documents is looked up, by exchanges
     of pieces and ids alone; a synonym with a piece that no document has cannot occur. Nothing is broadcast, so both
     sides may be of any size. Synonyms without a letter or digit are paired with all documents.
     """
     longest = F.array_max(F.transform(tokens(F.col("synonym")), lambda w: F.length(w)))
-    sized = words.withColumn("size", F.least(F.coalesce(longest, F.lit(0)), F.lit(3)))
+    sized = words.withColumn("size", F.least(F.coalesce(longest, F.lit(0)), F.lit(PIECE)))
     sizes = [r["size"] for r in sized.select("size").distinct().collect()]
     out = sized.filter("size = 0").select("synonym").crossJoin(docs.select("doc_id")).select("doc_id", "synonym") if 0 in sizes else None
     for size in sorted(set(sizes) - {0}):

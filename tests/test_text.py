@@ -166,3 +166,12 @@ def test_write_back_and_undo(frame):
     after = impute.write_back(docs, labels)
     assert {r["doc_id"]: sorted(r["terms"]) for r in after.collect()} == {1: ["a", "x"], 2: ["b"]}
     assert {r["doc_id"]: r["terms"] for r in impute.undo(after, labels).collect()} == {1: ["x"], 2: []}
+
+
+def test_candidates_hold_a_long_piece(frame):
+    docs = frame([(1, "überaus wichtig-es 12ab x𝒳yz"), (2, "ab"), (3, None)], "doc_id long, f0 string")
+    words = frame([("wichtig",), ("𝒳yz",), ("raus w",), ("12a",), ("fehlt",), ("ab",)], "synonym string")
+    found = x.candidate_synonyms(docs, words, ["f0"])
+    assert {(r["doc_id"], r["synonym"]) for r in found.collect()} == {(1, "wichtig"), (1, "𝒳yz"), (1, "raus w"), (1, "12a"), (1, "ab"), (2, "ab")}
+    near = frame([(i, " ".join(f"{w[:5]}x {w[1:]}" for w in ("wichtig", "anderes"))) for i in range(9)], "doc_id long, f0 string")
+    assert x.candidate_synonyms(near, frame([("wichti",), ("andere",)], "synonym string"), ["f0"]).count() == 0, "runs of three would make candidates of all"
