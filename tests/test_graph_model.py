@@ -4,9 +4,11 @@ import hashlib
 import math
 import random
 import struct
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -191,6 +193,46 @@ def test_training_equals_the_plain_version(frame, typed_edges, monkeypatch):
         assert ranks[h, q, t] == 1 + sum(s > scores[t] for s in scores.values())
 
 
+def test_a_batch_touches_the_rows_of_its_nodes_only():
+    n, d = 400_000, 16
+    g = np.random.default_rng(2)
+    model = embed.Model(np.arange(n), g.normal(size=(n, d)), np.zeros(n), np.arange(3), g.normal(size=(3, d)), np.zeros(3), n // 2, 0.1, 4)
+    before, (head, tail, salt) = model.x.copy(), g.integers(0, n, (3, 512))
+    tracemalloc.start()
+    model.step(head, salt % 3, tail, salt)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < n * d * 8 / 2, "a step of 512 edges makes no array of the size of the blocks"
+    moved = set(np.flatnonzero((model.x != before).any(1)))
+    assert {*head, *tail} <= moved and len(moved) <= 512 * 10
+
+
+def test_rounds_do_not_grow_with_the_nodes():
+    assert embed.block_size(12_600, 16) == embed.block_size(400_000, 16) == 50_000
+    for n in (800_000, 4_536_000, 6_000_000):
+        assert -(-n // embed.block_size(n, 16)) <= embed.BLOCKS
+    assert embed.block_size(10**9, 16) * 16 * 8 <= embed.BLOCK_BYTES
+
+
+def test_ranks_over_many_tiles_score_a_head_and_relation_once(frame, monkeypatch):
+    monkeypatch.setattr(embed, "QUERIES", 32)
+    monkeypatch.setattr(embed, "TAILS", 16)
+    g = np.random.default_rng(9)
+    x, rel = {f"n{i}": g.normal(size=4) for i in range(60)}, {"p": g.normal(size=4), "q": g.normal(size=4)}
+    queries = [(f"n{i}", r, f"n{j}") for i in range(4) for r in rel for j in range(20, 60, 2)]
+    nodes = frame([(v, a.tolist()) for v, a in x.items()], "node string, x array<double>")
+    relations = frame([(v, a.tolist()) for v, a in rel.items()], "relation string, x array<double>")
+    schema = "head string, relation string, tail string"
+    got = embed.tail_ranks(frame([*queries, ("none", "p", "n1")], schema), nodes, relations, frame([(v,) for v in x], "node string"))
+    want = {(h, r, t): 1 + sum(round(float(np.sum(x[h] * rel[r] * v)), 9) > round(float(np.sum(x[h] * rel[r] * x[t])), 9) for v in x.values()) for h, r, t in queries}
+    assert {tuple(row)[:3]: row["rank"] for row in got.collect()} == want
+    scored, repeated = [], np.repeat(g.normal(size=(3, 4)), 40, 0)
+    monkeypatch.setattr(embed.np, "round", lambda a, n, keep=np.round: scored.append(a.shape) or keep(a, n))
+    tile = {"kind": [0] * 120 + [1] * 50, "id": range(170), "x": [*repeated.tolist(), *g.normal(size=(50, 4)).tolist()], "score": [0.0] * 170}
+    embed._greater(pa.table(tile))
+    assert scored == [(3, 50)]
+
+
 def test_training_finds_groups(frame, typed_edges, monkeypatch):
     monkeypatch.setattr(embed, "BATCH", 16)
     r = random.Random(1)
