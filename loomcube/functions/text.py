@@ -19,6 +19,20 @@ def count_substring(text: Column, part: Column) -> Column:
     return F.coalesce(times, F.lit(0)).cast("long")
 
 
+def run_starts(name: str, field: str | None = None) -> Column:
+    """Where in the sorted array column ``name`` another value begins, from 0; of structs ``field`` counts."""
+    at = (lambda i: F.get(name, i)[field]) if field else (lambda i: F.get(name, i))
+    return F.filter(F.sequence(F.lit(0), F.size(name) - 1), lambda i: (i >= 0) & (i < F.size(name)) & ((i == 0) | (at(i) != at(i - 1))))
+
+
+def runs(name: str, starts: str, made) -> Column:
+    """``made(start, length)`` of every run of equal values of the array column ``name``; see :func:`run_starts`.
+
+    So the words of a text are counted in its own row: work grows as its sort, and nothing is exchanged.
+    """
+    return F.transform(starts, lambda a, k: made(a, F.coalesce(F.get(starts, k + 1), F.size(name)) - a))
+
+
 def normalise_hyphens(text: Column) -> Column:
     """Hyphens become blanks unless a blank follows; the ends are trimmed."""
     return F.trim(F.regexp_replace(text, "-(?! )", " "))

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcube.functions.text import count_substring, normalise_hyphens, normalise_synonym
+from loomcube.functions.text import count_substring, normalise_hyphens, normalise_synonym, run_starts, runs
 from loomcube.storage import discard, materialise
 
 #: The words that an English stop filter takes out.
@@ -25,6 +25,9 @@ STANDARD = r"[\p{L}\p{M}\p{N}_]+(?:(?:(?<=\p{L})['’.](?=\p{L})|(?<=\p{N})[.,](
 #: Runs of letters and digits.
 SIMPLE = r"[\p{L}\p{N}]+"
 
+#: Tokens after the first of their phrases up to which all other postings are left out before the joins.
+LATER = 100_000
+
 
 @dataclass(frozen=True)
 class Analyzer:
@@ -46,16 +49,24 @@ class Analyzer:
 def build(docs: DataFrame, path: str, fields: tuple[str, ...], analyzer: Analyzer = Analyzer(), buckets: int = 64, spread: int = 8) -> None:
     """Writes the index of ``fields`` of ``docs`` (``doc_id`` and the fields) to ``path``, in place of what is there.
 
-    One exchange groups the positions of a token in a field of a document, one deals the rows to ``buckets`` times
-    ``spread`` files. Rows without doc_id are left out; the positions of equal doc_ids come together, so documents
-    should be the latest versions of their ids.
+    One exchange deals the sorted tokens of a field, a row a bucket, to ``buckets`` times ``spread`` files, or as many
+    as there are shuffle partitions; where they arrive the positions of a token are put together. Rows without doc_id
+    are left out; the positions of equal doc_ids come together, so documents should be the latest versions of their ids.
     """
     own = docs.filter("doc_id IS NOT NULL")
     each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), analyzer.tokens(F.col(f)).alias("tokens")) for f in fields))).alias("f")
-    placed = own.select("doc_id", each).select("doc_id", "f.field", F.explode("f.tokens").alias("t")).select("doc_id", "field", "t.token", "t.position")
-    rows = placed.groupBy("token", "doc_id", "field").agg(F.array_sort(F.collect_list("position")).alias("positions"))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
-    dealt = rows.repartition(buckets * spread, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(spread))).sortWithinPartitions("bucket", "token", "doc_id")
+    spread = max(spread, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // buckets)
+    bucketed = lambda e: F.struct(F.pmod(F.xxhash64(e["token"]), F.lit(buckets)).cast("int").alias("bucket"), e["token"].alias("token"), e["position"].alias("position"))
+    placed = own.select("doc_id", each).select("doc_id", "f.field", F.sort_array(F.transform("f.tokens", bucketed)).alias("own")).withColumn("starts", run_starts("own", "bucket"))
+    cut = lambda a, n: F.struct(F.get("own", a)["bucket"].alias("bucket"), *(F.transform(F.slice("own", a + 1, n), lambda e: e[c]).alias(f"{c}s") for c in ("token", "position")))
+    packed = placed.select("doc_id", "field", F.explode(runs("own", "starts", cut)).alias("t")).select("doc_id", "field", "t.*")
+    packed = packed.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(spread)).cast("int")).repartition(buckets * spread, "bucket", "part")
+    group = lambda a, n: F.struct(F.get("tokens", a).alias("token"), F.slice("positions", a + 1, n).alias("positions"))
+    dealt = packed.withColumn("starts", run_starts("tokens")).select("bucket", "part", "doc_id", "field", F.explode(runs("tokens", "starts", group)).alias("t"))
+    dealt = dealt.select("bucket", "part", "t.token", "doc_id", "field", "t.positions")
+    if own.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
+        dealt = dealt.groupBy("bucket", "part", "token", "doc_id", "field").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+    dealt = dealt.select("token", "doc_id", "field", "positions", "bucket").sortWithinPartitions("bucket", "token", "doc_id")
     dealt.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
     stored = docs.sparkSession.read.parquet(f"{path}/postings")
     counts = stored.groupBy("bucket", "token", "field").agg(F.count("*").alias("n"))
@@ -90,6 +101,8 @@ def find_phrases(phrases: DataFrame, path: str, fields: tuple[str, ...], analyze
     longest = plans.agg(F.max(F.size("steps")).alias("n")).first()["n"] or 0
     postings = _read(spark, path, "postings", wanted).filter(F.col("field").isin(list(fields))).select("token", "doc_id", "field", "positions")
     places = spark.createDataFrame([], "phrase string, doc_id long, field string, start int").join(plans, "phrase") if not longest else None
+    later = plans.select(F.explode(F.slice("steps", F.lit(2), F.greatest(F.size("steps") - 1, F.lit(0)))).alias("s")).select("s.token").distinct()
+    following = postings.join(F.broadcast(later), "token", "left_semi") if later.limit(LATER + 1).count() <= LATER else postings
     for k in range(longest):
         step = F.get("steps", F.lit(k))
         if places is None:
@@ -97,7 +110,7 @@ def find_phrases(phrases: DataFrame, path: str, fields: tuple[str, ...], analyze
             places = at.select("phrase", "steps", "doc_id", "field", F.explode("positions").alias("p"), "offset").select("phrase", "steps", "doc_id", "field", (F.col("p") - F.col("offset")).alias("start"))
         else:
             done = places.filter(F.size("steps") <= k)
-            at = places.filter(F.size("steps") > k).select("*", step["token"].alias("token"), step["offset"].alias("offset")).join(postings, ["token", "doc_id", "field"])
+            at = places.filter(F.size("steps") > k).select("*", step["token"].alias("token"), step["offset"].alias("offset")).join(following, ["token", "doc_id", "field"])
             places = done.unionByName(at.filter(F.array_contains("positions", F.col("start") + F.col("offset"))).select("phrase", "steps", "doc_id", "field", "start"))
     found = materialise(places.groupBy("phrase", "doc_id").agg(F.count("*").alias("n")), "phrase-hits")
     discard(own, plans)

@@ -70,3 +70,22 @@ def test_counts_of_retrieved_documents(frame, tmp_path):
     p.build(docs, path, ("title", "abstract"))
     got = p.count_retrieved(docs, frame([("alpha-beta",), ("alpha",), ("-",)], "synonym string"), path, ("title", "abstract"))
     assert {tuple(r) for r in got.collect()} == {(1, "alpha beta", 2), (3, "alpha beta", 1), (1, "alpha", 3), (3, "alpha", 1)}
+
+
+def test_the_build_exchanges_a_row_a_field_and_bucket(frame, docs, tmp_path, monkeypatch):
+    seen, kind = [], type(frame(docs, SCHEMA))
+    plain_repartition = kind.repartition
+
+    def recorded(self, *how):
+        seen.append((self.count(), "Exchange" in self._jdf.queryExecution().executedPlan().toString()))
+        return plain_repartition(self, *how)
+
+    monkeypatch.setattr(kind, "repartition", recorded)
+    p.build(frame(docs, SCHEMA), f"file://{tmp_path}/index", ("title", "abstract"), buckets=4, spread=2)
+    assert seen[0][0] <= 2 * 4 * len(docs) and not seen[0][1], "positions come together before anything is exchanged"
+
+
+def test_positions_of_equal_ids_come_together(frame, spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    p.build(frame([(1, "heart x heart", None), (1, "y heart", None)], SCHEMA), path, ("title",), buckets=4, spread=2)
+    assert [r["positions"] for r in spark.read.parquet(f"{path}/postings").filter("token = 'heart'").collect()] == [[0, 1, 2]]
