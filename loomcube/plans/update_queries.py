@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from loomcube.functions.text import run_starts, runs
 from loomcube.operators.phrase_index import SIMPLE
 from loomcube.plans import tables as t
 from loomcube.sources.keyed import IncrementalCube
@@ -13,9 +14,11 @@ from loomcube.storage import shared_dir
 
 
 def _observe(docs):
-    """Words of a document as its entities, its language as its category."""
-    words = docs.select("doc_id", F.col("lang").alias("category"), F.explode(F.regexp_extract_all("text", F.lit(SIMPLE), 0)).alias("entity"))
-    return words.groupBy("category", "doc_id", "entity").agg(F.count("*").alias("cnt"))
+    """Words of a document as its entities, its language as its category; words are counted in the row of their text."""
+    words = docs.select("doc_id", F.col("lang").alias("category"), F.sort_array(F.regexp_extract_all("text", F.lit(SIMPLE), 0)).alias("words"))
+    count = lambda a, n: F.struct(F.get("words", a).alias("entity"), n.cast("long").alias("cnt"))
+    each = words.withColumn("starts", run_starts("words")).select("category", "doc_id", F.explode(runs("words", "starts", count)).alias("w"))
+    return each.select("category", "doc_id", "w.entity", "w.cnt")
 
 
 def _cube(spark, d):

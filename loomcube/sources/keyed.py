@@ -8,15 +8,16 @@ no trace in what is read. There is one writer at a time.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from loomcube.operators.cube import newest
-from loomcube.storage import children, discard, materialise, move
+from loomcube.storage import children, discard, materialise, move, remove
 
 BUCKETS = 64
 #: Old rows and new rows of some buckets to the rows that these buckets hold from now on.
@@ -68,11 +69,44 @@ class KeyedTable:
             self._commit(merge(self.read(buckets=buckets), rows), self.manifest(), buckets)
         return buckets
 
+    def replace(self, rows: DataFrame) -> DataFrame:
+        """Puts ``rows``, whose keys are unique, in place of those with their keys, and returns these as a stored table.
+
+        Old and new rows of the buckets meet in the exchange that deals them to files; those that go out are written
+        beside those that stay.
+        """
+        buckets, version = self.touched(rows), self.versions()[-1] + 1
+        if not buckets:
+            return materialise(self.spark.createDataFrame([], self.schema), "rows-out")
+        columns, keys = [F.col(f"`{f.name}`") for f in self.schema], [F.col(f"`{k}`") for k in self.keys]
+        both = self.read(buckets=buckets).select(*columns, F.lit(0).alias("__new")).unionByName(rows.select(*columns, F.lit(1).alias("__new")))
+        dealt = both.withColumn("bucket", self.bucket()).repartition("bucket")
+        met = F.max("__new").over(Window.partitionBy("bucket", *keys))
+        placed = dealt.withColumn("__out", F.when(F.col("__new") < met, 1).otherwise(0)).drop("__new")
+        draft, out = f"{self.path}/drafts/data{version}", f"{self.path}/replaced/v{version}-{uuid.uuid4().hex}"
+        placed.sortWithinPartitions("__out", "bucket", *keys).write.mode("overwrite").partitionBy("__out", "bucket").parquet(draft)
+        data = f"{self.path}/data/{version}"
+        remove(self.spark, data)  # of a writer that did not come as far as the manifest
+        move(self.spark, f"{draft}/__out=0", data)
+        move(self.spark, f"{draft}/_SUCCESS", f"{data}/_SUCCESS")
+        gone = self.spark.createDataFrame([], self.schema)
+        if "__out=1" in children(self.spark, draft):
+            move(self.spark, f"{draft}/__out=1", out)
+            gone = self.spark.read.schema(self.schema).parquet(out).select(*columns)
+        gone._loomcube_path = out
+        remove(self.spark, draft)
+        self._publish(version, self.manifest(), buckets)
+        return gone
+
     def _commit(self, rows: DataFrame, before: dict[int, int], buckets: set[int]) -> None:
         version = (self.versions() or [0])[-1] + 1
         data = f"{self.path}/data/{version}"
         dealt = rows.select(*(F.col(f"`{f.name}`") for f in self.schema)).withColumn("bucket", self.bucket())
         dealt.repartition("bucket").sortWithinPartitions("bucket", *(f"`{k}`" for k in self.keys)).write.mode("overwrite").partitionBy("bucket").parquet(data)
+        self._publish(version, before, buckets)
+
+    def _publish(self, version: int, before: dict[int, int], buckets: set[int]) -> None:
+        data = f"{self.path}/data/{version}"
         written = {int(n.removeprefix("bucket=")) for n in children(self.spark, data) if n.startswith("bucket=")}
         after = {b: g for b, g in before.items() if b not in buckets} | dict.fromkeys(written, version)
         draft = f"{self.path}/drafts/v{version}"
@@ -80,6 +114,14 @@ class KeyedTable:
         move(self.spark, draft, f"{self.path}/manifests/v{version}")
 
 
+def latest_rows(rows: DataFrame, keys: tuple[str, ...], version: str) -> DataFrame:
+    """The latest row of each key; rows whose keys are unique, as a count of the keys alone shows, stay where they are."""
+    own = [F.col(f"`{k}`") for k in keys]
+    if not rows.groupBy(*own).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
+        return rows
+    return newest(rows.withColumn("__key", F.struct(*own)), "__key", f"`{version}`").drop("__key")
+
+
 def upsert(table: KeyedTable, rows: DataFrame, version: str) -> tuple[DataFrame, DataFrame]:
     """Puts each row of ``rows`` in place of that with its key if ``version`` is as late or later.
 
@@ -87,15 +129,13 @@ def upsert(table: KeyedTable, rows: DataFrame, version: str) -> tuple[DataFrame,
     tables; late arrivals of older versions are in neither.
     """
     keys = [f"`{k}`" for k in table.keys]
-    latest = newest(rows.select(*(F.col(f"`{f.name}`") for f in table.schema)).withColumn("__key", F.struct(*keys)), "__key", f"`{version}`").drop("__key")
+    latest = latest_rows(rows.select(*(F.col(f"`{f.name}`") for f in table.schema)), table.keys, version)
     buckets = table.touched(latest)
     old = table.read(buckets=buckets)
     before = old.select(F.struct(*(F.col(f"`{k}`") for k in table.keys)).alias("__key"), F.col(f"`{version}`").alias("__before"))
     named = latest.withColumn("__key", F.struct(*keys)).join(before, "__key", "left")
     come = materialise(named.filter(F.col("__before").isNull() | (F.col(f"`{version}`") >= F.col("__before"))).drop("__key", "__before"), "rows-in")
-    key_of = come.select(F.struct(*keys).alias("__key"))
-    gone = materialise(old.withColumn("__key", F.struct(*keys)).join(key_of, "__key", "left_semi").drop("__key"), "rows-out")
-    table.update(come, lambda own, new: own.withColumn("__key", F.struct(*keys)).join(key_of, "__key", "left_anti").drop("__key").unionByName(new))
+    gone = table.replace(come)
     return gone, come
 
 
@@ -109,7 +149,7 @@ class IncrementalCube:
 
     def __init__(self, path: str, docs: DataFrame, observe: Callable[[DataFrame], DataFrame], version: str = "version", buckets: int = BUCKETS):
         self.observe, self.version = observe, version
-        self.docs = KeyedTable.create(f"{path}/documents", newest(docs, "doc_id", version), ("doc_id",), buckets)
+        self.docs = KeyedTable.create(f"{path}/documents", latest_rows(docs, ("doc_id",), version), ("doc_id",), buckets)
         cells = self._sums([(self.docs.read(), 1)])
         self.cells = KeyedTable.create(f"{path}/cells", cells, ("category", "entity"), buckets)
 

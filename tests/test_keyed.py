@@ -90,3 +90,26 @@ def test_empty_tables(frame, place):
     assert table.read().count() == 0 and table.update(frame([], SCHEMA), lambda own, new: new) == set()
     keyed.upsert(table, frame([(None, 1, "de", "a", "x"), (None, 2, "de", "b", "x")], SCHEMA), "version")
     assert [r["text"] for r in table.read().collect()] == ["b"]
+
+
+def test_an_update_exchanges_old_rows_once(frame, spark, place, monkeypatch):
+    table = keyed.KeyedTable.create(place, frame([(i, 1, "de", f"w{i}", "x") for i in range(200)], SCHEMA), ("doc_id",), 4)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.maxMetadataStringLength": "10000"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    plans, writer = [], type(frame([], SCHEMA).write)
+    stored = writer.parquet
+
+    def recorded(self, *how, **named):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return stored(self, *how, **named)
+
+    monkeypatch.setattr(writer, "parquet", recorded)
+    try:
+        gone, come = keyed.upsert(table, frame([(5, 2, "en", "new", "y"), (500, 1, "en", "other", "y")], SCHEMA), "version")
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    texts = [line for plan in plans for line in plan.splitlines() if "Scan parquet" in line and "data/1" in line and "text" in line.split("ReadSchema")[-1]]
+    assert len(texts) == 1, "texts of old rows are read for one exchange"
+    assert [r["text"] for r in gone.collect()] == ["w5"] and come.count() == 2 and table.read().count() == 201
