@@ -35,7 +35,8 @@ def labelled_pairs(edges: DataFrame, share: float = 0.3, seed: int = 1) -> tuple
 
     Negatives are dealt to the parts in the proportion of the edges.
     """
-    held = materialise(connected_holdout(edges, share, seed), "holdout")
+    edges = materialise(edges, "edges")
+    held = connected_holdout(edges, share, seed)
     negative = F.when(F.pmod(F.xxhash64("head", "tail", F.lit(seed + 1)), F.lit(1000)) < int(share * 1000), "test").otherwise("train")
     wrong = shuffled_negatives(edges, seed).select("head", "tail", F.lit(False).alias("is_true"), negative.alias("part"))
     right = held.filter("head <> tail").select("head", "tail", F.lit(True).alias("is_true"), "part").distinct()

@@ -69,6 +69,28 @@ def test_holdout_keeps_the_components(frame, some_edges):
     assert {r["part"] for r in tree.collect()} == {"train"}
 
 
+def test_components_are_those_of_the_forest_in_few_rounds_of_numbers(frame, some_edges, monkeypatch):
+    rows = [*some_edges, (None, "a"), ("a", None), *((f"p{i:05d}", f"p{i + 1:05d}") for i in range(300))]
+    edges = frame(rows, "head string, tail string").repartition(3)
+    live, keep = [], forest.materialise
+    monkeypatch.setattr(forest, "materialise", lambda df, tag: live.append((tag, dict(df.dtypes))) or keep(df, tag))
+    _, roots = kruskal([e for e in rows if None not in e], 3)
+    assert {r["node"]: r["root"] for r in forest.components(edges).collect()} == roots
+    rounds = [types for tag, types in live if tag == "forest-picks"]
+    assert 0 < len(rounds) <= 9, "components at least halve"
+    assert all(set(types.values()) == {"bigint"} for types in rounds), "rounds exchange numbers"
+    assert forest.components(frame([], "head string, tail string")).count() == 0
+
+
+def test_equal_numbers_of_nodes_take_the_next_seed(frame, some_edges, monkeypatch):
+    own, asked = forest.node_number, []
+    monkeypatch.setattr(forest, "node_number", lambda node, seed: asked.append(seed) or (own(node, seed) if seed else forest.F.pmod(own(node, seed), forest.F.lit(8))))
+    got, labels = forest.spanning_forest(frame(some_edges, "head string, tail string"), seed=3)
+    kept, roots = kruskal(some_edges, 3)
+    assert {(r["lo"], r["hi"]) for r in got.collect()} == kept and {r["node"]: r["root"] for r in labels.collect()} == roots
+    assert {0, 1} <= set(asked)
+
+
 def plain_products(heads, tails, k, known):
     out = []
     norm = {t: math.sqrt(sum(v * v for v in x)) for t, x in tails}
