@@ -6,8 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from loomcube.storage import discard, materialise
 
@@ -17,15 +18,18 @@ EXTRA = 4
 TINY = 1e-13
 
 
-def _mix(columns: list[str], weights: np.ndarray, names: list[str]) -> list[Column]:
-    """Columns ``names``: sums of ``columns`` times a column of ``weights`` each."""
-    out = []
-    for j, name in enumerate(names):
-        total = F.lit(0.0)
-        for c, w in zip(columns, weights[:, j]):
-            total = total + F.col(c) * F.lit(float(w))
-        out.append(total.alias(name))
-    return out
+def _mixed(table: DataFrame, columns: list[str], weights: np.ndarray, names: list[str]) -> DataFrame:
+    """``node`` and columns ``names``: sums of ``columns`` times a column of ``weights`` each.
+
+    The weights go to the tasks as data. As literals they would make every round code of its own to compile.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(row) for row in weights.T @ x)], ["node", *names])
+
+    return table.select("node", *columns).mapInArrow(run, StructType([table.schema["node"], *(StructField(n, DoubleType()) for n in names)]))
 
 
 def _half_inverse(gram: np.ndarray) -> np.ndarray:
@@ -60,7 +64,8 @@ def spectrum(edges: DataFrame, d: int, matrix: str = "adjacency", rounds: int =
 
     A round is a join of the entries with a table of d + :data:`EXTRA` columns by node and one sum by node; the
     columns are made orthonormal by the inverse root of their small Gram matrix, which is all that reaches the driver.
-    Rounds end when no value moves by more than ``tol`` of the largest one, or after ``rounds``.
+    Rounds end when no value moves by more than ``tol`` of the largest one, or after ``rounds``, of which there is one at
+    least. Either way the vectors are those that the last round's columns span best, so values of both signs do not mix.
     """
     own = edges.filter("head IS NOT NULL AND tail IS NOT NULL AND weight IS NOT NULL").select(F.col("head").alias("i"), F.col("tail").alias("j"), F.col("weight").cast("double").alias("w"))
     both = own.unionByName(own.filter("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "w")).groupBy("i", "j").agg(F.sum("w").alias("w"))
@@ -71,35 +76,28 @@ def spectrum(edges: DataFrame, d: int, matrix: str = "adjacency", rounds: int =
         return degrees.select("node", F.array().cast("array<double>").alias("x")), []
     v, y = [f"v{k}" for k in range(p)], [f"y{k}" for k in range(p)]
     start = [(F.pmod(F.xxhash64("node", F.lit(k), F.lit(seed)), F.lit(1 << 30)) / float(1 << 29) - 1.0).alias(c) for k, c in enumerate(v)]
-    x = materialise(degrees.select("node", *start), "iterate")
-    first = materialise(x.select("node", *_mix(v, _half_inverse(_gram(x, v)), v)), "iterate")
-    discard(x)
-    x, old = first, None
-    for _ in range(rounds):
+    table = materialise(degrees.select("node", *start), "iterate")
+    x, old = _mixed(table, v, _half_inverse(_gram(table, v)), v), None
+    for left in reversed(range(rounds)):
         moved = entries.join(x.withColumnRenamed("node", "j"), "j").groupBy(F.col("i").alias("node")).agg(*(F.sum(F.col("w") * F.col(a)).alias(b) for a, b in zip(v, y)))
-        table = x.join(moved, "node")
+        joined = x.join(moved, "node")
         if matrix == "laplacian":
-            table = table.join(degrees, "node").withColumns({b: F.col("deg") * F.col(a) - F.col(b) for a, b in zip(v, y)}).drop("deg")
-        table = materialise(table, "iterate")
-        discard(x)
+            joined = joined.join(degrees, "node").withColumns({b: F.col("deg") * F.col(a) - F.col(b) for a, b in zip(v, y)}).drop("deg")
+        before, table = table, materialise(joined, "iterate")
+        discard(before)
         both = _gram(table, [*v, *y])
         ritz, gram = both[:p, p:], both[p:, p:]
         values, inner = np.linalg.eigh((ritz + ritz.T) / 2)
         size = np.round(np.abs(values) / max(np.max(np.abs(values)), 1e-300), 7)
         order = np.lexsort((-values, -size))  # of two values of one size the positive one is first
         values, inner = values[order], inner[:, order]
-        if old is not None and np.max(np.abs(np.abs(values[:d]) - np.abs(old[:d]))) <= tol * max(abs(values[0]), 1e-300):
-            x = table
+        if not left or (old is not None and np.max(np.abs(np.abs(values[:d]) - np.abs(old[:d]))) <= tol * max(abs(values[0]), 1e-300)):
             break
-        old = values
-        x = materialise(table.select("node", *_mix(y, _half_inverse(gram), v)), "iterate")
-        discard(table)
-    else:
-        inner = np.eye(p)
+        x, old = _mixed(table, y, _half_inverse(gram), v), values
     kept = min(d, p)
-    named = materialise(x.select("node", *_mix(v, inner[:, :kept], v[:kept])), "eigenvectors")
+    named = materialise(_mixed(table, v, inner[:, :kept], v[:kept]), "eigenvectors")
     signs = [F.min_by(F.signum(c), F.struct((-F.round(F.abs(F.col(c)), 9)).alias("size"), "node")).alias(c) for c in v[:kept]]
     sign = named.agg(*signs).first()
     out = materialise(named.select("node", F.array(*(F.col(c) * F.lit(float(sign[c] or 1.0)) for c in v[:kept])).alias("x")), "spectrum")
-    discard(named, x, entries, degrees)
+    discard(named, table, entries, degrees)
     return out, [float(a) for a in values[:kept]]

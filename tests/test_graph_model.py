@@ -297,6 +297,24 @@ def test_spectrum_equals_numpy(frame, kind):
         assert own[:, k] == pytest.approx(v, abs=2e-4)
 
 
+def test_few_rounds_do_not_mix_values_of_both_signs(frame):
+    r = random.Random(5)
+    rows = [(f"a{a}", f"b{b}", 1.0) for a in range(20) for b in range(20) if r.random() < (0.8 if a % 2 == b % 2 else 0.1)]
+    got, values = spectral.spectrum(frame(rows, "head string, tail string, weight double"), 2, rounds=3, tol=0.0)
+    nodes, m = matrix_of(rows, "adjacency")
+    x = {r["node"]: r["x"] for r in got.collect()}
+    own = np.array([x[v] for v in nodes])
+    assert values[0] * values[1] < 0
+    assert own.T @ m @ own == pytest.approx(np.diag(values), abs=1e-6), "vectors belong to the values"
+
+
+def test_rounds_of_a_spectrum_share_their_code(frame):
+    table = frame([("a", 1.0, 2.0), ("b", 3.0, 4.0)], "node string, y0 double, y1 double")
+    plans = [spectral._mixed(table, ["y0", "y1"], np.array([[k, 0.0], [1.0, k]]), ["v0", "v1"]) for k in (0.25, 0.75)]
+    assert [tuple(r) for r in plans[0].collect()] == [("a", 2.25, 0.5), ("b", 4.75, 1.0)]
+    assert not any("0.75" in p._jdf.queryExecution().toString() for p in plans), "weights are no literals"
+
+
 def test_spectrum_of_small_graphs(frame):
     schema = "head string, tail string, weight double"
     got, values = spectral.spectrum(frame([("a", "b", 2.0)], schema), 5)
