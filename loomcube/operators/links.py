@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomcube.operators import kg
+from loomcube.operators import embed, kg
 from loomcube.operators.embed import distmult
 from loomcube.operators.forest import connected_holdout
 from loomcube.operators.rank import positions
@@ -88,9 +88,13 @@ def _spectral(matrix: str) -> Callable[[DataFrame, int, int], DataFrame]:
     return vectors
 
 
-def _distmult(edges: DataFrame, d: int, seed: int) -> DataFrame:
+def _typed(edges: DataFrame) -> DataFrame:
     relation = F.col("relation") if "relation" in edges.columns else F.lit("edge")
-    return distmult(edges.select("head", relation.alias("relation"), "tail"), d, seed=seed)[0]
+    return edges.select("head", relation.alias("relation"), "tail")
+
+
+def _distmult(edges: DataFrame, d: int, seed: int) -> DataFrame:
+    return distmult(_typed(edges), d, seed=seed)[0]
 
 
 #: Ways to node vectors: the leading eigenvectors of the adjacency or the Laplacian matrix, and trained ones.
@@ -123,5 +127,5 @@ def grid(edges: DataFrame, embeddings=tuple(EMBEDDINGS), models=MODELS, folds: i
 def independent_evaluation(edges: DataFrame, d: int = 16, share: float = 0.3, seed: int = 1) -> DataFrame:
     """``part, is_true, n, mean_prediction`` of a model on products of trained vectors, for training, test and negatives."""
     train, pairs = labelled_pairs(edges, share, seed)
-    predicted = kg.fit_edge_model(pairs, _distmult(train, d, seed), seed)
+    predicted = kg.fit_products(embed.products(pairs, embed.train(_typed(train), d, seed=seed), d), d, seed)
     return predicted.groupBy("part", "is_true").agg(F.count("*").alias("n"), F.round(F.avg("predictions"), 6).alias("mean_prediction"))

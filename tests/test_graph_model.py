@@ -13,6 +13,7 @@ import pytest
 import xxhash
 
 from loomcube.operators import embed, forest, links, products, spectral
+from loomcube.plans import model_queries
 
 
 def kruskal(edges, seed):
@@ -215,6 +216,38 @@ def test_training_equals_the_plain_version(frame, typed_edges, monkeypatch):
         assert ranks[h, q, t] == 1 + sum(s > scores[t] for s in scores.values())
 
 
+def test_rounds_and_products_read_blocks_without_an_exchange(frame, typed_edges, monkeypatch):
+    seen, keep = [], embed.materialise
+
+    def noted(df, tag, *by):
+        if tag == "trained":
+            seen.append((df.rdd.getNumPartitions(), "Exchange" in df._jdf.queryExecution().executedPlan().toString()))
+        return keep(df, tag, *by)
+
+    monkeypatch.setattr(embed, "materialise", noted)
+    edges = frame(typed_edges, "head string, relation string, tail string").repartition(3)
+    of = embed.train(edges, dim=6, epochs=1, block=10)
+    assert of.blocks == 5 and seen == [(3, False)] * 5, "a task a pair of blocks, nothing is exchanged"
+    x = {r["node"]: r["x"] for r in embed.distmult(edges, dim=6, epochs=1, block=10)[0].collect()}
+    pairs = [(h, t, True, "train") for h, _, t in typed_edges[:90]] + [(t, h, False, "test") for h, _, t in typed_edges[50:99]] + [("a0", "a0", False, "test")] * 2
+    got = embed.products(frame([*pairs, ("a0", "none", False, "test"), (None, "a0", True, "train")], "head string, tail string, is_true boolean, part string").repartition(3), of, 6)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString() and got.rdd.getNumPartitions() == 15
+    want = sorted((part, true, [a * b for a, b in zip(x[h], x[t])]) for h, t, true, part in pairs)
+    assert sorted((r["part"], r["is_true"], r["x"]) for r in got.collect()) == want
+    one = embed.products(frame(pairs, "head string, tail string, is_true boolean, part string"), embed.train(edges, dim=6, epochs=1), 6)
+    assert one.rdd.getNumPartitions() == embed.TASKS and one.count() == len(pairs)
+
+
+def test_trade_has_a_row_an_item_and_kind(spark, frame, tmp_path):
+    lines = [(1, 7), (1, 7), (2, 7), (1, 8), (1, 9), (None, 7), (1, None), (3, 10)]
+    items = [(7, "toys"), (7, "toys"), (8, None), (8, "other"), (9, "home"), (9, "toys"), (None, "home")]
+    frame(lines, "vendor_id long, item_id long").write.parquet(f"{tmp_path}/sale_lines.parquet")
+    frame(items, "item_id long, kind string").write.parquet(f"{tmp_path}/items.parquet")
+    got = model_queries._trade(spark, str(tmp_path))
+    want = [("V1", "home", "I9"), ("V1", "other", "I8"), ("V1", "toys", "I7"), ("V1", "toys", "I9"), ("V2", "toys", "I7"), ("V3", "other", "I10")]
+    assert sorted(tuple(r) for r in got.select("head", "relation", "tail").collect()) == want
+
+
 def test_a_batch_touches_the_rows_of_its_nodes_only():
     n, d = 400_000, 16
     g = np.random.default_rng(2)
