@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomcube.storage import materialise
+
 #: Last words that mark a species, and header names of article sections.
 SPECIES = ("human", "pig", "mouse", "rat")
 SECTION_HEADERS = ("introduction", "methods", "results", "discussion")
@@ -206,8 +208,12 @@ def tokens(text: Column) -> Column:
 
 #: Synonyms that are tried on every document in one projection at most; more are looked up by pieces.
 LISTED_SYNONYMS = 200
-#: Characters of a piece at most. Most texts hold most runs of three, and a text is searched once for each candidate.
+#: Characters of a piece at most. Most texts hold most runs of three.
 PIECE = 6
+#: Synonyms whose pieces are sent to all tasks at most; those of a larger lexicon are exchanged.
+SENT_SYNONYMS = 100_000
+#: Characters of a word at most whose pieces are cut out one by one, each from its start.
+LONG_WORD = 256
 #: Fields that are searched in each mode.
 FIELDS = {
     "abstract": ("title", "abstract"),
@@ -226,22 +232,30 @@ def few(rows: DataFrame) -> bool:
     return rows.limit(LISTED_SYNONYMS + 1).count() <= LISTED_SYNONYMS
 
 
+def very_many(rows: DataFrame) -> bool:
+    """Whether a lexicon is too large to be sent to all tasks."""
+    return rows.limit(SENT_SYNONYMS + 1).count() > SENT_SYNONYMS
+
+
 def candidate_synonyms(docs: DataFrame, words: DataFrame, fields: list[str]) -> DataFrame:
     """``doc_id, synonym`` of every pair that may occur: the document holds the rarest piece of the synonym.
 
     Pieces are runs of :data:`PIECE` characters within tokens (fewer for synonyms of shorter tokens), so occurrences
     within words are found. Of the pieces of a synonym the one in the fewest documents is looked up, by exchanges
-    of pieces and ids alone; a synonym with a piece that no document has cannot occur. Nothing is broadcast, so both
-    sides may be of any size. Synonyms without a letter or digit are paired with all documents.
+    of pieces and ids alone; a synonym with a piece that no document has cannot occur. Only pieces of the lexicon are
+    exchanged, unless it is very large; then nothing is broadcast, so both sides may be of any size. Synonyms without a
+    letter or digit are paired with all documents.
     """
     longest = F.array_max(F.transform(tokens(F.col("synonym")), lambda w: F.length(w)))
     sized = words.withColumn("size", F.least(F.coalesce(longest, F.lit(0)), F.lit(PIECE)))
     sizes = [r["size"] for r in sized.select("size").distinct().collect()]
+    wide = very_many(words)
     out = sized.filter("size = 0").select("synonym").crossJoin(docs.select("doc_id")).select("doc_id", "synonym") if 0 in sizes else None
     for size in sorted(set(sizes) - {0}):
         every = F.array_distinct(F.flatten(F.array(*(_pieces(F.col(f), size) for f in fields))))
         held = docs.select("doc_id", F.explode(every).alias("piece"))
         own = sized.filter(F.col("size") == size).select("synonym", F.explode(_pieces(F.col("synonym"), size)).alias("piece"))
+        held = held if wide else held.join(F.broadcast(own.select("piece").distinct()), "piece")
         spread = held.groupBy("piece").agg(F.count("*").alias("n"))
         counted = own.join(spread.hint("merge"), "piece", "left").groupBy("synonym")
         rarest = counted.agg(F.min(F.struct("n", "piece")).alias("least"), F.bool_and(F.col("n").isNotNull()).alias("all")).filter("all").select("synonym", "least.piece")
@@ -250,22 +264,54 @@ def candidate_synonyms(docs: DataFrame, words: DataFrame, fields: list[str]) ->
     return out if out is not None else docs.select("doc_id", F.lit("").alias("synonym")).limit(0)
 
 
+def count_in_words(docs: DataFrame, words: DataFrame, fields: list[str]) -> DataFrame:
+    """``doc_id, synonym, cnt`` of synonyms of letters and digits alone, for every row of ``docs``.
+
+    Such a synonym lies within one word, which is what stands between blanks or line ends. So the words of a row look up
+    their runs of up to :data:`PIECE` characters among one piece a synonym, that which the fewest synonyms hold, and the
+    counts in single words are added up by row. Texts are neither searched for each candidate nor exchanged; the pieces
+    are sent to all tasks.
+    """
+    size = F.least(F.length("synonym"), F.lit(PIECE))
+    own = words.select("synonym", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("synonym") - size + 1), lambda i: F.substring("synonym", i, size)))).alias("piece"))
+    shared = own.groupBy("piece").agg(F.count("*").alias("n"))
+    chosen = materialise(own.join(shared, "piece").groupBy("synonym").agg(F.min(F.struct("n", "piece")).alias("least")).select("least.piece", "synonym"), "pieces")
+    sizes = [r["size"] for r in chosen.select(F.length("piece").alias("size")).distinct().collect()] or [PIECE]
+    rows = docs.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", F.explode(F.split(F.replace(F.concat_ws(" ", *fields), F.lit("\n"), F.lit(" ")), " ")).alias("word"))
+    rows = rows.filter(F.length("word") >= min(sizes)).withColumn("size", F.explode(F.array(*map(F.lit, sizes))) if len(sizes) > 1 else F.lit(sizes[0]))
+    patterns = F.create_map(*(v for k in sizes for v in (F.lit(k), F.lit(rf"(?=([\p{{L}}\p{{N}}]{{{k}}}))"))))
+    long = F.length("word") > LONG_WORD
+    rows = rows.filter(F.length("word") >= F.col("size")).withColumn("many", F.when(long, F.array_distinct(F.regexp_extract_all("word", F.element_at(patterns, F.col("size")), F.lit(1)))))
+    places = F.sequence(F.lit(1), F.coalesce(F.size("many"), F.length("word") - F.col("size") + 1))
+    rows = rows.filter("many IS NULL OR size(many) > 0").withColumn("at", F.explode(places))
+    rows = rows.withColumn("piece", F.when(F.col("many").isNotNull(), F.get("many", F.col("at") - 1)).otherwise(F.substring("word", F.col("at"), F.col("size"))))
+    met = rows.join(F.broadcast(chosen), "piece").filter(F.col("many").isNotNull() | (F.instr("word", F.col("piece")) == F.col("at")))
+    times = met.select("row", "doc_id", "synonym", count_substring(F.col("word"), F.col("synonym")).alias("cnt")).filter("cnt > 0")
+    return times.groupBy("row", "doc_id", "synonym").agg(F.sum("cnt").alias("cnt")).drop("row")
+
+
 def count_synonyms(docs: DataFrame, synonyms: DataFrame, id_column: str = "doc_id", text_columns: tuple[str, ...] | str = "text") -> DataFrame:
     """``doc_id, synonym, cnt`` of every normalised synonym that occurs in the given fields of a document.
 
     Counting is on raw substrings of each field by itself; :data:`FIELDS` names those of the usual modes. A lexicon
-    that a count shows to be small is tried on each document in one projection, where the documents are read; of a
-    larger one only the pairs of :func:`candidate_synonyms` meet their texts. Both ways count alike.
+    that a count shows to be small is tried on each document in one projection, where the documents are read. Of a
+    larger one the synonyms of letters and digits alone are counted by :func:`count_in_words`; of the others, and of a
+    very large one, only the pairs of :func:`candidate_synonyms` meet their texts. All ways count alike.
     """
     names = [text_columns] if isinstance(text_columns, str) else list(text_columns)
     fields = [f"f{i}" for i in range(len(names))]
     clean = docs.select(F.col(id_column).alias("doc_id"), *(normalise_hyphens(F.coalesce(F.col(c), F.lit(""))).alias(f) for c, f in zip(names, fields, strict=True)))
     words = synonyms.select(normalise_synonym(F.col("synonym")).alias("synonym")).filter("synonym <> ''").distinct()
+    times = reduce(lambda a, b: a + b, (count_substring(F.col(f), F.col("synonym")) for f in fields))
     if few(words):
         listed = words.agg(F.collect_list("synonym").alias("synonyms"))
         hits = F.filter("synonyms", lambda s: any_of([F.contains(F.col(f), s) for f in fields]))
         both = clean.join(F.broadcast(listed)).select("doc_id", *fields, F.explode(hits).alias("synonym"))
-    else:
-        both = candidate_synonyms(clean, words, fields).join(clean.hint("merge"), "doc_id")
-    times = reduce(lambda a, b: a + b, (count_substring(F.col(f), F.col("synonym")) for f in fields))
-    return both.select("doc_id", "synonym", times.alias("cnt")).filter("cnt > 0")
+        return both.select("doc_id", "synonym", times.alias("cnt")).filter("cnt > 0")
+    token = F.lit(False) if very_many(words) else F.col("synonym").rlike(r"^[\p{L}\p{N}]+$")
+    plain, rest = words.filter(token), words.filter(~token)
+    out = count_in_words(docs.select(F.col(id_column).alias("doc_id"), *(F.col(c).alias(f) for c, f in zip(names, fields, strict=True))), plain, fields)
+    if rest.isEmpty():
+        return out
+    both = candidate_synonyms(clean, rest, fields).join(clean.hint("merge"), "doc_id").select("doc_id", "synonym", times.alias("cnt")).filter("cnt > 0")
+    return both if plain.isEmpty() else out.unionByName(both)

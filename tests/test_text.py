@@ -175,3 +175,15 @@ def test_candidates_hold_a_long_piece(frame):
     assert {(r["doc_id"], r["synonym"]) for r in found.collect()} == {(1, "wichtig"), (1, "𝒳yz"), (1, "raus w"), (1, "12a"), (1, "ab"), (2, "ab")}
     near = frame([(i, " ".join(f"{w[:5]}x {w[1:]}" for w in ("wichtig", "anderes"))) for i in range(9)], "doc_id long, f0 string")
     assert x.candidate_synonyms(near, frame([("wichti",), ("andere",)], "synonym string"), ["f0"]).count() == 0, "runs of three would make candidates of all"
+
+
+@pytest.mark.parametrize("long", [256, 3])
+def test_words_of_a_large_lexicon_are_counted_by_row_without_their_texts(frame, monkeypatch, long):
+    monkeypatch.setattr(x, "LISTED_SYNONYMS", 2)
+    monkeypatch.setattr(x, "LONG_WORD", long)
+    docs = frame([(1, "banana-bananas, anan"), (1, "banana"), (1, "banana"), (None, "an 𝒳an1an")], "doc_id long, text string")
+    counts = x.count_synonyms(docs, frame([("an",), ("anan",), ("banana",), ("bananas",), ("nanas",), ("none",)], "synonym string"))
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan, "sums alone are exchanged"
+    want = [(None, "an", 3), *[(1, "an", 2), (1, "anan", 1), (1, "banana", 1)] * 2, (1, "an", 6), (1, "anan", 3), (1, "banana", 2), (1, "bananas", 1), (1, "nanas", 1)]
+    assert sorted(map(str, map(tuple, counts.collect()))) == sorted(map(str, want))
