@@ -47,3 +47,22 @@ def shared_groups(rows: DataFrame, group: str, member: str, side: int = SIDE, me
     out = materialise(each.groupBy(*keys, "b").agg(F.count("*").cast("int").alias("n")).select("a", "b", "n"), "shared")
     discard(sets, busy)
     return out
+
+
+def linked_members(rows: DataFrame, group: str, member: str) -> DataFrame:
+    """``member``: those of ``rows`` that share a group with another, each once. Pairs are not formed, so work grows as the rows."""
+    own = rows.select(group, member).filter(F.col(group).isNotNull() & F.col(member).isNotNull())
+    several = own.groupBy(group).agg(F.min(member).alias("lo"), F.max(member).alias("hi")).filter("lo < hi").select(group)
+    return own.join(several, group, "left_semi").select(member).distinct()
+
+
+def linked_kinds(rows: DataFrame, group: str, member: str, kinds: DataFrame) -> DataFrame:
+    """``kind_a, kind_b``: the kinds of any two members of one group, the lesser first; ``kinds`` has ``member, kind``.
+
+    A group is known by its kinds and by which of these it has two members of, so its pairs are not formed.
+    """
+    each = rows.select(group, member).filter(F.col(group).isNotNull()).join(kinds, member).groupBy(group, "kind").agg(F.min(member).alias("lo"), F.max(member).alias("hi"))
+    sets = each.groupBy(group).agg(F.sort_array(F.collect_set(F.struct("kind", (F.col("lo") < F.col("hi")).alias("several")))).alias("of")).select("of").distinct()
+    pairs = sets.withColumn("a", F.explode("of")).withColumn("b", F.explode("of"))
+    pairs = pairs.filter((F.col("a.kind") < F.col("b.kind")) | ((F.col("a.kind") == F.col("b.kind")) & F.col("a.several")))
+    return pairs.select(F.col("a.kind").alias("kind_a"), F.col("b.kind").alias("kind_b")).distinct()

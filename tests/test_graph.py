@@ -170,3 +170,22 @@ def test_node_types_combine_without_sorting(frame):
     nodes = kg.node_list({"ppi": frame([("a", "b")], "head string, tail string"), "tree": frame([("b", "c")], "head string, tail string")}, frame([("C",)], "category string"))
     assert {tuple(r) for r in nodes.collect()} == {("a", "Protein"), ("b", "MeSH_Tree_Disease"), ("c", "MeSH_Tree_Disease"), ("C", "CVD")}
     assert "SortAggregate" not in nodes._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ends_of_shared_groups_come_without_their_pairs(frame):
+    kinds = {m: "xyz"[m % 3] for m in range(1, 12)}
+    rows = [(1, 1), (1, 1), (2, 1), (2, 4), (3, 2), (3, 3), (3, 3), (4, 5), (None, 6), (None, 8), (5, None), (5, 7), (6, 9), (6, 11), (6, None)]
+    sets = {g: {m for k, m in rows if k == g and m is not None} for g in range(1, 7)}
+    pairs = [p for ms in sets.values() for p in combinations(sorted(ms), 2)]
+    given = frame(rows, "g long, m long")
+    assert sorted(r["m"] for r in shared.linked_members(given, "g", "m").collect()) == sorted({m for p in pairs for m in p})
+    got = shared.linked_kinds(given, "g", "m", frame(list(kinds.items()), "m long, kind string")).collect()
+    assert sorted(map(tuple, got)) == sorted({tuple(sorted((kinds[a], kinds[b]))) for a, b in pairs})
+
+
+def test_types_of_ends_do_not_ask_for_pairs_of_suppliers(spark, monkeypatch):
+    from loomcube.plans import assoc_queries
+
+    monkeypatch.setattr(assoc_queries.t, "shared_groups", None)
+    for query in ("kg_edge_type_ends", "kg_nodes_dedup", "kg_connected_nodes"):
+        assert assoc_queries.QUERIES[query](spark, "/root/testdata/sf0.001").count() > 0
