@@ -11,11 +11,10 @@ from loomcube.storage import discard, materialise
 SIDE, MEMBER_GROUPS, TASK_ROWS, TASK_PAIRS = 1024, 100_000, 200_000, 1_000_000
 
 
-def shared_groups(rows: DataFrame, group: str, member: str, side: int = SIDE, member_groups: int = MEMBER_GROUPS) -> DataFrame:
-    """``a, b, n``, written: the pairs ``a < b`` of members of ``rows`` that share groups, and how many. Nulls take no part.
+def met_members(rows: DataFrame, group: str, member: str, side: int = SIDE, member_groups: int = MEMBER_GROUPS) -> tuple[DataFrame, list[str], int, list[DataFrame]]:
+    """``a, bs``: members of ``rows`` and greater ones of one group; columns that hold all rows of a pair together, pairs at most, and tables to discard.
 
-    The sorted ids of a group give, for each member, one row with those after it. These rows are exchanged by their
-    first member and counted where they arrive, so the pairs themselves are not. Rows are gathered after the exchange,
+    The sorted ids of a group give, for each member, one row with those after it. Nulls take no part. Rows are gathered after the exchange,
     in as many tasks as their number asks for, since sets that combine before it are sorted in memory. Groups of more than ``side`` members
     are cut into stretches that meet two at a time on tasks of their own; what a member of over ``member_groups``
     groups meets is dealt to 32 tasks by hash.
@@ -42,10 +41,20 @@ def shared_groups(rows: DataFrame, group: str, member: str, side: int = SIDE, me
         spread = own.join(busy, "a", "left").select("a", "bs", "busy", F.explode(parts).alias("part"))
         some = F.when(F.col("busy"), F.filter("bs", lambda b: F.pmod(F.xxhash64(b), F.lit(32)) == F.col("part"))).otherwise(F.col("bs"))
         own, keys = spread.select("a", "part", some.alias("bs")).filter(F.size("bs") > 0), ["a", "part"]
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(facts["pairs"] or 0) // TASK_PAIRS))
+    return own, keys, int(facts["pairs"] or 0), [sets, busy]
+
+
+def shared_groups(rows: DataFrame, group: str, member: str, side: int = SIDE, member_groups: int = MEMBER_GROUPS) -> DataFrame:
+    """``a, b, n``, written: the pairs ``a < b`` of members of ``rows`` that share groups, and how many. Nulls take no part.
+
+    Rows of :func:`met_members` are exchanged by their first member and counted where they arrive, so the pairs
+    themselves are not.
+    """
+    own, keys, pairs, written = met_members(rows, group, member, side, member_groups)
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs // TASK_PAIRS))
     each = own.repartition(n, *keys).select(*keys, F.explode("bs").alias("b"))
     out = materialise(each.groupBy(*keys, "b").agg(F.count("*").cast("int").alias("n")).select("a", "b", "n"), "shared")
-    discard(sets, busy)
+    discard(*written)
     return out
 
 

@@ -1,12 +1,14 @@
 """Hierarchies, expansion, mappings and the knowledge graph."""
 
+import hashlib
 from collections import Counter
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomcube.operators import expand, hierarchy, kg, mapping, shared
+from loomcube.operators import expand, hierarchy, kg, mapping, pair_holdout, shared
 
 EDGES = "parent string, child string"
 MAP = "src string, dst string"
@@ -189,3 +191,34 @@ def test_types_of_ends_do_not_ask_for_pairs_of_suppliers(spark, monkeypatch):
     monkeypatch.setattr(assoc_queries.t, "shared_groups", None)
     for query in ("kg_edge_type_ends", "kg_nodes_dedup", "kg_connected_nodes"):
         assert assoc_queries.QUERIES[query](spark, "/root/testdata/sf0.001").count() > 0
+
+
+@pytest.mark.parametrize(("widest", "table", "side", "busy", "task"), [(1 << 31, 1 << 22, 1024, 1024, 1 << 20), (5, 3, 4, 1024, 40), (1 << 31, 3, 4, 3, 40)])
+def test_sizes_of_a_holdout_of_shared_groups(frame, monkeypatch, widest, table, side, busy, task):
+    monkeypatch.setattr(pair_holdout, "WIDEST", widest)
+    monkeypatch.setattr(pair_holdout, "TABLE", table)
+    monkeypatch.setattr(pair_holdout, "LANES", 7)
+    rows = [(g, m * m * 37) for g in range(9) for m in range(g % 4 * 5)] + [(3, 4), (3, 4), (None, 1), (4, None)] + [(g, 70) for g in range(9)]
+    given = frame(rows, "g long, m long")
+    pairs = shared.shared_groups(given, "g", "m").select(F.concat(F.lit("S"), "a").alias("head"), F.concat(F.lit("S"), "b").alias("tail"))
+    want = dict(rows_of(kg.holdout(pairs).groupBy("part").count()))
+    monkeypatch.setattr(shared, "shared_groups", None)
+    got = pair_holdout.shared_holdout_sizes(given, "g", "m", "S", 0.3, 1, side, busy, task)
+    assert dict(rows_of(got)) == want and len(want) == 2
+    assert rows_of(pair_holdout.shared_holdout_sizes(given.filter("g = 0"), "g", "m", "S")) == []
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def test_digests_of_texts_of_any_length():
+    texts = ["", "S1|S2|1", "é|ü|1", *("x" * n for n in (54, 55, 56, 63, 64, 200))] * 3
+    assert pair_holdout.digests(pa.array(texts)).tolist() == [int(hashlib.md5(t.encode()).hexdigest()[:15], 16) for t in texts]
+
+
+def test_edge_holdout_makes_no_table_of_pairs(spark, monkeypatch):
+    from loomcube.plans import assoc_queries
+
+    monkeypatch.setattr(assoc_queries.t, "shared_groups", None)
+    assert dict(rows_of(assoc_queries.QUERIES["edge_holdout"](spark, "/root/testdata/sf0.001")))["train"] > 0
