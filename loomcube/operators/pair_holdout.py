@@ -72,33 +72,41 @@ def digests(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The different members of ``a, bs``, sorted, and their places in the different pairs."""
-    firsts, seconds = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for batch in batches:
-        lists = batch.column("bs")
-        firsts.append(np.repeat(batch.column("a").to_numpy(), lists.value_lengths().to_numpy()))
-        seconds.append(lists.flatten().to_numpy())
-    first, second, members = np.concatenate(firsts), np.concatenate(seconds), None
-    low = min((int(x.min()) for x in (first, second) if len(x)), default=0)
-    span = max((int(x.max()) for x in (first, second) if len(x)), default=0) - low + 1
+def _different(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs, sorted."""
+    if not len(first):
+        return first, second
+    low, ranked = min(int(first.min()), int(second.min())), None
+    span = max(int(first.max()), int(second.max())) - low + 1
     if span > WIDEST:  # numbers far apart: their ranks instead
         ranked = np.unique(np.concatenate([np.unique(first), np.unique(second)]))
-        members, low, span = ranked, 0, len(ranked)
-        first, second = np.searchsorted(ranked, first), np.searchsorted(ranked, second)
+        first, second, low, span = np.searchsorted(ranked, first), np.searchsorted(ranked, second), 0, len(ranked)
     packed = (first - low) * span + (second - low)
     packed.sort()
-    packed = packed[np.concatenate([np.ones(min(1, len(packed)), bool), packed[1:] != packed[:-1]])]
+    packed = packed[np.concatenate([[True], packed[1:] != packed[:-1]])]
     first, second = np.divmod(packed, span)
-    if span > TABLE:
-        found = np.unique(np.concatenate([np.unique(first), np.unique(second)]))
-        first, second = np.searchsorted(found, first), np.searchsorted(found, second)
-    else:
-        seen = np.zeros(span, bool)
-        seen[first] = seen[second] = True
-        found, at = np.flatnonzero(seen), np.cumsum(seen) - 1
-        first, second = at[first], at[second]
-    return (found + low if members is None else members[found]), first, second
+    return (first + low, second + low) if ranked is None else (ranked[first], ranked[second])
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different members of ``a, bs``, sorted, and their places in the different pairs. Repeated pairs go as they gather."""
+    firsts, seconds, held, most = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0, 2 * TASK_PAIRS
+    for batch in batches:
+        lists = batch.column("bs")
+        firsts.append(np.repeat(batch.column("a").to_numpy(), lists.value_lengths().to_numpy()))
+        seconds.append(lists.flatten().to_numpy())
+        held += len(firsts[-1])
+        if held > most:
+            first, second = _different(np.concatenate(firsts), np.concatenate(seconds))
+            firsts, seconds, held, most = [first], [second], len(first), max(most, 2 * len(first))
+    first, second = _different(np.concatenate(firsts), np.concatenate(seconds))
+    if not len(first) or (span := int(second.max()) - int(first.min()) + 1) > TABLE:
+        members = np.unique(np.concatenate([np.unique(first), np.unique(second)]))
+        return members, np.searchsorted(members, first), np.searchsorted(members, second)
+    low, seen = int(first.min()), np.zeros(span, bool)
+    seen[first - low] = seen[second - low] = True
+    at = np.cumsum(seen) - 1
+    return np.flatnonzero(seen) + low, at[first - low], at[second - low]
 
 
 def _least(prefix: str, permille: int, seed: int):

@@ -222,3 +222,15 @@ def test_edge_holdout_makes_no_table_of_pairs(spark, monkeypatch):
 
     monkeypatch.setattr(assoc_queries.t, "shared_groups", None)
     assert dict(rows_of(assoc_queries.QUERIES["edge_holdout"](spark, "/root/testdata/sf0.001")))["train"] > 0
+
+
+def test_repeated_pairs_go_as_they_gather(monkeypatch):
+    monkeypatch.setattr(pair_holdout, "TASK_PAIRS", 2)
+    given = [(5, [7, 9]), (5, [9, 70]), (7, [9]), (5, [7, 9]), (7, [9, 70]), (-3, [5])] * 3
+    batches = [pa.RecordBatch.from_arrays([pa.array([a]), pa.array([bs])], ["a", "bs"]) for a, bs in given]
+    for widest, table in ((1 << 31, 1 << 22), (3, 3)):
+        monkeypatch.setattr(pair_holdout, "WIDEST", widest)
+        monkeypatch.setattr(pair_holdout, "TABLE", table)
+        members, first, second = pair_holdout._pairs(iter(batches))
+        assert list(zip(members[first].tolist(), members[second].tolist(), strict=True)) == sorted({(a, b) for a, bs in given for b in bs})
+    assert [x.tolist() for x in pair_holdout._pairs(iter([]))] == [[], [], []]
